@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import bounded_sample
+from sextant.operators.graph import components
 from sextant.session import checkpointed
 
 SHINGLE = 3
@@ -258,27 +259,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return ordered.mapInArrow(search, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b), a > b; root is the smallest node reachable.
-
-    Large-star and small-star contractions in turn, until the edges stay as they are. Degrees are
-    reduced by aggregation before any shuffle; joins on a star's centre are left to skew handling.
-    """
-    edges = checkpointed(edges.select("a", "b"))
-    mark = None
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
-        edges = checkpointed(small)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (now["n"], now["h"]):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = (now["n"], now["h"])
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row; the class is named by its smallest id."""
     own = checkpointed(fingerprints(docs, id_col, text_col))
