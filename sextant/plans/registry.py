@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.plans import search
+from sextant.plans import faces, results, search, texts
 
-MODULES = (search,)
+MODULES = (search, results, texts, faces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
