@@ -196,8 +196,8 @@ def statistics(index: DataFrame, config: Config) -> DataFrame:
 def write(index: DataFrame, spark: SparkSession, path: str, centroids, codebooks, encoder_id: str = "default") -> None:
     """Stores the three index tables; postings lie in a folder for each cell."""
     index.write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/postings")
-    spark.createDataFrame([(i, list(c)) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
-    rows = [(m, code, list(c)) for m, book in enumerate(codebooks) for code, c in enumerate(book)]
+    spark.createDataFrame([(i, list(map(float, c))) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+    rows = [(m, code, list(map(float, c))) for m, book in enumerate(codebooks) for code, c in enumerate(book)]
     spark.createDataFrame(rows, "m int, code int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/codebooks")
 
 
