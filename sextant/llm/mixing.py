@@ -67,11 +67,13 @@ def _join_sources(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE, most_repeats: int = MOST_REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of ``docs``: (id, source, size, source_size, target, copies, taken, text_hash)."""
     sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_hash(F.col(id_col), seed).alias("hash"), F.xxhash64(text_col).alias("text_hash")))
-    # A count of 0 still needs one bucket.
-    buckets = max(1, sized.count() // ROWS_PER_BUCKET)
-    sources = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_share, most_repeats))
+    totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
+    sources = checkpointed(targets(totals.drop("source_rows"), weights, budget_share, most_repeats))
     n_sources = sources.count()
-    bucketed = sized.withColumn("bucket", F.pmod(F.shiftright("hash", 20), F.lit(buckets)))
+    # Virtual-time ranges follow all rows, buckets of the shuffle the rows of their source; both keep the order of what they cut.
+    buckets = max(1, sized.count() // ROWS_PER_BUCKET)
+    own_buckets = F.greatest(F.lit(1), F.floor(F.col("source_rows") / ROWS_PER_BUCKET)).cast("long")
+    bucketed = _join_sources(sized, totals.drop("source_size"), n_sources).withColumn("bucket", F.shiftright(F.shiftright("hash", 30) * own_buckets, 30)).drop("source_rows")
 
     sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     offset = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,0 +1,468 @@
+"""Training-data operators against brute force, on small rows with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sextant.llm import ann, chat_format, html_extract, license_scan, mixing, packing, quality_model, quality_rules, registry, simhash, textstats, tokens, url_filter
+from sextant.session import table
+
+LOREM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(LOREM[i] for i in rng.integers(0, len(LOREM), n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    long = prose(1, 30_000)
+    rows = [
+        (1, prose(2, 300), "en", "b", 1), (2, prose(2, 300), "en", "a", 1), (3, prose(2, 300) + " tail", "en", None, 1), (4, None, None, "a", None), (5, "", "en", "a", 0), (6, " \t\n", "en", "c", 3),
+        (7, long, "en", "a", 9), (8, long.upper(), "en", "a", 9), (9, "one two", "fr", "é", 7), (9, "one two", "fr", "é", 7), (10, "ONE two", "fr", "b", 7), (None, "no id here", "en", "b", 1), (11, prose(3, 60) + "\nAll rights reserved.\n" + prose(4, 60), "en", "b", 1),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def words(text):
+    return [w for w in "".join(c if c not in " \t\n\x0b\x0c\r" else " " for c in text or "").split(" ") if w]
+
+
+# 1 license scan
+
+
+def test_license_scan_equals_containment(spark, docs):
+    notice = " ".join(LOREM) + " end of a longer notice with some more words in it that nobody reads"
+    half = " ".join(notice.split()[: len(notice.split()) * 9 // 10])
+    more = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(20, prose(5, 500) + " " + notice.upper() + " " + prose(6, 500)), (21, prose(7, 77) + " " + half), (22, "x " + " ".join(notice.split()[:9])), (23, "released under the\tMIT License.")], "doc_id long, text string"))
+    templates = [*license_scan.NOTICES, ("own", notice), ("empty", "")]
+    got = {(r["doc_id"], r["license_id"]) for r in license_scan.scan(more, templates).collect()}
+    assert got == {(11, "all-rights-reserved"), (20, "own"), (21, "own"), (23, "MIT")}
+
+
+def test_license_scan_without_templates_or_rows(spark, docs):
+    assert license_scan.scan(docs, []).count() == 0
+    assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_license_bins_meet_the_miss_bound():
+    for window, shortest in ((32, 2), (256, 9), (2048, 65)):
+        lost = (window / 2 ** (license_scan.bins(window, shortest) + 1)) ** np.ceil(license_scan.SIMILARITY * shortest)
+        assert lost <= license_scan.MISS
+
+
+# 2 simhash
+
+
+def slow_fingerprint(text):
+    tokens_ = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(tokens_[i : i + 3]) for i in range(max(1, len(tokens_) - 2))] if tokens_ else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@settings(max_examples=60)
+@given(st.text(alphabet="aBcÉ \t\n\x0b\x1c\u00a0", max_size=60))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+def slow_components(fps):
+    """fps: id -> fingerprint."""
+    ids = sorted(fps)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates(docs):
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == docs.count()
+    own = {r["doc_id"]: slow_fingerprint(r["text"]) for r in docs.filter("doc_id is not null").collect()}
+    wanted = slow_components(own)
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows if r["doc_id"] is not None} == {i: (f"{own[i]:016x}", wanted[i]) for i in own}
+    kept = Counter(r["doc_id"] for r in simhash.deduplicated(docs).collect())
+    assert kept == Counter({**{i: 1 for i in set(wanted.values())}, None: 1})
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_across_shards_and_blocks(spark, monkeypatch):
+    """Many shards and split shards lose no link."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    fps = set(base.tolist())
+    for x in base[:150].tolist():
+        y = x ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64)))
+        fps |= {y, y ^ (1 << int(rng.integers(64)))}
+    centre = int(base[0])
+    fps |= {centre ^ (1 << i) for i in range(64)}
+    fps = sorted(fps)
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 20)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 24)
+    signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
+    edges = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    unsigned = lambda x: x & (2**64 - 1)
+    assert all((unsigned(a) ^ unsigned(b)).bit_count() <= 2 for a, b in edges)
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(unsigned(a)), find(unsigned(b))
+        root[max(a, b)] = min(a, b)
+    assert {x: find(x) for x in fps} == slow_components({x: x for x in fps})
+    assert len(edges) < 6 * len(fps)
+
+
+def test_spanning_links_of_a_dense_group_are_few():
+    fps = np.array([0, *(1 << i for i in range(64)), *(3 << i for i in range(63))], dtype=np.uint64)
+    assert len(simhash.spanning_links(fps)) == len(fps) - 1
+    assert len(simhash.spanning_links(fps[:60], fps[60:])) <= len(fps) - 1
+
+
+# 3 url filter
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("deep.example.org", "/en/", "allow")]
+
+
+def slow_verdict(url):
+    host, path = url_filter.split_url(url)
+    best = max(((len(h) + len(p), len(h), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
+    return (host, path, best and best[2], best[3] if best else "allow")
+
+
+URLS = ["http://a.org", "http://a.org/", "HTTP://A.ORG/es/", "x://www.example.org/es/1?q#f", "x://example.org/en/12", "x://notexample.org/es/", "https://B.com/fr/x", "https://b.com/de/#x", "https://com/de/", "x://deep.example.org/en/1", "x://q.deep.example.org/en/1", "no scheme", "", None, "x://", "x://h?a/b", "a://b://c/d", "x://example.org./es/", "x://ÄÖ.org/é"]
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 5, 40])
+def test_url_filter(spark, ranges):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS * 3)] + [(None, "x://a.org/", "x")], "page_id long, url string, verdict string")
+    got = url_filter.filter_urls(pages, url_filter.rules_frame(spark, [*RULES, (None, "/", "block")]), ranges=ranges).collect()
+    assert sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got), key=repr) == sorted([(i, *slow_verdict(u)) for i, u in enumerate(URLS * 3)] + [(None, *slow_verdict("x://a.org/"))], key=repr)
+
+
+def test_url_filter_empty(spark):
+    pages = spark.createDataFrame([(1, "x://a.org/es/")], "page_id long, url string")
+    rules = url_filter.rules_frame(spark, RULES)
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    assert [tuple(r) for r in url_filter.filter_urls(pages, rules.limit(0)).collect()] == [(1, "a.org", "/es/", None, "allow")]
+
+
+# 4 quality rules and text statistics
+
+
+def slow_stats(text):
+    text = text or ""
+    w = words(text)
+    lines = text.split("\n")
+    dup = sum(1 for i, line in enumerate(lines) if words(line) and line in lines[:i])
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    counts = Counter(windows)
+    inside = {i + k for i, x in enumerate(windows) if counts[x] > 1 for k in range(3)}
+    return (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(inside))
+
+
+@settings(max_examples=80)
+@given(st.text(alphabet="ab \t\n\x0b\x1c\u2028#é|", max_size=60))
+def test_text_stats(text):
+    assert textstats.text_stats(text)[:5] == slow_stats(text)
+
+
+def test_quality_rules_over_documents(docs):
+    rules = quality_rules.DecisionList([(quality_rules.Condition("dup_line_share", True, 0.5),)])
+    got = quality_rules.judge(docs.withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit(1)), rules).collect()
+    assert len(got) == docs.count()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in got:
+        n, chars, symbols, dup, repeat = slow_stats(text[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
+        assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n)
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_learning_finds_conjunctions():
+    rng = np.random.default_rng(0)
+    x = {"a": rng.uniform(size=3000), "b": rng.uniform(size=3000), "c": rng.uniform(size=3000)}
+    bad = ((x["a"] > 0.7) & (x["b"] <= 0.4)) | (x["c"] > 0.95)
+    found = quality_rules.learn(x, bad)
+    rejected = np.zeros(3000, dtype=bool)
+    for rule in found.rules:
+        rejected |= np.logical_and.reduce([c.holds(x) for c in rule])
+    assert (rejected & ~bad).sum() <= 0.02 * (~bad).sum()
+    assert (rejected & bad).sum() >= 0.95 * bad.sum()
+    assert quality_rules.learn(x, np.zeros(3000, dtype=bool)).rules == []
+
+
+def test_quality_rules_empty_tables(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rules = quality_rules.fit(docs, labels)
+    assert rules.rules == [] and quality_rules.judge(docs.limit(0), rules).count() == 0
+
+
+def test_quality_rules_keep_clean_documents(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    judged = registry.QUERIES["op4_quality_rules"](spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("NOT base_failed")
+    counts = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert counts.get((1, False), 0) <= 0.02 * counts[(1, True)]
+    assert counts.get((0, True), 0) <= 0.1 * counts[(0, False)]
+
+
+# 5 quality model
+
+
+def test_quality_model_held_out_accuracy(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    rows = registry.QUERIES["op5_quality_model"](spark, sf).join(table(spark, sf, "labels"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+def test_quality_model_edges(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    for own in (labels, labels.limit(0)):
+        model = quality_model.fit(docs, own)
+        got = quality_model.score(docs, model, keep=docs.columns)
+        assert got.count() == docs.count() and got.columns == [*docs.columns, "score", "predicted"]
+    assert quality_model.score(docs.limit(0), model).count() == 0
+
+
+@settings(max_examples=30)
+@given(st.lists(st.tuples(st.floats(-5, 5), st.integers(0, 1)), min_size=1, max_size=60))
+def test_isotonic_never_falls(rows):
+    raw, label = np.array([r for r, _ in rows]), np.array([float(y) for _, y in rows])
+    fitted = quality_model.Isotonic.fit(raw, label)(np.sort(raw))
+    assert (np.diff(fitted) >= -1e-12).all() and fitted.min() >= 0 and fitted.max() <= 1
+
+
+# 6 mixing
+
+
+def slow_targets(sizes, weights=(3, 1, 2), share=1.5):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, target, open_ = share * sum(sizes.values()), {}, set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            return target | {s: level * weight[s] for s in open_}
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+def test_mixing(spark, docs, monkeypatch):
+    many = docs.unionAll(spark.createDataFrame([(100 + i, prose(i, 20 + i % 50), "en", "abc"[i % 3] if i % 2 else "b", 1) for i in range(400)], DOCS))
+    first = None
+    for rows in (1_000_000, 40):
+        monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", rows)
+        got = mixing.mix(many).collect()
+        assert len(got) == many.count()
+        key = sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=repr)
+        first = first or key
+        assert key == first
+    sizes, taken, most = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        most[r["source"]] = max(most[r["source"]], r["size"])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    wanted = slow_targets(sizes)
+    for r in got:
+        assert r["target"] == pytest.approx(wanted[r["source"]]) and r["source_size"] == sizes[r["source"]]
+    for s in sizes:
+        assert abs(taken[s] - wanted[s]) <= most[s]
+    mixed = Counter(r["doc_id"] for r in mixing.mixed_documents(many).select("doc_id").collect())
+    copies = Counter()
+    for r in got:
+        copies[r["doc_id"]] += r["copies"]
+    assert mixed == +copies
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# 7 html
+
+
+PAGES = [
+    ("", ""),
+    (None, ""),
+    ("plain text only", "plain text only"),
+    ("<html><body><nav><a>Home</a></nav><article><h1>Title &amp; more</h1><p><b>One\n  two<br><p>Three&nbsp;four.</article><footer>&copy; x</footer></body></html>", "Title & more\nOne two\nThree four."),
+    ("<body><div class='cookie-notice'>We use cookies</div><main><p>First paragraph of the text.</p><aside>Aside</aside><form>Name <input></form><script>var p='</p>'</script><p>S.</p><div class='comments'><p>Nice post!</p></div></main><div id=sidebar>Links</div></body>", "First paragraph of the text.\nS."),
+    ("<div class=top-nav><a>a</a><a>b</a></div><div><p>A long enough sentence to be the content of this page.</p><p>Ok.</p></div><div class='ad'>Buy now</div>", "A long enough sentence to be the content of this page.\nOk."),
+    ("<article><p>unclosed <i>tags <b>everywhere<p>next</article> stray </div>", "unclosed tags everywhere\nnext"),
+    ("<p>broken <![declaration here</p>", None),
+    ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>", "one\ntwo\na b\nc"),
+    ("<article><header><h1>Own title</h1></header><p>Text &lt;here&gt;</p></article>", "Own title\nText <here>"),
+]
+
+
+@pytest.mark.parametrize("html,expected", PAGES)
+def test_extract(html, expected):
+    got = html_extract.extract(html)
+    assert expected is None or got == expected
+
+
+def test_extract_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "clash"), (1, "u", "<p>a</p>", "clash"), (None, None, None, None), (2, "v", "<article><p>" + "word " * 200_000 + "</p></article>", "x")], "page_id long, url string, html string, text string")
+    got = html_extract.extract_pages(pages).collect()
+    assert sorted((len(r["text"]) for r in got)) == [0, 1, 1, 999_999]
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+# 8 packing
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
+def test_layout_holds_everything(histogram):
+    bins = packing.lay_out(histogram, capacity=64, groups=8)
+    got = Counter()
+    for b in bins:
+        assert sum(b.lengths) <= 64 and b.count > 0
+        for n in b.lengths:
+            got[n] += b.count
+    assert got == Counter(histogram)
+    total = sum(n * c for n, c in histogram.items())
+    assert sum(b.count for b in bins) <= 11 / 9 * -(-total // 64) + sum(1 for n in histogram if 2 * n > 64) * max(histogram.values(), default=0) + 8
+
+
+def test_layout_is_tight():
+    rng = np.random.default_rng(1)
+    histogram = Counter(np.clip(rng.exponential(600, 20_000).astype(int) + 1, 1, 2048).tolist())
+    total = sum(n * c for n, c in histogram.items())
+    assert sum(b.count for b in packing.lay_out(histogram)) <= 1.005 * total / 2048 + 1
+
+
+@pytest.mark.parametrize("rows_per_bucket", [20_000, 2])
+def test_pack(docs, monkeypatch, rows_per_bucket):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", rows_per_bucket)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rows = packing.pack(docs, with_ids=True).collect()
+    wanted = Counter()
+    for r in docs.collect():
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for i, (start, length) in enumerate(packing.piece_bounds(len(ids))):
+            wanted[(r["doc_id"], i, start, length, zlib.crc32(np.array(ids[start : start + length], dtype="<u4").tobytes()))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == wanted
+    assert all(zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=80))
+def test_both_tokenizer_libraries_agree(text):
+    import public_tokenizers
+
+    text = text.encode("utf-8", "ignore").decode()
+    assert tokens.encoder()(text) == tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text)
+
+
+# 9 chat
+
+
+def test_chat_round_trip(spark, sf):
+    rng = np.random.default_rng(2)
+    odd = ["", None, "\\### Assistant: </turn> ok", "</turn>\n### user: hi", "\\\\<#:", prose(9, 3000), "é\u2028\U0001f600", "### "]
+    rows = [(c, t, ["system", "user", "assistant", None, "as:s</turn>"][int(rng.integers(5))], odd[int(rng.integers(len(odd)))]) for c in range(12) for t in range(int(rng.integers(1, 30)))]
+    rows += [(None, 0, "user", "x"), (50, 1, "user", "tie"), (50, 1, "user", "tie"), (50, None, "assistant", "early")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+    windows = chat_format.format_conversations(frame, budget=200)
+    got = {r["conv_id"]: r for r in chat_format.digests(windows).collect()}
+    by_conv = defaultdict(list)
+    for c, t, role, text in rows:
+        by_conv[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == set(by_conv)
+    for c, turns in by_conv.items():
+        turns.sort()
+        r = got[c]
+        assert r["n_turns"] == len(turns)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+        loss = "".join(b for _, a, b in turns if a == "assistant")
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for w in windows.collect():
+        new = w["n_turns"] - w["n_repeated"]
+        assert new >= 1 and (w["n_tokens"] <= 200 or new == 1)
+    assert chat_format.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_later_windows_start_with_the_system_turn(spark):
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "assistant" if i % 2 else "user", prose(i, 12)) for i in range(1, 20)]
+    windows = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=160).orderBy("window_id").collect()
+    assert len(windows) > 2
+    for w in windows[1:]:
+        turns = chat_format.read_turns(w["formatted"])
+        assert turns[0] == ("system", "be kind") and 1 <= w["n_repeated"] <= 1 + chat_format.HISTORY_TURNS
+
+
+# 10 nearest neighbours
+
+
+def test_ann_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x[500:1500] = x[7]  # one vector holds a third of the rows
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3001, None), (3002, [0.0] * 16), (3003, [float("nan")] * 16), (3004, [1.0, None] * 8), (None, [1.0] * 16), (3020, [float("inf")] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = defaultdict(list)
+    for r in ann.search(frame, frame.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 3000, 20))
+    recall = []
+    for q, found in got.items():
+        scores = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:20]
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        assert [s for _, _, s in found] == sorted((s for _, _, s in found), reverse=True)
+        assert all(abs(s - scores[i]) < 1e-9 for _, i, s in found)
+        recall.append(len({i for _, i, _ in found} & set(order)) / 20)
+    assert np.mean(recall) >= 0.95
+    same = [i for _, i, _ in got[500]]
+    assert same == [7, *range(501, 520)]
+
+
+def test_ann_small_and_empty(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(frame, frame.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+    assert ann.search(frame.limit(0), frame).count() == 0
+    assert ann.search(frame.limit(1), frame.limit(1)).count() == 0
