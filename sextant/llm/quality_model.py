@@ -138,8 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     """Fits on labelled rows outside fold 2: the ridge on folds 0 and 3, the calibration on fold 1."""
     clean = labels.select(F.col("doc_id").alias(id_col), "quality").dropna().filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 2))
     chosen = bounded_sample(clean.groupBy(id_col).agg(F.min("quality").alias("quality")), id_col, fit_rows, seed=1)
-    stats = checkpointed(with_stats(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)).repartition(FIT_PARTITIONS, F.xxhash64(id_col)).withColumn("fold", fold(F.col(id_col))))
-    ridge_rows, calibration_rows = stats.filter("fold != 1"), stats.filter("fold = 1")
+    stats = checkpointed(with_stats(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)).withColumn("fold", fold(F.col(id_col))))
+    # Few partitions, so that few matrices come to the driver however many files the sample was read from.
+    ridge_rows, calibration_rows = stats.filter("fold != 1").coalesce(FIT_PARTITIONS), stats.filter("fold = 1").coalesce(FIT_PARTITIONS)
     counts = {r["quality"]: r["n"] for r in stats.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     held = {r["quality"] for r in ridge_rows.select("quality").distinct().collect()} & {r["quality"] for r in calibration_rows.select("quality").distinct().collect()}
     if held != {0, 1}:
