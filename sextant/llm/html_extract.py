@@ -5,7 +5,8 @@ number of tags in it. Elements that are never part of an article (scripts, forms
 comments and the like, by tag, role, or class and id words) are left out while parsing. The
 text-to-tag ratios of the remaining lines are smoothed with a Gaussian and split into two clusters;
 the lines of the upper cluster vote for the element that holds the content region, and every line
-inside that element is kept, short ones too, so that the article comes out whole and in page order.
+inside that element is kept, short ones too, so that the article comes out whole and in page order; a title (h1) before it
+joins it if it has none of its own.
 
 Each page is handled alone while Arrow batches stream; no shuffle. Defined results: null or empty
 html, or a page without an article, gives the empty string. Unclosed and stray tags are closed at
@@ -30,8 +31,12 @@ CONTAINERS = frozenset("html body main article section div td table ul ol dl blo
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title nav footer aside form button select textarea input dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of class and id attributes (split at anything but letters) that mark what is not the article.
-DROPPED_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related replies respond share sharing sidebar signup sitenav social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+DROPPED_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus discussion footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related replies respond share sharing sidebar signup sitenav social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 NEVER_DROPPED = frozenset("html body main".split())
+#: A layout that says it has a sidebar is not one; an article's own head is part of it.
+LAYOUT_WORDS = frozenset("has with no without".split())
+ARTICLE_WORDS = frozenset("article entry post story".split())
+HEAD_WORDS = frozenset("header masthead banner".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: These end an open element of the same group.
 IMPLIED_END = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -43,10 +48,10 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Line:
-    __slots__ = ("text", "tags", "path", "heading")
+    __slots__ = ("text", "tags", "path", "title")
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...], heading: bool) -> None:
-        self.text, self.tags, self.path, self.heading = text, tags, path, heading
+    def __init__(self, text: str, tags: int, path: tuple[int, ...], title: bool) -> None:
+        self.text, self.tags, self.path, self.title = text, tags, path, title
 
 
 class LineParser(HTMLParser):
@@ -64,8 +69,7 @@ class LineParser(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tags = [t for t, _, _ in self.stack]
-            self.lines.append(Line(text, self.tags, tuple(c for _, c, _ in self.stack if c >= 0), any(t in HEADINGS for t in tags)))
+            self.lines.append(Line(text, self.tags, tuple(c for _, c, _ in self.stack if c >= 0), any(t == "h1" for t, _, _ in self.stack)))
         self.parts.clear()
         self.tags = 0
 
@@ -79,10 +83,19 @@ class LineParser(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or (name == "role" and (value or "").lower() in DROPPED_ROLES):
                 return True
-            if name in ("class", "id") and value and not DROPPED_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", value))) and tag not in HEADINGS:
+            if name in ("class", "id") and value and tag not in HEADINGS and any(map(self._marks_other, value.split())):
                 return True
         return False
 
+    def _marks_other(self, name: str) -> bool:
+        """Whether one class or id names something beside the article."""
+        words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))}
+        marks = words & DROPPED_WORDS
+        if not marks or words & LAYOUT_WORDS:
+            return False
+        own_head = marks <= HEAD_WORDS and (words & ARTICLE_WORDS or any(t in ("article", "main") for t, _, _ in self.stack))
+        return not own_head
+
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             self.dropping -= self.stack.pop()[2]
@@ -198,7 +211,12 @@ def extract(html: str | None) -> str:
     if not parser.lines:
         return ""
     root = content_element(parser.lines, parser.kinds)
-    return "\n".join(line.text for line in parser.lines if root is None or root in line.path)
+    kept = [root is None or root in line.path for line in parser.lines]
+    if not any(k and line.title for k, line in zip(kept, parser.lines, strict=True)):
+        # The page's title stands before its content element and belongs to the article.
+        first = kept.index(True)
+        kept = [k or (line.title and i < first) for i, (k, line) in enumerate(zip(kept, parser.lines, strict=True))]
+    return "\n".join(line.text for k, line in zip(kept, parser.lines, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
