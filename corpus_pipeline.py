@@ -7,7 +7,6 @@ Every stage takes all that its predecessor kept, and all but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sextant.llm import mixing, packing, quality_model, quality_rules, simhash
 from sextant.session import scratch_path, table
@@ -18,15 +17,12 @@ ORACLE_SQL = None
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for label 1."""
-    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+    return quality_model.accepted(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list."""
-    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    own = docs.withColumn("text_", F.col("text"))
-    return quality_rules.judge(own, rules, text_col="text_").filter("kept").select(*docs.columns)
+    return quality_rules.passed(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,8 +121,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
     keys = ["own_id", "own_source", "own_hash"]
     plan = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"), F.col("text_hash").alias("own_hash"), "copies").filter(F.col("copies") > 0)
-    plan = plan.groupBy(*keys).agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    same = F.col(id_col).eqNullSafe(F.col("own_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("own_source")) & (F.xxhash64(text_col) == F.col("own_hash"))
-    found = docs.join(plan, same)
-    single, repeated = found.filter("rows_ = 1"), found.filter("rows_ > 1").dropDuplicates(keys)
-    return single.unionByName(repeated).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
+    plan = plan.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    # Rows travel as structs, so that no column of theirs meets a column of the plan.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"), F.struct(*docs.columns).alias("row"))
+    found = rows.join(plan, F.col("id").eqNullSafe(F.col("own_id")) & F.col("source").eqNullSafe(F.col("own_source")) & (F.col("hash") == F.col("own_hash")))
+    single, repeated = found.filter("rows = 1"), found.filter("rows > 1").dropDuplicates(keys)
+    return single.unionByName(repeated).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -157,9 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     return QualityModel(projection, ridge, Isotonic.fit(raw, got["quality"].to_numpy(dtype=float)))
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: the id) of every row, with score and predicted."""
-    keep = keep or [id_col]
+def _scored(docs: DataFrame, model: QualityModel, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as k0, k1, ..., then score and predicted."""
     fields = [docs.schema[c] for c in keep]
     names = [f"k{i}" for i in range(len(keep))]
     own = names[keep.index(text_col)] if text_col in keep else "text"
@@ -173,4 +172,17 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(p), pa.array((p >= KEEP_FROM).astype(np.int32))], names=[*names, "score", "predicted"])
 
     ddl = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True)] + ["score double", "predicted int"])
-    return chosen.mapInArrow(run, ddl).toDF(*keep, "score", "predicted")
+    return chosen.mapInArrow(run, ddl)
+
+
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: the id) of every row, with score and predicted."""
+    keep = keep or [id_col]
+    return _scored(docs, model, text_col, keep).toDF(*keep, "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that the model takes for label 1."""
+    names = docs.columns
+    kept = _scored(docs, model, text_col, names).filter("predicted = 1").drop("score", "predicted")
+    return kept.toDF(*names)

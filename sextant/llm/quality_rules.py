@@ -197,3 +197,11 @@ def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataF
     clash = [c for c in docs.columns if c in FIELDS or c in ("base_failed", "kept")]
     stats = with_stats(docs.drop(*clash), text_col)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rules.rejects(ratios()))
+
+
+def passed(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that the base rule and the list keep."""
+    names = docs.columns
+    plain = docs.toDF(*[f"k{i}" for i in range(len(names))])
+    judged = judge(plain.withColumn("text", F.col(f"k{names.index(text_col)}")), rules)
+    return judged.filter("kept").select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(names)])

@@ -276,6 +276,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id cannot be told apart by it and stay.
     """
     classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("own_id")).agg(F.count("*").alias("rows_"))
-    found = docs.join(kept, F.col(id_col) == F.col("own_id"))
-    return found.filter("rows_ = 1").unionByName(found.filter("rows_ > 1").dropDuplicates(["own_id"])).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    kept = classes.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("own_id")).agg(F.count("*").alias("rows"))
+    # Rows travel as structs, so that no column of theirs meets a column of the plan.
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
+    found = rows.join(kept, F.col("id") == F.col("own_id"))
+    one = found.filter("rows = 1").unionByName(found.filter("rows > 1").dropDuplicates(["own_id"])).select("row")
+    return one.unionByName(rows.filter("id IS NULL").select("row")).select("row.*")

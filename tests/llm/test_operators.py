@@ -320,6 +320,7 @@ PAGES = [
     ("<article><p>unclosed <i>tags <b>everywhere<p>next</article> stray </div>", "unclosed tags everywhere\nnext"),
     ("<p>broken <![declaration here</p>", None),
     ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>", "one\ntwo\na b\nc"),
+    ("<div class='page has-sidebar'><div class='article-header'><h1>T</h1></div><div class=content><p>some text that is long enough here</p><p>x</p></div><div class='sidebar'>no</div><div class='postComments'>bad</div></div>", "T\nsome text that is long enough here\nx"),
     ("<article><header><h1>Own title</h1></header><p>Text &lt;here&gt;</p></article>", "Own title\nText <here>"),
 ]
 
@@ -466,3 +467,21 @@ def test_ann_small_and_empty(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(frame, frame.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert ann.search(frame.limit(0), frame).count() == 0
     assert ann.search(frame.limit(1), frame.limit(1)).count() == 0
+
+
+# rows pass through the filtering operators as they are
+
+
+def test_rows_keep_clashing_columns(spark):
+    names = "id own_id rows row copies copy hash source_rank k0 score predicted kept n_words base_failed fp component_id text_hash".split()
+    frame = spark.createDataFrame([(i, prose(i, 90), "en", "a", 1) for i in range(6)], DOCS)
+    for i, n in enumerate(names):
+        frame = frame.withColumn(n, F.lit(i))
+    model, rules = quality_model.QualityModel(None, None, None, 0.9), quality_rules.DecisionList()
+    for out in (quality_model.accepted(frame, model), quality_rules.passed(frame, rules), simhash.deduplicated(frame), mixing.mixed_documents(frame)):
+        assert out.columns == frame.columns
+        rows = out.collect()
+        assert rows and all(r[n] == i for r in rows for i, n in enumerate(names))
+    assert packing.pack(frame).count() == 6
+    assert mixing.mix(frame).count() == 6
+    assert license_scan.scan(frame).count() == 0
