@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +53,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable on executors, unless their Python path already holds it.
+
+    A zip of the package goes through Spark's own file distribution, once for each context.
+    """
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    paths = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if str(root) in paths or getattr(context, "_sextant_shipped", False):
+        return
+    # Executors fetch the file from the driver as they come up, so it stays until the driver ends.
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/sextant.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "sextant").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(archive)
+    context._sextant_shipped = True
