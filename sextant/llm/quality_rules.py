@@ -104,6 +104,12 @@ class DecisionList:
         return [f"reject if {' and '.join(map(str, rule))}" for rule in self.rules]
 
 
+def _centred(condition: Condition, own: np.ndarray) -> Condition:
+    """The same split of these values, its threshold in the middle of the gap that it lies in."""
+    under, over = own[own <= condition.threshold], own[own > condition.threshold]
+    return Condition(condition.name, condition.above, float((under.max() + over.min()) / 2)) if len(under) and len(over) else condition
+
+
 def _grow(values: Mapping[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Rule:
     rule: list[Condition] = []
     covered = rows
@@ -141,8 +147,9 @@ def _grow(values: Mapping[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -
                     best = gain[i], Condition(name, above, float(cuts[i]))
         if best[1] is None:
             break
-        rule.append(best[1])
-        covered = covered & best[1].holds(values)
+        chosen = _centred(best[1], values[best[1].name][covered])
+        rule.append(chosen)
+        covered = covered & chosen.holds(values)
     return tuple(rule)
 
 
