@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: White space of the word definition: a word is a run of other characters.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Least rows of a hash bucket; beyond its square a group has as many buckets as a bucket has rows.
+ROWS_PER_BUCKET = 1_000
 #: Range of the non-negative hash that ``hashed_fraction`` compares.
 FRACTION_RANGE = 1 << 30
 
@@ -31,6 +33,16 @@ def in_fraction(key: Column, fraction: float, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(FRACTION_RANGE)) < int(min(1.0, fraction) * FRACTION_RANGE)
 
 
+def bucket_count(rows: Column, least: int | None = None) -> Column:
+    """Buckets for a group of so many rows.
+
+    Both the rows of a bucket and the number of buckets, over which offsets are summed in order, stay
+    near the square root of the group's rows.
+    """
+    each = F.greatest(F.lit(float(least or ROWS_PER_BUCKET)), F.sqrt(rows))
+    return F.greatest(F.lit(1), F.floor(rows / each)).cast("long")
+
+
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
     """Rows whose key's hash falls under most / count: about ``most`` rows at any input size, without a sort."""
     count = df.count()

@@ -10,7 +10,7 @@ Nothing orders a whole source or the whole corpus in one task. A source's runnin
 from hash buckets: per-bucket sums (combined before their shuffle) give each bucket its offset,
 and rows are only ranked inside a bucket. The global order is cut into virtual-time ranges in the
 same way: sums per range find the range that holds the budget's end, and only ranges up to it are
-sorted. Buckets and ranges follow the number of rows, about ``ROWS_PER_BUCKET`` each.
+sorted. Buckets and ranges hold ``ROWS_PER_BUCKET`` rows, or the square root of all if that is more.
 
 Defined results: null text has size 0; null source is a source of its own, the last in code point
 order. Documents of size 0 and documents of a source with target 0 are never taken. Ties in the
@@ -24,13 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import word_count
+from sextant.llm.common import ROWS_PER_BUCKET, bucket_count, word_count
 from sextant.session import checkpointed
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET_SHARE = 1.5
 MOST_REPEATS = 2
-ROWS_PER_BUCKET = 20_000
 #: Source tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -71,8 +70,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float
     sources = checkpointed(targets(totals.drop("source_rows"), weights, budget_share, most_repeats))
     n_sources = sources.count()
     # Virtual-time ranges follow all rows, buckets of the shuffle the rows of their source; both keep the order of what they cut.
-    buckets = max(1, sized.count() // ROWS_PER_BUCKET)
-    own_buckets = F.greatest(F.lit(1), F.floor(F.col("source_rows") / ROWS_PER_BUCKET)).cast("long")
+    rows = sized.count()
+    buckets = max(1, int(rows / max(ROWS_PER_BUCKET, rows**0.5)))
+    own_buckets = bucket_count(F.col("source_rows"), ROWS_PER_BUCKET)
     bucketed = _join_sources(sized, totals.drop("source_size"), n_sources).withColumn("bucket", F.shiftright(F.shiftright("hash", 30) * own_buckets, 30)).drop("source_rows")
 
     sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
