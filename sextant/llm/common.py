@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Least rows of a hash bucket; beyond its square a group has as many buckets as a bucket has rows.
-ROWS_PER_BUCKET = 1_000
+ROWS_PER_BUCKET = 200
 #: Range of the non-negative hash that ``hashed_fraction`` compares.
 FRACTION_RANGE = 1 << 30
 

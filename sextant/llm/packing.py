@@ -8,8 +8,8 @@ best fit, longest first.
 
 Everything is planned on the histogram of lengths, which has at most ``capacity`` rows whatever the
 input holds: a plan says that the pieces of a length with ranks from a to b go to the sequences
-from s on, at one offset. Ranks within a length come from hash buckets of about
-``ROWS_PER_BUCKET`` rows, so a length that a third of all pieces share is ranked by many tasks.
+from s on, at one offset. Ranks within a length come from hash buckets
+(``bucket_count``), so a length that a third of all pieces share is ranked by many tasks.
 
 Defined results: null or empty text is one piece, the end token alone. Documents longer than the
 capacity are cut from their end into full pieces, the first piece may be shorter. Repeated rows are
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.llm.common import ROWS_PER_BUCKET, bucket_count
 from sextant.llm.tokens import encoder
 from sextant.session import checkpointed
 
@@ -35,7 +36,6 @@ END_TOKEN = 0
 GROUPS = 192
 #: Pieces of more than capacity / SMALL_PART are grouped; smaller ones are best-fitted.
 SMALL_PART = 3
-ROWS_PER_BUCKET = 20_000
 COLUMN_STEPS = 3_000
 _TOLERANCE = 1e-9
 
@@ -250,7 +250,7 @@ def ranked(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
     """Adds each piece's rank among the pieces of its length, from 0."""
     # At most `capacity` rows, so the broadcast is bounded.
     counts = F.broadcast(histogram.withColumnRenamed("length", "own_length"))
-    spread = F.pmod(F.xxhash64("id", "piece"), F.greatest(F.lit(1), F.floor(F.col("n") / ROWS_PER_BUCKET)).cast("long"))
+    spread = F.pmod(F.xxhash64("id", "piece"), bucket_count(F.col("n"), ROWS_PER_BUCKET))
     bucketed = pieces.join(counts, F.col("length") == F.col("own_length")).drop("own_length").withColumn("bucket", spread).drop("n")
     sums = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
