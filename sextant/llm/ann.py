@@ -3,7 +3,9 @@
 Coarse centroids and, per group of dimensions, codebooks of residuals are trained on a bounded
 sample of at most about ``FIT_ROWS`` vectors; every vector is indexed. A query's score of a vector in
 cell c is approximated as q.c plus one table entry a code (asymmetric distance: the query is
-not quantised); the best ``RERANK`` in each shard are then scored exactly in double precision.
+not quantised). In each shard the best ``RERANK`` are scored exactly in double precision, and then every
+candidate whose approximate score, raised by ``ERROR_MARGIN`` deviations of its own quantisation error, reaches the k-th
+best of those; there is no cap, so a crowd of near-equal vectors is scored whole.
 
 How many cells a query probes is measured on the sample: the fewest that hold ``COVERAGE`` of the
 true neighbours of sampled queries. Vectors without cluster structure need many, clustered ones few.
@@ -39,8 +41,13 @@ GROUPS = 16
 CODES = 256
 COVERAGE = 0.98
 CALIBRATION_QUERIES = 256
-RERANK = 256
+RERANK = 64
+#: Standard deviations of the approximation error that a candidate may lack to be scored exactly.
+ERROR_MARGIN = 3.0
 SHARD_ROWS = 8_192
+#: Small inputs are cut into about this many shards, so that every core has some.
+SHARDS = 64
+LEAST_SHARD_ROWS = 256
 QUERY_BLOCK = 8_192
 SEED = 7
 
@@ -109,12 +116,14 @@ class Index:
         needed = np.sort(np.take_along_axis(place, cells[top], axis=1).ravel())
         return int(needed[min(len(needed) - 1, math.ceil(coverage * len(needed)))]) + 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, codes and norm of the quantisation error of each vector."""
         cells = nearest(x, self.centroids)
         residuals = x - self.centroids[cells]
         width = self.codebooks.shape[2]
         codes = np.stack([nearest(residuals[:, m * width : (m + 1) * width], book) for m, book in enumerate(self.codebooks)], axis=1)
-        return cells, codes.astype(np.uint8)
+        decoded = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.codebooks)], axis=1)
+        return cells, codes.astype(np.uint8), np.sqrt(((residuals - decoded) ** 2).sum(1))
 
     def probed(self, queries: np.ndarray) -> np.ndarray:
         """Query x cell: whether the cell is among the query's probes."""
@@ -126,11 +135,13 @@ class Index:
             np.put_along_axis(mask, np.argpartition(-scores, self.probes - 1, axis=1)[:, : self.probes], True, axis=1)
         return mask
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, codes: np.ndarray, errors: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, ids, exact scores) of each query's best k among these rows. Rows ascend by id."""
         width = self.codebooks.shape[2]
         offsets = np.arange(len(self.codebooks)) * self.codebooks.shape[1]
         flat = codes.astype(np.int64) + offsets
+        # The error's part along a query has about this deviation for a query of length one.
+        slack = (ERROR_MARGIN * errors / math.sqrt(self.dimension)).astype(np.float32)
         depth = max(rerank, 2 * k)
         for at in range(0, len(queries), 16):
             block = queries[at : at + 16]
@@ -143,13 +154,11 @@ class Index:
             for i in range(len(block)):
                 scores = coarse[i][own] + tables[i][flat[rows]].sum(1)
                 scores[ids[rows] == query_ids[at + i]] = -np.inf
+                picked, scores = rows[scores > -np.inf], scores[scores > -np.inf]
                 if len(scores) > depth:
-                    level = np.partition(scores, len(scores) - depth)[len(scores) - depth]
-                    above = np.flatnonzero(scores > level)
-                    picked = np.concatenate([above, np.flatnonzero(scores == level)[: depth - len(above)]])
-                else:
-                    picked = np.arange(len(scores))
-                picked = rows[picked[scores[picked] > -np.inf]]
+                    first = picked[np.argpartition(-scores, depth - 1)[:depth]]
+                    level = np.partition((vectors[first] * block[i]).sum(1), depth - k)[depth - k]
+                    picked = picked[scores + np.linalg.norm(block[i]) * slack[picked] >= level]
                 exact = (vectors[picked] * block[i]).sum(1)
                 order = np.lexsort((ids[picked], -exact))[:k]
                 yield at + i, ids[picked[order]], exact[order]
@@ -174,24 +183,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     dimension = int(sizes.mode().iloc[0])
     sample = np.stack(drawn["v"][sizes == dimension].to_list()).astype(float)
     rows = rows.filter(F.size("v") == dimension)
-    index = Index.train(sample, rows.count(), k)
+    count = rows.count()
+    index = Index.train(sample, count, k)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _vectors(batch.column("v"), dimension)
-            cells, codes = index.encode(x)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "cell", "codes"])
+            cells, codes, errors = index.encode(x)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)], names=["id", "v", "cell", "codes", "error"])
 
-    postings = checkpointed(rows.mapInArrow(encode, "id long, v array<double>, cell int, codes binary"))
+    postings = checkpointed(rows.mapInArrow(encode, "id long, v array<double>, cell int, codes binary, error double"))
+    shard_rows = min(SHARD_ROWS, max(LEAST_SHARD_ROWS, count // SHARDS))
     # A row for each cell: at most MOST_CELLS.
     counts = {r["cell"]: r["n"] for r in postings.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     first, parts, shards, room = {}, {}, 0, 0
     for cell, n in sorted(counts.items()):
-        if n > SHARD_ROWS:
-            first[cell], parts[cell] = shards + (room > 0), -(-n // SHARD_ROWS)
+        if n > shard_rows:
+            first[cell], parts[cell] = shards + (room > 0), -(-n // shard_rows)
             shards, room = first[cell] + parts[cell], 0
         else:
-            if room + n > SHARD_ROWS:
+            if room + n > shard_rows:
                 shards, room = shards + 1, 0
             first[cell], parts[cell] = shards, 1
             room += n
@@ -228,7 +239,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             right = right.sort_by("id")
             codes = np.frombuffer(b"".join(right["codes"].to_pylist()), dtype=np.uint8).reshape(right.num_rows, -1)
             query_ids = left["id"].to_numpy()
-            results = index.search(_vectors(left["v"].combine_chunks(), dimension), query_ids, right["id"].to_numpy(), _vectors(right["v"].combine_chunks(), dimension), right["cell"].to_numpy(), codes, k, rerank)
+            results = index.search(_vectors(left["v"].combine_chunks(), dimension), query_ids, right["id"].to_numpy(), _vectors(right["v"].combine_chunks(), dimension), right["cell"].to_numpy(), codes, right["error"].to_numpy(), k, rerank)
             for query, ids, scores in results:
                 out[0].append(np.full(len(ids), query_ids[query]))
                 out[1].append(ids)
