@@ -6,7 +6,7 @@ text's words vote for signed hashed dimensions, and the vector is scaled to leng
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,3 +95,16 @@ def warp(pixels: np.ndarray, matrix: np.ndarray, side: int) -> np.ndarray:
     fx, fy = (x - x0)[:, None], (y - y0)[:, None]
     mixed = (pixels[y0, x0] * (1 - fx) + pixels[y0, x1] * fx) * (1 - fy) + (pixels[y1, x0] * (1 - fx) + pixels[y1, x1] * fx) * fy
     return (mixed * inside[:, None]).reshape(side, side, -1)
+
+
+class Encoders:
+    """Named encoders in order of preference; the first that is available serves, and its name keys stored embeddings."""
+
+    def __init__(self, options: dict[str, tuple[Callable[[], bool], Callable[[Column], Column]]]) -> None:
+        self.options = options
+
+    def pick(self, wanted: str | None = None) -> tuple[str, Callable[[Column], Column]]:
+        for name, (available, encode) in self.options.items():
+            if wanted in (None, name) and available():
+                return name, encode
+        raise ValueError("no encoder is available" if wanted is None else f"encoder {wanted!r} is not available")

@@ -70,3 +70,12 @@ def expand(l: Column, t: Column, r: Column, b: Column, width: Column, height: Co
     x, y = (l + r) / 2, (t + b) / 2
     inside = lambda value, limit: F.least(F.greatest(value, F.lit(0.0)), limit)
     return box(inside(x - side / 2, width), inside(y - side / 2, height), inside(x + side / 2, width), inside(y + side / 2, height))
+
+
+def rows_of_floats(values: Column, width: int) -> Column:
+    """Flat detector output as an array of (confidence, box): rows of 15 (box, points, score) or 5 (box, score) numbers."""
+    if width not in (5, 15):
+        raise ValueError("rows hold 5 or 15 numbers")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(width)), lambda s: s + width - 1 <= F.size(values))
+    row = lambda s: F.slice(values, s, width)
+    return F.transform(starts, lambda s: F.struct(F.get(row(s), F.lit(width - 1)).alias("confidence"), box(*(F.get(row(s), F.lit(i)) for i in range(4))).alias("box")))

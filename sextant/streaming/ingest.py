@@ -7,6 +7,8 @@ nothing, and no batch rewrites the store.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,3 +38,15 @@ def current(spark: SparkSession, store: str, id_col: str = "vec_id") -> DataFram
 def only_new(batch: DataFrame, store: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """Rows of a batch that the store lacks: what still has to be embedded."""
     return batch.join(store.select(F.col(id_col)).distinct(), id_col, "left_anti")
+
+
+def progress(query: StreamingQuery) -> dict[str, int]:
+    """Batches and rows that a query has processed so far, from its recent progress reports."""
+    reports = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    return {"batches": len(reports), "rows": sum(p["numInputRows"] for p in reports)}
+
+
+def split_failures(batch: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
+    """(good, failed) rows by a condition; a condition that is null counts as failed. Failed rows can be kept for a retry."""
+    good = F.coalesce(valid, F.lit(False))
+    return batch.filter(good), batch.filter(~good)

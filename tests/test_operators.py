@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import assist, clustering, detection, graph, ivfpq, knn, ranking, timeline
-from sextant.sources import files
+from sextant.functions import encoder
+from sextant.operators import assist, clustering, detection, graph, index, ivfpq, knn, ranking, timeline
+from sextant.plans import build_index
+from sextant.sources import files, metadata
 from sextant.streaming import ingest
 
 
@@ -183,3 +185,65 @@ def test_stream_upserts(spark, tmp_path):
     now = ingest.current(spark, store)
     assert sorted(map(tuple, now.collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert ingest.only_new(spark.createDataFrame([(3, "x"), (4, "y")], schema), now).count() == 1
+
+
+def test_index_interface(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    corpus = vectors(spark, rng.normal(size=(120, 8)))
+    queries = corpus.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = index.create(spark, "exact", 8, metric="l2")
+    assert exact.search(queries, 5).count() == 0
+    exact.add(corpus)
+    exact.add(corpus.limit(2))
+    assert exact.count() == 120
+    exact.save(str(tmp_path / "exact"))
+    again = index.load(spark, str(tmp_path / "exact"))
+    assert again.metric == "l2" and sorted(map(tuple, again.search(queries, 3).collect())) == sorted(map(tuple, exact.search(queries, 3).collect()))
+    small = index.create(spark, "ivfpq", 8, clusters=4, subquantisers=2, codes=16, probes=4)
+    small.add(corpus.filter("vec_id < 30"))
+    with pytest.raises(ValueError, match="trained"):
+        small.search(queries, 3)
+    small.add(corpus.filter("vec_id >= 30 AND vec_id < 100"))
+    small.add(corpus.filter("vec_id >= 90"))
+    assert small.count() == 120
+    found = index.search(corpus, queries, 5, small)
+    assert found.count() == 15 and set(found.columns) == {"query_id", "vec_id", "similarity", "rank"}
+    assert index.search(corpus.limit(50), queries, 5, small).count() == 15
+    for k in (0, 10_001):
+        with pytest.raises(ValueError):
+            small.search(queries, k)
+    with pytest.raises(ValueError):
+        index.create(spark, "graph", 8)
+
+
+def test_build_index(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    vectors(spark, rng.normal(size=(200, 16))).write.parquet(str(tmp_path / "in"))
+    built = build_index.build(spark, str(tmp_path / "in"), str(tmp_path / "out"), "speed", codes=16)
+    assert built.count() == 200 and metadata.read(spark, str(tmp_path / "out")).item_count == 200
+    assert not metadata.outdated(metadata.Metadata(1, 1, 5), metadata.Metadata(1, 1, 5)) and metadata.outdated(None, metadata.Metadata(1, 1, 5))
+
+
+def test_face_records(spark, tmp_path):
+    faces = spark.createDataFrame([(1, 7, "Ann", [1.0]), (2, 7, None, [2.0]), (3, 8, "", [3.0])], "face_id long, person_id long, person_label string, embedding array<double>")
+    metadata.write_faces(faces, str(tmp_path))
+    got = {r["face_id"]: (r["person_label"], r["embedding"]) for r in metadata.read_faces(spark, str(tmp_path)).collect()}
+    assert got == {1: ("Ann", [1.0]), 2: ("Ann", [2.0]), 3: ("", [3.0])}
+
+
+def test_rows_of_floats(spark):
+    row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 0.9, 5.0, 6.0, 7.0, 8.0, 0.8, 1.0],)], "v array<double>").select(detection.rows_of_floats(F.col("v"), 5).alias("x")).first()["x"]
+    assert [(r["confidence"], r["box"]["b"]) for r in row] == [(0.9, 4.0), (0.8, 8.0)]
+
+
+def test_encoder_choice():
+    same = lambda c: c
+    encoders = encoder.Encoders({"large": (lambda: False, same), "small": (lambda: True, same)})
+    assert encoders.pick()[0] == "small"
+    with pytest.raises(ValueError):
+        encoders.pick("large")
+
+
+def test_failed_rows_are_kept_apart(spark):
+    good, failed = ingest.split_failures(spark.createDataFrame([(1,), (2,), (None,)], "x int"), F.col("x") > 1)
+    assert good.count() == 1 and failed.count() == 2
