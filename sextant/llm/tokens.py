@@ -24,11 +24,22 @@ def encoder(path: str | None = None) -> Callable[[str], list[int]]:
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        return lambda text: own.encode(text, add_special_tokens=False).ids
+        exact = Tokenizer.from_file(path)
+        exact.encode_special_tokens = True
+        return lambda text: exact.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast(text)
+        except BaseException as error:
+            # Runs of about a million white spaces exhaust the pattern's stack, which comes up as a panic of the native library.
+            if type(error).__name__ != "PanicException":
+                raise
+            return encoder(public_tokenizers.path(f"{NAME}.json"))(text)
+
+    return encode

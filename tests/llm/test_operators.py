@@ -399,6 +399,13 @@ def test_both_tokenizer_libraries_agree(text):
     assert tokens.encoder()(text) == tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 100_000, "a" * 100_000, "\u00e9" * 50_000, "<|endoftext|>", "1234567890" * 5_000])
+def test_tokens_of_odd_texts(text):
+    import public_tokenizers
+
+    assert tokens.encoder()(text) == tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text)
+
+
 # 9 chat
 
 
