@@ -41,7 +41,7 @@ SYSTEM_ROLE = "system"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TEXT_SPECIAL = re.compile(r"([\\#<])")
 _ROLE_SPECIAL = re.compile(r"([\\#<:])")
-_TURN = re.compile(r"### ((?:\\.|[^\\#<:])*): ((?:\\.|[^\\#<])*)</turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.S)
 
 WINDOW_DDL = "window_id int, formatted string, loss_spans array<struct<start:int,end:int>>, n_repeated int, n_turns int, n_tokens int"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -200,6 +200,9 @@ def extract(html: str | None) -> str:
     """Main text of a page: its article's blocks, one a line."""
     if not html:
         return ""
+    # A comment that is never closed runs to the end of the page; the parser would look for its end again and again.
+    unclosed = html.find("<!--", html.rfind("-->") + 1)
+    html = html if unclosed < 0 else html[:unclosed]
     parser = LineParser()
     try:
         parser.feed(html)

@@ -40,6 +40,6 @@ def encoder(path: str | None = None) -> Callable[[str], list[int]]:
             # Runs of about a million white spaces exhaust the pattern's stack, which comes up as a panic of the native library.
             if type(error).__name__ != "PanicException":
                 raise
-            return encoder(public_tokenizers.path(f"{NAME}.json"))(text)
+            return encoder(f"{path.removesuffix('.tiktoken')}.json")(text)
 
     return encode
