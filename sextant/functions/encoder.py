@@ -108,3 +108,34 @@ class Encoders:
             if wanted in (None, name) and available():
                 return name, encode
         raise ValueError("no encoder is available" if wanted is None else f"encoder {wanted!r} is not available")
+
+
+def picture_inputs(pixels: Column, height: int, width: int, side: int = PICTURE_SIDE) -> Column:
+    """Flat channels-first model inputs of flat RGB pictures of one size; null where a picture has another."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda p: picture_input(np.asarray(p, dtype=float).reshape(height, width, 3), side).ravel() if p is not None and len(p) == height * width * 3 else None)
+
+    return run(pixels)
+
+
+def alignment(points: Column, target: np.ndarray) -> Column:
+    """The six numbers of the transform that takes a face's flat points to the target's; null where they coincide or are incomplete."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda p: _aligned(p, target))
+
+    return run(points)
+
+
+def _aligned(flat, target: np.ndarray) -> list[float] | None:
+    if flat is None or len(flat) != target.size:
+        return None
+    try:
+        return similarity_transform(np.asarray(flat, dtype=float).reshape(target.shape), target).ravel().tolist()
+    except ValueError:
+        return None

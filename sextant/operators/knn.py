@@ -1,12 +1,16 @@
 """Exact nearest neighbours.
 
-The score of a pair is a Column expression, so one query is a projection with a top-k
-(TakeOrderedAndProject), and a batch is a broadcast of checked size with a per-query rank whose
-group limit runs before the shuffle. Order is always score descending, then id ascending.
+One query is a projection with a top-k (TakeOrderedAndProject); a batch is a broadcast matrix of
+checked size that tasks multiply with their Arrow batches. Order is always score descending, then
+id ascending.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +47,60 @@ def query_pairs(corpus: DataFrame, queries: DataFrame, score: Column, id_col: st
     return corpus.join(F.broadcast(queries)).select("query_id", F.col(id_col), score)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by smaller id."""
+    if len(scores) > k:
+        level = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = np.flatnonzero(scores >= level)
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
+
 def knn_batch(corpus: DataFrame, queries: DataFrame, k: int = 20, threshold: float = -1.0, exclude_self: bool = False, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Cosine top-k of every query vector: (query_id, vec_id, similarity, rank)."""
-    pairs = query_pairs(corpus, queries, V.cosine(F.col(vector_col), F.col("query")).alias("similarity"), id_col)
-    if exclude_self:
-        pairs = pairs.filter(F.col("query_id") != F.col(id_col))
-    if threshold >= 0:
-        pairs = pairs.filter(F.col("similarity") >= threshold)
-    return top_per_query(pairs, k, id_col=id_col)
+    """Cosine top-k of every query vector: (query_id, vec_id, similarity, rank).
+
+    The counted, bounded query matrix is broadcast once; each task multiplies it with its Arrow batches
+    and keeps k candidates a query, so no pair rows arise and the shuffle carries k rows a query and task.
+    Vectors that are null, or of another dimension than the queries, take no part.
+    """
+    spark = corpus.sparkSession
+    asked = queries.select(F.col("query_id").cast("long"), V.as_double(F.col("query")).alias("query")).filter("query IS NOT NULL").limit(BROADCAST_QUERIES + 1).collect()
+    if len(asked) > BROADCAST_QUERIES:
+        raise ValueError(f"more than {BROADCAST_QUERIES} query vectors; use the inverted-file index")
+    ddl = f"query_id long, {id_col} long, similarity double"
+    dimension = len(asked[0]["query"]) if asked else 0
+    if any(len(r["query"]) != dimension for r in asked):
+        raise ValueError("query vectors differ in dimension")
+    shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked], dtype=np.int64), _unit(np.array([r["query"] for r in asked], dtype=float).reshape(len(asked), dimension))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, matrix = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0)) for _ in query_ids]
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            x = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)) if len(ids) else np.empty((0, dimension))
+            for at in range(0, len(query_ids), 256):
+                scores = matrix[at : at + 256] @ x.T
+                for i, row in enumerate(scores, at):
+                    allowed = row >= threshold if threshold >= 0 else np.ones(len(row), dtype=bool)
+                    if exclude_self:
+                        allowed &= ids != query_ids[i]
+                    own_ids, own = np.concatenate([held[i][0], ids[allowed]]), np.concatenate([held[i][1], row[allowed]])
+                    best = _best(own, own_ids, k)
+                    held[i] = own_ids[best], own[best]
+        if len(query_ids):
+            counts = [len(h[0]) for h in held]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, counts)), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]))], names=["query_id", id_col, "similarity"])
+
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vector_col)).alias("v")).filter(F.size("v") == dimension)
+    return top_per_query(rows.mapInArrow(run, ddl), k, id_col=id_col)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay, so their similarity is 0."""
+    lengths = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(lengths == 0, 1.0, lengths)
 
 
 def knn_subset(corpus: DataFrame, ids: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

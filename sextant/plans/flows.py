@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,20 @@ def scan_directory(spark: SparkSession, sf: str) -> DataFrame:
     return files.scan_directory(spark, sf, ("parquet",)).orderBy("path").select(F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes")
 
 
+def picture_preprocess(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as 8 x 8 grey pictures: range of the model input."""
+    grey = F.flatten(F.transform("embedding", lambda x: F.array_repeat((x + 1) * 127.5, 3)))
+    inputs = table(spark, sf, "embeddings").select("vec_id", encoder.picture_inputs(grey, 8, 8, 16).alias("x"))
+    return inputs.select("vec_id", F.size("x").alias("n"), F.round(F.array_min("x").cast("double"), 4).alias("low"), F.round(F.array_max("x").cast("double"), 4).alias("high"))
+
+
+def face_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Transform of each vector's first five points to a square's corners and centre."""
+    target = np.array([[0.0, 0], [1, 0], [0, 1], [1, 1], [0.5, 0.5]])
+    found = table(spark, sf, "embeddings").select("vec_id", encoder.alignment(F.slice("embedding", 1, 10).cast("array<double>"), target).alias("m"))
+    return found.select("vec_id", F.size("m").alias("n"), F.round(F.sqrt(F.get("m", F.lit(0)) ** 2 + F.get("m", F.lit(3)) ** 2), 6).alias("scale"))
+
+
 def token_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of the texts' first letters in a vocabulary; 3 for what it lacks."""
     vocabulary = bpe.letters_tokenizer().vocabulary
@@ -119,7 +134,7 @@ def token_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "text_search": text_search, "search_by_example": search_by_example, "people_pipeline": people_pipeline, "tuning_sweep": tuning_sweep, "index_round_trip": index_round_trip,
-    "stream_append": stream_append, "embedding_store": embedding_store, "scan_directory": scan_directory, "token_lookup": token_lookup,
+    "stream_append": stream_append, "embedding_store": embedding_store, "scan_directory": scan_directory, "token_lookup": token_lookup, "picture_preprocess": picture_preprocess, "face_alignment": face_alignment,
 }
 
 from sextant.plans.search import ORACLES as _SEARCH  # noqa: E402
