@@ -71,17 +71,21 @@ def op10_ann(spark: SparkSession, sf: str) -> DataFrame:
 
 def _op1_sql() -> str:
     """Exact containment over the same windows, without signatures."""
+    found = license_scan.tiers(license_scan.NOTICES)
+    shingled = [
+        f"h{size} AS MATERIALIZED (SELECT doc_id, list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size - 1}], ' ')) AS h FROM tokens WHERE len(w) >= {size})"
+        for size in sorted({t.size for t in found})
+    ]
     parts = []
-    for tier in license_scan.tiers(license_scan.NOTICES):
+    for tier in found:
         for name, shingles in tier.templates:
             listed = ", ".join("'" + s.replace("'", "''") + "'" for s in shingles)
             parts.append(f"""
             SELECT doc_id, '{name}' AS license_id, s AS start, len(list_intersect([{listed}], list_distinct(h[s + 1:s + {tier.window}]))) / {len(shingles)}::DOUBLE AS containment
-            FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) - 1 - {tier.window - tier.stride}) + 1, {tier.stride})) AS s
-                  FROM (SELECT doc_id, list_transform(range(1, len(w) - {tier.size} + 2), lambda i: array_to_string(w[i:i + {tier.size - 1}], ' ')) AS h FROM tokens WHERE len(w) >= {tier.size})
-                  WHERE list_has_any(h, [{listed}]))""")
+            FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) - 1 - {tier.window - tier.stride}) + 1, {tier.stride})) AS s FROM h{tier.size} WHERE list_has_any(h, [{listed}]))""")
     return f"""
         WITH tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        {", ".join(shingled)},
         found AS ({" UNION ALL ".join(parts)}),
         matched AS (SELECT * FROM found WHERE containment >= {license_scan.SIMILARITY}),
         best AS (SELECT doc_id, license_id, max(containment) AS containment FROM matched GROUP BY ALL)
