@@ -10,8 +10,11 @@ Template: ``### role: text</turn>`` and a newline per turn. In roles and texts a
 before each of ``\\ # < :`` (texts: without the colon), so no control string can appear in a text and reading back is
 exact.
 
-Rows are dealt by conversation and sorted by turn inside a partition; formatting streams, holding
-the turns of one window. No turn is cut: one that exceeds the budget alone gets a window alone.
+A conversation is cut into segments of ``SEGMENT_TURNS`` turn numbers, which are formatted by different
+tasks, so that one that holds a third of all rows does not land in one. A later segment gets the system
+turn and the last turns before it as context. Rows are sorted by turn inside a partition; formatting
+streams, holding the turns of one window. No turn is cut: one that exceeds the budget alone gets a
+window alone.
 
 Defined results: null text and null role count as empty. Rows of equal conversation and turn stay
 apart, ordered by role, then text. Null conversation ids form one conversation. No rows: no rows.
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Window_
 from pyspark.sql import functions as F
 
 from sextant.llm.tokens import encoder
@@ -35,6 +39,8 @@ HISTORY_TURNS = 2
 HISTORY_SHARE = 0.25
 #: Tokens that the template adds to a turn, at most.
 TURN_OVERHEAD = 12
+#: Turn numbers in a segment.
+SEGMENT_TURNS = 256
 TARGET_ROLE = "assistant"
 SYSTEM_ROLE = "system"
 
@@ -43,7 +49,7 @@ _TEXT_SPECIAL = re.compile(r"([\\#<])")
 _ROLE_SPECIAL = re.compile(r"([\\#<:])")
 _TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.S)
 
-WINDOW_DDL = "window_id int, formatted string, loss_spans array<struct<start:int,end:int>>, n_repeated int, n_turns int, n_tokens int"
+WINDOW_DDL = "segment long, window_id int, formatted string, loss_spans array<struct<start:int,end:int>>, n_repeated int, n_turns int, n_tokens int"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -99,16 +105,24 @@ class Windower:
         self.budget, self.history_turns, self.history_tokens = budget, history_turns, int(budget * history_share)
         self.number = 0
         self.system: Turn | None = None
+        self.before: list[Turn] | None = None
         self.repeated: list[Turn] = []
         self.new: list[Turn] = []
         self.used = 0
         self.first = True
 
+    def resume(self, system: Turn | None, before: list[Turn]) -> None:
+        """Goes on after a segment that another windower formats."""
+        self.system, self.before, self.first = system, before, False
+
     def add(self, turn: Turn) -> Window | None:
         if self.first and turn.role == SYSTEM_ROLE:
             self.system = turn
         self.first = False
         full = None
+        if self.before is not None:
+            self._repeat(self.before, turn)
+            self.before = None
         if self.new and self.used + turn.tokens > self.budget:
             full = self.close()
             self._repeat(full.repeated + full.new, turn)
@@ -138,56 +152,92 @@ class Windower:
         return window
 
 
+def _context(rows: DataFrame, history_turns: int) -> DataFrame:
+    """Context rows of segments after a conversation's first: the system turn (place -1), then the turns before the segment."""
+    heads = rows.groupBy("conv_id").agg(F.min(F.struct("segment", "turn", "role", "text")).alias("first"), F.max("segment").alias("last")).filter(F.col("last") != F.col("first.segment"))
+    heads = heads.select(F.col("conv_id").alias("own_id"), "first")
+    long = rows.join(heads, F.col("conv_id").eqNullSafe(F.col("own_id")))
+    place = F.row_number().over(Window_.partitionBy("conv_id", "segment").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
+    turn = F.struct((-F.col("place")).alias("at"), "role", "text")
+    tails = long.withColumn("place", place).groupBy("conv_id", "segment").agg(F.first("first").alias("first"), F.array_sort(F.collect_list(F.when(F.col("place") <= history_turns, turn))).alias("tail"))
+    # A row for each segment: a conversation's rows divided by the turns of a segment.
+    before = F.lag("tail").over(Window_.partitionBy("conv_id").orderBy("segment"))
+    resumed = tails.withColumn("before", before).filter(F.col("segment") != F.col("first.segment"))
+    system = F.when(F.col("first.role") == SYSTEM_ROLE, F.array(F.struct(F.lit(-1).alias("at"), F.col("first.role").alias("role"), F.col("first.text").alias("text"))))
+    # An empty role and text at place -2 marks the segment as a later one even if nothing else stands before it.
+    mark = F.array(F.struct(F.lit(-2).alias("at"), F.lit("").alias("role"), F.lit("").alias("text")))
+    history = F.transform("before", lambda t, i: F.struct(i.alias("at"), t["role"].alias("role"), t["text"].alias("text")))
+    none = F.array().cast("array<struct<at:int,role:string,text:string>>")
+    return resumed.select("conv_id", "segment", F.inline(F.concat(mark, F.coalesce(system, none), F.coalesce(history, none)))).select("conv_id", "segment", F.lit(0).alias("kind"), F.col("at").cast("long").alias("turn"), "role", "text")
+
+
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_share: float = HISTORY_SHARE, tokenizer: str | None = None) -> DataFrame:
-    """(conv_id, turn, role, text) rows to windows, in order within their partition.
+    """(conv_id, turn, role, text) rows to windows.
 
-    Columns: conv_id, window_id, formatted, loss_spans (code points), n_repeated (turns at the start
-    that earlier windows hold), n_turns, n_tokens. A conversation's windows share a partition.
+    Columns: conv_id, segment, window_id (from 0 in each segment), formatted, loss_spans (code points),
+    n_repeated (turns at the start that earlier windows hold), n_turns, n_tokens.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "segment", "window_id", "formatted", "loss_spans", "n_repeated", "n_turns", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-        from pyspark.sql.types import _parse_datatype_string
-
-        id_type = to_arrow_type(_parse_datatype_string(kind)) if kind != "bigint" else pa.int64()
         encode = encoder(tokenizer)
-        windower, conv, started = Windower(budget, history_turns, history_share), None, False
+        windower, key, started = Windower(budget, history_turns, history_share), None, False
+        system: Turn | None = None
+        before: list[Turn] = []
+        resuming = False
         out: list[tuple] = []
 
         def emit(window: Window | None) -> None:
             if window:
                 formatted, spans = window.render()
                 turns = window.repeated + window.new
-                out.append((conv, window.number, formatted, [{"start": a, "end": b} for a, b in spans], len(window.repeated), len(turns), sum(t.tokens for t in turns)))
+                out.append((*key, window.number, formatted, [{"start": a, "end": b} for a, b in spans], len(window.repeated), len(turns), sum(t.tokens for t in turns)))
 
-        def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            types = (id_type, pa.int32(), pa.string(), _SPANS, pa.int32(), pa.int32(), pa.int32())
-            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "window_id", "formatted", "loss_spans", "n_repeated", "n_turns", "n_tokens"])
+        def batch_of(id_type: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            types = (id_type, pa.int64(), pa.int32(), pa.string(), _SPANS, pa.int32(), pa.int32(), pa.int32())
+            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
             out.clear()
             return found
 
+        id_type = pa.int64()
         for batch in batches:
-            for own, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if not started or own != conv:
+            id_type = batch.schema.field("conv_id").type
+            for own, segment, place, at, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "kind", "turn", "role", "text")), strict=True):
+                if not started or (own, segment) != key:
                     emit(windower.close())
-                    windower, conv, started = Windower(budget, history_turns, history_share), own, True
-                emit(windower.add(Turn(role or "", text or "", len(encode(text or "")) + TURN_OVERHEAD)))
-            yield batch_of()
+                    windower, key, started = Windower(budget, history_turns, history_share), (own, segment), True
+                    system, before, resuming = None, [], False
+                turn = Turn(role, text, len(encode(text)) + TURN_OVERHEAD)
+                if place == 0:
+                    resuming = True
+                    if at == -1:
+                        system = turn
+                    elif at >= 0:
+                        before.append(turn)
+                    continue
+                if resuming:
+                    windower.resume(system, before)
+                    resuming = False
+                emit(windower.add(turn))
+            yield batch_of(id_type)
         emit(windower.close())
         if out:
-            yield batch_of()
+            yield batch_of(id_type)
 
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    segment = F.when(F.col("turn").isNull(), F.lit(-(1 << 62))).otherwise(F.floor(F.col("turn") / SEGMENT_TURNS)).cast("long")
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("segment", segment)
+    every = rows.select("conv_id", "segment", F.lit(1).alias("kind"), "turn", "role", "text").unionByName(_context(rows, history_turns))
+    ordered = every.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", "turn", "role", "text")
     return ordered.mapInArrow(run, f"conv_id {kind}, {WINDOW_DDL}")
 
 
 def digests(windows: DataFrame) -> DataFrame:
     """Reads formatted windows back: one row per conversation with digests of turns and of the loss text.
 
-    Takes windows as ``format_conversations`` returns them, in order; hashes are kept running.
+    A digest has to read its conversation in order, so this step brings a conversation's windows to one
+    task, which streams them and keeps running hashes.
     """
     kind = windows.schema["conv_id"].dataType.simpleString()
 
@@ -227,4 +277,5 @@ def digests(windows: DataFrame) -> DataFrame:
             out.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             yield batch_of(id_type)
 
-    return windows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = windows.select("conv_id", "segment", "window_id", "formatted", "loss_spans", "n_repeated").repartition("conv_id").sortWithinPartitions("conv_id", "segment", "window_id")
+    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -409,7 +409,9 @@ def test_tokens_of_odd_texts(text):
 # 9 chat
 
 
-def test_chat_round_trip(spark, sf):
+@pytest.mark.parametrize("segment_turns", [256, 4])
+def test_chat_round_trip(spark, sf, monkeypatch, segment_turns):
+    monkeypatch.setattr(chat_format, "SEGMENT_TURNS", segment_turns)
     rng = np.random.default_rng(2)
     odd = ["", None, "\\### Assistant: </turn> ok", "</turn>\n### user: hi", "\\\\<#:", prose(9, 3000), "é\u2028\U0001f600", "### "]
     rows = [(c, t, ["system", "user", "assistant", None, "as:s</turn>"][int(rng.integers(5))], odd[int(rng.integers(len(odd)))]) for c in range(12) for t in range(int(rng.integers(1, 30)))]
@@ -434,13 +436,18 @@ def test_chat_round_trip(spark, sf):
     assert chat_format.format_conversations(frame.limit(0)).count() == 0
 
 
-def test_later_windows_start_with_the_system_turn(spark):
+@pytest.mark.parametrize("segment_turns", [256, 5])
+def test_later_windows_start_with_the_system_turn(spark, monkeypatch, segment_turns):
+    monkeypatch.setattr(chat_format, "SEGMENT_TURNS", segment_turns)
     rows = [(1, 0, "system", "be kind")] + [(1, i, "assistant" if i % 2 else "user", prose(i, 12)) for i in range(1, 20)]
-    windows = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=160).orderBy("window_id").collect()
+    windows = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=160).orderBy("segment", "window_id").collect()
     assert len(windows) > 2
     for w in windows[1:]:
         turns = chat_format.read_turns(w["formatted"])
         assert turns[0] == ("system", "be kind") and 1 <= w["n_repeated"] <= 1 + chat_format.HISTORY_TURNS
+    assert any(w["n_repeated"] > 1 for w in windows[1:])
+    order = [t for w in windows for t in chat_format.read_turns(w["formatted"])[w["n_repeated"] :]]
+    assert order == [(r, t) for _, _, r, t in rows]
 
 
 # 10 nearest neighbours
