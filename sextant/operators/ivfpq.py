@@ -2,20 +2,23 @@
 
 An index is three DataFrames: coarse centroids (cluster_id, centroid), codebooks (m, code,
 centroid) and postings (cluster_id, vec_id, codes). Centroids and codebooks have a size set by
-the parameters (``Config``), so they travel inside expressions as literal arrays: assignment,
-encoding and search are projections over the vectors, without a join. Ties go to the lowest number.
+the parameters (``Config``), so they travel inside expressions as literal arrays, or with the
+function that encodes whole batches: assignment, encoding and search need no join with them. Ties go to the lowest number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
 from sextant.operators import knn as K
+from sextant.session import spread
 
 # Bounds of the configuration.
 LARGEST_DIMENSION = 4096
@@ -86,8 +89,7 @@ def access_path(n: int, forced_exact: bool = False, preferred_ready: bool = Fals
     return "preferred" if preferred_ready else "ivfpq" if trained else "exact"
 
 
-def literal_table(rows: Sequence[Sequence[float]]) -> Column:
-    return F.array(*[K.literal_vector(r) for r in rows])
+literal_table = K.literal_table
 
 
 def distances(vector: Column, centroids: Column) -> Column:
@@ -163,11 +165,33 @@ def table_distance(table: Column, codes: Column) -> Column:
     return F.aggregate(picked, F.lit(0.0), lambda total, x: total + x)
 
 
+def _nearest_rows(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Number of the nearest centroid of each row; the lowest wins ties."""
+    return np.concatenate([((x[at : at + 256, None, :] - centroids[None]) ** 2).sum(2).argmin(1) for at in range(0, len(x), 256)]) if len(x) else np.empty(0, dtype=np.int64)
+
+
 def postings(points: DataFrame, centroids: Sequence[Sequence[float]], codebooks, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(cluster_id, id, codes) of every vector: its cell, and the codes of its residual."""
-    own = literal_table(centroids)
-    cell = points.select(F.col(id_col), V.as_double(F.col(vector_col)).alias("v"), nearest(F.col(vector_col), own).alias("cluster_id"))
-    return cell.select("cluster_id", id_col, encode(V.subtract(F.col("v"), F.get(own, F.col("cluster_id"))), codebooks).alias("codes"))
+    """(cluster_id, id, codes) of every vector: its cell, and the codes of its residual.
+
+    The same values as ``nearest`` and ``encode`` give, computed for whole Arrow batches. Vectors that are null or of
+    another dimension than the centroids are left out.
+    """
+    coarse, books = np.array(centroids, dtype=float), [np.array(b, dtype=float) for b in codebooks]
+    width = books[0].shape[1]
+    kind = points.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, coarse.shape[1])
+            cells = _nearest_rows(x, coarse)
+            residuals = x - coarse[cells]
+            codes = np.stack([_nearest_rows(residuals[:, m * width : (m + 1) * width], book) for m, book in enumerate(books)], axis=1)
+            offsets = np.arange(0, codes.size + 1, len(books), dtype=np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.astype(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), batch.column("id"), listed], names=["cluster_id", "id", "codes"])
+
+    rows = spread(points.select(F.col(id_col).alias("id"), V.as_double(F.col(vector_col)).alias("v")).filter(F.size("v") == coarse.shape[1]))
+    return rows.mapInArrow(run, f"cluster_id int, id {kind}, codes array<int>").withColumnRenamed("id", id_col)
 
 
 def search(queries: DataFrame, index: DataFrame, centroids, codebooks, probes: int, k: int, id_col: str = "vec_id") -> DataFrame:

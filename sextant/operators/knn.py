@@ -7,7 +7,8 @@ id ascending.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
+from sextant.session import spread
 
 BROADCAST_QUERIES = 50_000
 
 
-def literal_vector(values) -> Column:
-    return F.array(*[F.lit(float(x)) for x in values])
+def literal_vector(values: Sequence[float]) -> Column:
+    """A vector as one constant: parsed as a whole, since a call for each component is slow to plan."""
+    return _constant([float(x) for x in values], "array<double>")
+
+
+def literal_table(rows: Sequence[Sequence[float]]) -> Column:
+    """Vectors as one constant array of arrays."""
+    return _constant([[float(x) for x in row] for row in rows], "array<array<double>>")
+
+
+def _constant(values: list, kind: str) -> Column:
+    text = json.dumps(values)
+    if "N" in text or "I" in text:
+        raise ValueError("constants hold finite numbers")
+    return F.from_json(F.lit(text), kind)
 
 
 def knn(corpus: DataFrame, query: Column, k: int = 20, threshold: float = -1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -93,7 +108,7 @@ def knn_batch(corpus: DataFrame, queries: DataFrame, k: int = 20, threshold: flo
             counts = [len(h[0]) for h in held]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, counts)), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]))], names=["query_id", id_col, "similarity"])
 
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vector_col)).alias("v")).filter(F.size("v") == dimension)
+    rows = spread(corpus.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vector_col)).alias("v")).filter(F.size("v") == dimension))
     return top_per_query(rows.mapInArrow(run, ddl), k, id_col=id_col)
 
 

@@ -42,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_sextant_checkpoints"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out the rows of a plain scan that has fewer partitions than there are cores.
+
+    One small file is one partition whatever the cluster; work on it would run on one core. Plans with
+    a shuffle, and scans that are already wide enough, stay as they are.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, so that a lost executor costs no earlier stage."""
     context = df.sparkSession.sparkContext
