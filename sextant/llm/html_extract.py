@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.session import spread
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 SPACED = frozenset("br td th".split())
@@ -233,4 +235,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     chosen = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     ddl = f"id {fields[0].dataType.simpleString()}, url {fields[1].dataType.simpleString()}, text string"
-    return chosen.mapInArrow(run, ddl).toDF(id_col, url_col, "text")
+    return spread(chosen).mapInArrow(run, ddl).toDF(id_col, url_col, "text")

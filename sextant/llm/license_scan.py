@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import words
+from sextant.session import spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -168,7 +169,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, simila
     def of_text(tokens: Column) -> Column:
         return F.concat(*[of_size(tokens, size) for size in sorted({t.size for t in found})])
 
-    hits = docs.select(F.col(id_col).alias("id"), F.explode(_let(words(F.lower(text_col)), of_text)).alias("w")).select("id", "w.tier", "w.start", "w.shingles", F.explode("w.hits").alias("key"))
+    hits = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(_let(words(F.lower(text_col)), of_text)).alias("w")).select("id", "w.tier", "w.start", "w.shingles", F.explode("w.hits").alias("key"))
     # Template tables are in the plan already, as literal keys of bounded number.
     candidates = hits.join(F.broadcast(side), ["tier", "key"])
     share = F.size(F.array_intersect("template", "shingles")) / F.size("template")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import ROWS_PER_BUCKET, bucket_count, word_count
-from sextant.session import checkpointed
+from sextant.session import checkpointed, spread
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET_SHARE = 1.5
@@ -65,7 +65,7 @@ def _join_sources(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE, most_repeats: int = MOST_REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of ``docs``: (id, source, size, source_size, target, copies, taken, text_hash)."""
-    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_hash(F.col(id_col), seed).alias("hash"), F.xxhash64(text_col).alias("text_hash")))
+    sized = checkpointed(spread(docs.select(id_col, source_col, text_col)).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_hash(F.col(id_col), seed).alias("hash"), F.xxhash64(text_col).alias("text_hash")))
     totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
     sources = checkpointed(targets(totals.drop("source_rows"), weights, budget_share, most_repeats))
     n_sources = sources.count()

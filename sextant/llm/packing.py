@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import ROWS_PER_BUCKET, bucket_count
 from sextant.llm.tokens import encoder
-from sextant.session import checkpointed
+from sextant.session import checkpointed, spread
 
 CAPACITY = 2048
 END_TOKEN = 0
@@ -73,7 +73,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ddl = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, ddl)
 
 
 def _best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

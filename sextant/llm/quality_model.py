@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import bounded_sample
 from sextant.llm.textstats import FIELDS, feature_matrix, stats_columns, with_stats
-from sextant.session import checkpointed
+from sextant.session import checkpointed, spread
 
 FIT_ROWS = 20_000
 FEATURES = 256
@@ -172,7 +172,7 @@ def _scored(docs: DataFrame, model: QualityModel, text_col: str, keep: list[str]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(p), pa.array((p >= KEEP_FROM).astype(np.int32))], names=[*names, "score", "predicted"])
 
     ddl = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True)] + ["score double", "predicted int"])
-    return chosen.mapInArrow(run, ddl)
+    return spread(chosen).mapInArrow(run, ddl)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

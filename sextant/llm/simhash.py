@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import bounded_sample
 from sextant.operators.graph import components
-from sextant.session import checkpointed
+from sextant.session import checkpointed, spread
 
 SHINGLE = 3
 MOST_BITS = 2
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             own = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, fp long")
 
 
 @dataclass

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sextant.session import spread
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
@@ -84,7 +86,7 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + stats_columns(batch.column(text_col)), names=names + list(FIELDS))
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [DDL])
-    return df.mapInArrow(run, ddl)
+    return spread(df).mapInArrow(run, ddl)
 
 
 def feature_matrix(stats: dict[str, np.ndarray]) -> np.ndarray:
