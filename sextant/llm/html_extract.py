@@ -45,6 +45,7 @@ IMPLIED_END = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"
 SIGMA = 1.0
 #: The content element must hold this share of the upper cluster's characters.
 REGION_SHARE = 0.8
+_TAG_START = re.compile(r"<[A-Za-z/!?]")
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -205,6 +206,9 @@ def extract(html: str | None) -> str:
     # A comment that is never closed runs to the end of the page; the parser would look for its end again and again.
     unclosed = html.find("<!--", html.rfind("-->") + 1)
     html = html if unclosed < 0 else html[:unclosed]
+    # A tag that is cut off at the end of the page is no text, and the parser would try it at every sign of it.
+    if cut := _TAG_START.search(html, html.rfind(">") + 1):
+        html = html[: cut.start()]
     parser = LineParser()
     try:
         parser.feed(html)

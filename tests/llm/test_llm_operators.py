@@ -321,6 +321,9 @@ PAGES = [
     ("<p>broken <![declaration here</p>", None),
     ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>", "one\ntwo\na b\nc"),
     ("<div class='page has-sidebar'><div class='article-header'><h1>T</h1></div><div class=content><p>some text that is long enough here</p><p>x</p></div><div class='sidebar'>no</div><div class='postComments'>bad</div></div>", "T\nsome text that is long enough here\nx"),
+    ("<article><p>whole</p><p>cut off here <a hre", "whole\ncut off here"),
+    ("<article><p>open</p><!-- never closed <p>x</p>", "open"),
+    ("a < b", "a < b"),
     ("<article><header><h1>Own title</h1></header><p>Text &lt;here&gt;</p></article>", "Own title\nText <here>"),
 ]
 
