@@ -12,6 +12,7 @@ from sextant.functions import vectors as V
 from sextant.operators import assist, clustering, detection, index, ivfpq, knn, ranking
 from sextant.plans.faces import _boxes, _faces
 from sextant.plans.search import BATCH, CONFIG, _fixed, batch_queries
+from sextant.plans.search import ORACLES as SEARCH_SQL
 from sextant.session import scratch_path, table
 from sextant.sources import files
 from sextant.streaming import ingest
@@ -137,12 +138,10 @@ QUERIES = {
     "stream_append": stream_append, "embedding_store": embedding_store, "scan_directory": scan_directory, "token_lookup": token_lookup, "picture_preprocess": picture_preprocess, "face_alignment": face_alignment,
 }
 
-from sextant.plans.search import ORACLES as _SEARCH  # noqa: E402
-
 ORACLES = {
     "stream_append": "SELECT vec_id, label FROM embeddings",
     "embedding_store": "SELECT vec_id::VARCHAR AS id, len(embedding)::INT AS dimension FROM embeddings WHERE vec_id::VARCHAR < '3'",
-    "index_round_trip": f"SELECT query_id, rank, vec_id FROM ({_SEARCH['ivfpq_search']}) WHERE rank <= 5",
+    "index_round_trip": f"SELECT query_id, rank, vec_id FROM ({SEARCH_SQL['ivfpq_search']}) WHERE rank <= 5",
     "token_lookup": "SELECT doc_id, CASE WHEN lower(text[1]) BETWEEN 'a' AND 'z' THEN 261 + ascii(lower(text[1])) - 97 WHEN text[1] = '▁' THEN 260 ELSE 3 END::INT AS id FROM documents",
     "search_by_example": f"""WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id < {BATCH})
         SELECT query_id, vec_id, round(s, 6) AS similarity, s > 0.95 AS is_self FROM scored WHERE s > 0.95""",
