@@ -10,7 +10,8 @@ joins it if it has none of its own.
 
 Each page is handled alone while Arrow batches stream; no shuffle. Defined results: null or empty
 html, or a page without an article, gives the empty string. Unclosed and stray tags are closed at
-the next border or ignored. Repeated pages keep their rows. Nothing is cut at any length.
+the next border or ignored. Repeated pages keep their rows. Nothing is cut at any length; only a comment
+that is opened in markup and never closed runs to the end of the page, as in browsers.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ IMPLIED_END = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"
 SIGMA = 1.0
 #: The content element must hold this share of the upper cluster's characters.
 REGION_SHARE = 0.8
+#: Elements whose content is text: a comment sign in them opens no comment that runs past their end.
+TEXT_ELEMENTS = frozenset("title textarea iframe noscript xmp noembed noframes".split())
+_COMMENT_END = re.compile(r"--(?:!|\s*)>")
 _TAG_START = re.compile(r"<[A-Za-z/!?]")
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -68,6 +72,28 @@ class LineParser(HTMLParser):
         self.dropping = 0
         self.parts: list[str] = []
         self.tags = 0
+        self.ends: dict[str, int] = {}  # where the next end tag of a text element stands
+
+    def _end_of(self, tag: str, i: int) -> int:
+        """Place of the next end tag at or after ``i``; the length of the page if there is none."""
+        if self.ends.get(tag, -1) < i:
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(self.rawdata, i)
+            self.ends[tag] = found.start() if found else len(self.rawdata)
+        return self.ends[tag]
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """End of the comment opened at ``i``. The parser calls this in markup only: not in scripts, styles or tags."""
+        page = self.rawdata
+        for empty in (">", "->"):
+            if page.startswith(empty, i + 4):
+                return i + 4 + len(empty)
+        inside = next((t for t, _, _ in reversed(self.stack) if t in TEXT_ELEMENTS), None)
+        border = len(page) if inside is None else self._end_of(inside, i)
+        if closed := _COMMENT_END.search(page, i + 4, border):
+            return closed.end()
+        if border < len(page):
+            self.handle_data(page[i:border])
+        return border
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -148,6 +174,7 @@ class LineParser(HTMLParser):
             self.parts.append(data)
 
     def finish(self) -> None:
+        self.ends.clear()  # the page is only its unparsed rest now
         self.close()
         self._flush()
 
@@ -203,9 +230,6 @@ def extract(html: str | None) -> str:
     """Main text of a page: its article's blocks, one a line."""
     if not html:
         return ""
-    # A comment that is never closed runs to the end of the page; the parser would look for its end again and again.
-    unclosed = html.find("<!--", html.rfind("-->") + 1)
-    html = html if unclosed < 0 else html[:unclosed]
     # A tag that is cut off at the end of the page is no text, and the parser would try it at every sign of it.
     if cut := _TAG_START.search(html, html.rfind(">") + 1):
         html = html[: cut.start()]

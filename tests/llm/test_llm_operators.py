@@ -334,6 +334,28 @@ def test_extract(html, expected):
     assert expected is None or got == expected
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<head><script><!-- var a = 1; </script></head><article><p>whole text</p></article>",
+        "<article><script>if(x<!--y) z = '<!--';</script><p>whole text</p></article>",
+        "<style><!-- p {} </style><article><p>whole text</p></article>",
+        "<article><p title='<!--'>whole text</p></article>",
+        "<article><!-- closed --!><p>whole text</p></article>",
+        "<article><!--><p>whole</p><!---><p>text</p></article>",
+        "<head><title>a <!-- b</title></head><noscript><p><!-- c</noscript><article><p>whole text</p></article>",
+    ],
+)
+def test_comment_sign_outside_markup_cuts_nothing(html):
+    assert html_extract.extract(html).split() == ["whole", "text"]
+
+
+def test_many_unclosed_comments_take_linear_time():
+    head = "<article><p>open</p>"
+    assert html_extract.extract(head + "<!-- x " * 300_000) == "open"
+    assert html_extract.extract("<title>" + "<!-- x " * 300_000 + "</title>" + head + "</article>") == "open"
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "clash"), (1, "u", "<p>a</p>", "clash"), (None, None, None, None), (2, "v", "<article><p>" + "word " * 200_000 + "</p></article>", "x")], "page_id long, url string, html string, text string")
     got = html_extract.extract_pages(pages).collect()
