@@ -3,9 +3,9 @@
 The standard library's parser turns a page into lines: the text between two block borders, with the
 number of tags in it. Elements that are never part of an article (scripts, forms, menus, notices,
 comments and the like, by tag, role, or class and id words) are left out while parsing. The
-text-to-tag ratios of the remaining lines are smoothed with a Gaussian and split into two clusters;
-the lines of the upper cluster vote for the element that holds the content region, and every line
-inside that element is kept, short ones too, so that the article comes out whole and in page order; a title (h1) before it
+text-to-tag ratios of the remaining lines are smoothed with a Gaussian and split into two clusters.
+The content region is the article or main element or, on pages without one, the innermost element that holds
+all lines of the upper cluster (never a list, table or quote alone); every line inside it is kept, short ones too, so that the article comes out whole and in page order; a title (h1) before it
 joins it if it has none of its own.
 
 Each page is handled alone while Arrow batches stream; no shuffle. Defined results: null or empty
@@ -31,6 +31,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body center caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 SPACED = frozenset("br td th".split())
 CONTAINERS = frozenset("html body main article section div td table ul ol dl blockquote center".split())
+#: A list, table, cell or quote is a part of an article, never the whole.
+REGIONS = frozenset("html body main article section div center".split())
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title nav footer aside form button select textarea input dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of class and id attributes (split at anything but letters) that mark what is not the article.
@@ -44,7 +46,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: These end an open element of the same group.
 IMPLIED_END = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SIGMA = 1.0
-#: The content element must hold this share of the upper cluster's characters.
+#: One of several article or main elements is the content if it holds this share of the upper cluster's characters.
 REGION_SHARE = 0.8
 #: Elements whose content is text: a comment sign in them opens no comment that runs past their end.
 TEXT_ELEMENTS = frozenset("title textarea iframe noscript xmp noembed noframes".split())
@@ -222,7 +224,8 @@ def content_element(lines: list[Line], kinds: list[str]) -> int | None:
         own = [n for n in marked if kinds[n] in names]
         if own and (best := max(own, key=lambda n: (votes.get(n, 0), -n))) is not None and (len(own) == 1 or votes.get(best, 0) >= REGION_SHARE * total):
             return best
-    holding = [n for n, v in votes.items() if v >= REGION_SHARE * total]
+    # Marked boilerplate has no lines, so whatever is in the upper cluster is content: all of it is kept.
+    holding = [n for n, v in votes.items() if v == total and kinds[n] in REGIONS]
     return max(holding, default=None)  # the innermost: it was opened last
 
 

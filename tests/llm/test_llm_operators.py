@@ -350,6 +350,25 @@ def test_comment_sign_outside_markup_cuts_nothing(html):
     assert html_extract.extract(html).split() == ["whole", "text"]
 
 
+SENTENCE = "a sentence of the text that is long enough to count "
+
+
+@pytest.mark.parametrize(
+    "region,others",
+    [
+        ("<ul>" + f"<li>{SENTENCE * 4}" * 5 + "</ul>", ("p", "p")),
+        ("<table><tr><td>" + f"<p>{SENTENCE * 4}</p>" * 5 + "</table>", ("p", "p")),
+        ("<blockquote>" + f"<p>{SENTENCE * 4}</p>" * 5 + "</blockquote>", ("p", "p")),
+        ("<section>" + f"<p>{SENTENCE * 4}</p>" * 5 + "</section>", ("section", "section")),
+        ("<div>" + f"<p>{SENTENCE * 4}</p>" * 5 + "</div>", ("div", "div")),
+    ],
+)
+def test_article_around_its_largest_part_is_kept(region, others):
+    before, after = (f"<{tag}>{name} {SENTENCE}</{tag}>" for tag, name in zip(others, ("intro", "closing"), strict=True))
+    got = html_extract.extract(f"<body><div><h2>Heading</h2>{before}{region}{after}</div><div class=sidebar>no</div></body>").split("\n")
+    assert [line.split()[0] for line in got] == ["Heading", "intro", *["a"] * 5, "closing"]
+
+
 def test_many_unclosed_comments_take_linear_time():
     head = "<article><p>open</p>"
     assert html_extract.extract(head + "<!-- x " * 300_000) == "open"
