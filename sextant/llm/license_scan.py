@@ -9,10 +9,14 @@ chosen so that a window that holds ``SIMILARITY`` of a template's shingles agree
 with a probability of at least 1 - ``MISS`` (see ``bins``). Candidates are then verified: the share of the
 template's shingles that the window holds must be ``SIMILARITY`` or more.
 
+Tiers beyond ``BANDED`` shingles need no minima of windows: a template's keys are its ``sketch_size()`` smallest
+hashes, and a window that holds any of them is a candidate. A window with ``SIMILARITY`` of the template lacks
+all of them with a probability of at most ``MISS``. Texts without any such key make no windows of these tiers.
+
 Templates of fewer words than a shingle are one shingle of all their words; windows of one shingle
 are their own minimum, so these are found for sure. Signatures are computed inside the row, by
 higher-order functions; only windows that hit a template leave it, and nothing but matches is
-shuffled. Template keys are a literal set of at most ``KEYS_AT_ONCE``; larger template tables are
+shuffled. Several templates may share a name; its row is that of the best of them. Template keys are a literal set of at most ``KEYS_AT_ONCE``; larger template tables are
 scanned in several passes over the text.
 
 Defined results: null, empty and too short texts match nothing. Words are compared in lower case.
@@ -39,6 +43,9 @@ KEYS_AT_ONCE = 20_000
 #: Largest template length, in shingles, of each tier; windows advance by three times as much.
 TIERS = (1, 8, 64, 512, 4096, 32768)
 
+#: Longest template, in shingles, that is found by the minima of windows.
+BANDED = 8
+
 #: License notices that documents carry as a line of their own.
 NOTICES = (
     ("all-rights-reserved", "All rights reserved."),
@@ -62,6 +69,10 @@ class Tier:
     def stride(self) -> int:
         return 1 if self.longest == 1 else 3 * self.longest
 
+    @property
+    def sketched(self) -> bool:
+        return self.longest > BANDED
+
     @property
     def window(self) -> int:
         return 1 if self.longest == 1 else 4 * self.longest
@@ -78,6 +89,11 @@ def bins(window: int, shortest: int) -> int:
     return max(1, math.ceil(math.log2(window / (2 * MISS ** (1 / shared)))))
 
 
+def sketch_size() -> int:
+    """Smallest hashes of a template of which a window with ``SIMILARITY`` of it holds none with a probability of at most ``MISS``."""
+    return math.ceil(math.log(MISS) / math.log(1 - SIMILARITY))
+
+
 def template_words(text: str) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text.lower())
 
@@ -125,6 +141,8 @@ def template_table(spark: SparkSession, tier: Tier) -> DataFrame:
     """(license_id, shingles, keys): hashes of a tier's templates and their minima."""
     rows = spark.createDataFrame([(name, list(shingles)) for name, shingles in tier.templates], "license_id string, texts array<string>")
     hashed = rows.select("license_id", F.transform("texts", lambda t: F.xxhash64(F.split(t, " "))).alias("shingles"))
+    if tier.sketched:
+        return hashed.withColumn("keys", F.slice(F.sort_array("shingles"), 1, sketch_size()))
     return hashed.withColumn("keys", _minima(F.col("shingles"), tier.bits) if tier.bits else F.col("shingles"))
 
 
@@ -136,7 +154,9 @@ def _windows(hashes: Column, tier: Tier, keys: list[int]) -> Column:
     # A window that only repeats the end of the one before is not needed.
     last = F.greatest(F.lit(0), F.size(hashes) - 1 - (tier.window - tier.stride))
     starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), last, F.lit(tier.stride))).otherwise(F.array().cast("array<int>"))
-    found = F.transform(starts, lambda s: F.struct(s.alias("start"), F.filter(_minima(F.slice(hashes, s + 1, tier.window), tier.bits), lambda h: h.isin(keys)).alias("hits")))
+    part = lambda s: F.slice(hashes, s + 1, tier.window)
+    signature = (lambda s: F.array_distinct(F.filter(part(s), lambda h: h.isin(keys)))) if tier.sketched else (lambda s: F.filter(_minima(part(s), tier.bits), lambda h: h.isin(keys)))
+    found = F.transform(starts, lambda s: F.struct(s.alias("start"), signature(s).alias("hits")))
     return F.transform(F.filter(found, lambda w: F.size(w["hits"]) > 0), lambda w: F.struct(w["start"].alias("start"), w["hits"].alias("hits"), F.slice(hashes, w["start"] + 1, tier.window).alias("shingles")))
 
 
@@ -164,7 +184,17 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, simila
 
     def of_size(tokens: Column, size: int) -> Column:
         own = [n for n, t in enumerate(found) if t.size == size]
-        return _let(_hashes(tokens, size), lambda hashes: F.concat(*[of_tier(hashes, n) for n in own]))
+        short, long = [n for n in own if not found[n].sketched], [n for n in own if found[n].sketched]
+        sketches = sorted({k for n in long for k in keys[n]})
+
+        def of_hashes(hashes: Column) -> Column:
+            parts = [of_tier(hashes, n) for n in short]
+            if long:
+                able = F.when(F.exists(hashes, lambda h: h.isin(sketches)), hashes).otherwise(F.array().cast("array<bigint>"))
+                parts.append(_let(able, lambda hashes: F.concat(*[of_tier(hashes, n) for n in long])))
+            return F.concat(*parts)
+
+        return _let(_hashes(tokens, size), of_hashes)
 
     def of_text(tokens: Column) -> Column:
         return F.concat(*[of_size(tokens, size) for size in sorted({t.size for t in found})])

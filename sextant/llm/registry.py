@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import ann, chat_format, html_extract, license_scan, mixing, packing, quality_model, quality_rules, simhash, url_filter
+from sextant.llm import ann, chat_format, html_extract, license_scan, license_texts, mixing, packing, quality_model, quality_rules, simhash, url_filter
 from sextant.session import table
 
 URL_RULES = (
@@ -22,7 +22,7 @@ EXTRA_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "a
 
 
 def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf, "documents"))
+    return license_scan.scan(table(spark, sf, "documents"), [*license_scan.NOTICES, *license_texts.templates()])
 
 
 def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:

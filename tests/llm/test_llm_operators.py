@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sextant.llm import ann, chat_format, html_extract, license_scan, mixing, packing, quality_model, quality_rules, registry, simhash, textstats, tokens, url_filter
+from sextant.llm import ann, chat_format, html_extract, license_scan, license_texts, mixing, packing, quality_model, quality_rules, registry, simhash, textstats, tokens, url_filter
 from sextant.session import table
 
 LOREM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -54,6 +54,21 @@ def test_license_scan_without_templates_or_rows(spark, docs):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_registered_license_scan_finds_texts_headers_and_tags(spark, tmp_path):
+    listed = {name: text for name, text in [*license_texts.texts(), *license_texts.SHORT_TEXTS]}
+    rows = [(n, prose(n, 400) + "\n" + text + "\n" + prose(n + 99, 400)) for n, text in enumerate(listed.values())]
+    body = listed["GPL-3.0"].split()
+    rows += [
+        (100, "Copyright me\n" + license_texts.HEADERS[0][1].upper()), (101, "# SPDX-License-Identifier: GPL-3.0-or-later\nimport os"), (102, "Released under the MIT License"), (103, "Licensed under CC BY-SA 4.0."),
+        (104, prose(1, 30_000) + " " + " ".join(body[:2000] + body[2500:])), (105, prose(2, 500) + " " + " ".join(body[: len(body) // 2])),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["license_id"]) for r in registry.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert got >= {(n, name) for n, name in enumerate(listed)}
+    assert got >= {(100, "Apache-2.0"), (101, "GPL-3.0"), (102, "MIT"), (103, "CC-BY-SA-4.0"), (104, "GPL-3.0")}
+    assert not {name for n, name in got if n == 105}
+
+
 def test_license_bins_meet_the_miss_bound():
     for window, shortest in ((32, 2), (256, 9), (2048, 65)):
         lost = (window / 2 ** (license_scan.bins(window, shortest) + 1)) ** np.ceil(license_scan.SIMILARITY * shortest)
