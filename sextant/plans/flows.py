@@ -11,7 +11,7 @@ from sextant.functions import text as T
 from sextant.functions import vectors as V
 from sextant.operators import assist, clustering, detection, index, ivfpq, knn, ranking
 from sextant.plans.faces import _boxes, _faces
-from sextant.plans.search import BATCH, CONFIG, _fixed, batch_queries
+from sextant.plans.search import BATCH, CONFIG, Queries, _fixed, batch_queries
 from sextant.plans.search import ORACLES as SEARCH_SQL
 from sextant.session import scratch_path, table
 from sextant.sources import files
@@ -48,10 +48,10 @@ def text_search(spark: SparkSession, sf: str) -> DataFrame:
     return search_texts(corpus, queries, 20)
 
 
-def search_by_example(spark: SparkSession, sf: str) -> DataFrame:
+def search_by_example(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
     """Search by stored vectors, filtered as picture results."""
     corpus = table(spark, sf, "embeddings")
-    found = knn.knn_batch(corpus, batch_queries(corpus), ranking.DEFAULT_K).drop("rank")
+    found = knn.knn_batch(corpus, asked(corpus), ranking.DEFAULT_K).drop("rank")
     return ranking.image_filter(found).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "is_self")
 
 
@@ -65,11 +65,11 @@ def people_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return people.join(shown.join(kept, "image_id", "left").groupBy("person_id").agg(F.count("*").alias("n_images"), F.sum("n_boxes").alias("n_boxes")), "person_id").select("person_id", "label", "face_count", "n_images", "n_boxes")
 
 
-def tuning_sweep(spark: SparkSession, sf: str) -> DataFrame:
+def tuning_sweep(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
     """Mean recall at 10 of the compressed index by number of probes."""
     corpus = table(spark, sf, "embeddings")
     centroids, books = _fixed(corpus, CONFIG)
-    own, queries = ivfpq.postings(corpus, centroids, books), batch_queries(corpus)
+    own, queries = ivfpq.postings(corpus, centroids, books), asked(corpus)
     exact = knn.top_per_query(knn.query_pairs(corpus, queries, V.squared_l2(F.col("embedding"), F.col("query")).alias("d")), 10, "d", descending=False)
     parts = [ivfpq.recall(ivfpq.search(queries, own, centroids, books, p, 10), exact, 10).agg(F.lit(p).alias("probes"), F.round(F.avg("recall"), 6).alias("recall")) for p in (1, 2, 4, 8)]
     found = parts[0]
@@ -78,13 +78,13 @@ def tuning_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return found
 
 
-def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+def index_round_trip(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
     """Stores an index, reads it back and searches it."""
     corpus = table(spark, sf, "embeddings")
     centroids, books = _fixed(corpus, CONFIG)
     path = scratch_path(spark, "index")
     index.IvfPqIndex(spark, CONFIG, centroids=centroids, codebooks=books, postings=ivfpq.postings(corpus, centroids, books)).save(path)
-    found = index.load(spark, path).search(batch_queries(corpus), 5, effort=CONFIG.probes)
+    found = index.load(spark, path).search(asked(corpus), 5, effort=CONFIG.probes)
     return found.select("query_id", "rank", "vec_id")
 
 

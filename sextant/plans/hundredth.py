@@ -1,0 +1,50 @@
+"""The batch searches with every row whose id is divisible by 100 as a query, and the recall of a trained index."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sextant.functions import vectors as V
+from sextant.llm.common import bounded_sample
+from sextant.operators import ivfpq, knn, ranking
+from sextant.plans import flows, results, search
+from sextant.plans.search import BATCH, DEPTH
+from sextant.session import table
+
+STEP = 100
+#: Vectors that the index is trained on, at most about; share of its cells that a query probes.
+SAMPLE = 20_000
+PROBED = 0.5
+WIDTH = 4
+
+
+def hundredth(corpus: DataFrame) -> DataFrame:
+    return corpus.filter(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def trained_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall at 10 of a trained index whose candidates are compared exactly, for every query."""
+    corpus = table(spark, sf, "embeddings")
+    sample = bounded_sample(corpus, "vec_id", SAMPLE).persist()
+    n = sample.count()
+    clusters = ivfpq.adaptive(n, 64)["clusters"]
+    config = ivfpq.Config(dimension=64, clusters=clusters, subquantisers=64 // WIDTH, codes=min(64, max(8, n // 10)), probes=max(1, round(PROBED * clusters)))
+    centroids, books = ivfpq.train(sample, config)
+    sample.unpersist()
+    queries = hundredth(corpus)
+    near = ivfpq.search(queries, ivfpq.postings(corpus, centroids, books), centroids, books, config.probes, ranking.OVERFETCH * DEPTH)
+    scored = near.select("query_id", "vec_id").join(corpus.select("vec_id", "embedding"), "vec_id").join(queries, "query_id").select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+    return ivfpq.recall(knn.top_per_query(scored, DEPTH), knn.knn_batch(corpus, queries, DEPTH), DEPTH)
+
+
+_SEARCHES = {
+    search: ("knn_batch", "ivfpq_search", "recall_at_k"), flows: ("tuning_sweep", "index_round_trip", "search_by_example"),
+    results: ("combo_filter_text", "combo_filter_image", "force_top_n", "confidence_class"),
+}
+
+QUERIES = {f"{name}_hundredth": partial(module.QUERIES[name], asked=hundredth) for module, names in _SEARCHES.items() for name in names} | {"trained_recall": trained_recall}
+
+ORACLES = {f"{name}_hundredth": module.ORACLES[name].replace(f"vec_id < {BATCH}", f"vec_id % {STEP} = 0") for module, names in _SEARCHES.items() for name in names if name in module.ORACLES}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.plans import faces, flows, results, search, texts
+from sextant.plans import faces, flows, hundredth, results, search, texts
 
-MODULES = (search, results, texts, faces, flows)
+MODULES = (search, results, texts, faces, flows, hundredth)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

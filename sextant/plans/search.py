@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ def batch_queries(corpus: DataFrame) -> DataFrame:
     return corpus.filter(F.col("vec_id") < BATCH).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
+Queries = Callable[[DataFrame], DataFrame]
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in names})
 
@@ -62,9 +67,9 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.knn(corpus, query_vector(corpus), 20), "similarity")
 
 
-def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
+def knn_batch(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
     corpus = _embeddings(spark, sf)
-    return rounded(K.knn_batch(corpus, batch_queries(corpus), DEPTH, exclude_self=True), "similarity")
+    return rounded(K.knn_batch(corpus, asked(corpus), DEPTH, exclude_self=True), "similarity")
 
 
 def knn_subset(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,12 +142,12 @@ def ivf_postings(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("vec_id", "cluster_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
 
 
-def ivfpq_search(spark: SparkSession, sf: str) -> DataFrame:
+def ivfpq_search(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
     corpus = _embeddings(spark, sf)
     centroids, books = _fixed(corpus, CONFIG)
     index = I.postings(corpus, centroids, books)
     # Codes make ties of near scores likely; rounding before the rank makes them the same in any engine.
-    found = I.search(batch_queries(corpus), index, centroids, books, PROBES, DEPTH)
+    found = I.search(asked(corpus), index, centroids, books, PROBES, DEPTH)
     return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -162,11 +167,11 @@ def ann_adaptive_config(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, own["codes"], own["clusters"], own["subquantisers"], own["probes"])], "n long, codes int, clusters int, subquantisers int, probes int")
 
 
-def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+def recall_at_k(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
     """Recall of probing 3 of 8 cells with exact scores inside them, against exact search."""
     corpus = _embeddings(spark, sf)
     own = I.literal_table(_fixed(corpus, CONFIG)[0])
-    queries = batch_queries(corpus)
+    queries = asked(corpus)
     exact = K.knn_batch(corpus, queries, DEPTH)
     cells = corpus.select("vec_id", "embedding", I.nearest(F.col("embedding"), own).alias("cluster_id"))
     probed = queries.select("query_id", "query", F.explode(I.nearest_several(F.col("query"), own, PROBES)["i"]).alias("cluster_id"))

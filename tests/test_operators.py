@@ -247,3 +247,14 @@ def test_encoder_choice():
 def test_failed_rows_are_kept_apart(spark):
     good, failed = ingest.split_failures(spark.createDataFrame([(1,), (2,), (None,)], "x int"), F.col("x") > 1)
     assert good.count() == 1 and failed.count() == 2
+
+
+def test_hundredth_searches_ask_for_every_hundredth_vector(spark):
+    from sextant.plans import hundredth, registry
+
+    sf = "/root/testdata/sf0.01"
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 100 = 0").collect()}
+    assert asked and {r["query_id"] for r in registry.queries()["knn_batch_hundredth"](spark, sf).collect()} == asked
+    assert all(f"vec_id % {hundredth.STEP} = 0" in sql for sql in hundredth.ORACLES.values())
+    recalls = [r["recall"] for r in registry.queries()["trained_recall"](spark, sf).collect()]
+    assert len(recalls) == len(asked) and sum(recalls) / len(recalls) >= 0.9
