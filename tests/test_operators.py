@@ -258,3 +258,15 @@ def test_hundredth_searches_ask_for_every_hundredth_vector(spark):
     assert all(f"vec_id % {hundredth.STEP} = 0" in sql for sql in hundredth.ORACLES.values())
     recalls = [r["recall"] for r in registry.queries()["trained_recall"](spark, sf).collect()]
     assert len(recalls) == len(asked) and sum(recalls) / len(recalls) >= 0.9
+
+
+def test_whole_texts_are_looked_up_and_searched(spark, tmp_path):
+    from sextant.plans import registry
+
+    spark.createDataFrame([(1, "Ab a\né"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["id"]): r["n"] for r in registry.queries()["token_lookup_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 261): 2, (1, 262): 1, (1, 260): 1, (1, 3): 2}
+    captions = [(n, f"one long caption of {' '.join(['word' + chr(97 + n)] * 3)} in whole") for n in range(1, 8)]
+    spark.createDataFrame(captions, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = registry.queries()["text_search_captions"](spark, str(tmp_path)).collect()
+    assert len(rows) == 7 and all(r["decision"] == "search" and r["best"] > 0.999 for r in rows)
