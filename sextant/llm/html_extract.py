@@ -2,7 +2,8 @@
 
 The standard library's parser turns a page into lines: the text between two block borders, with the
 number of tags in it. Elements that are never part of an article (scripts, forms, menus, notices,
-comments and the like, by tag, role, or class and id words) are left out while parsing. The
+comments and the like, by tag, role, or class and id words) are left out while parsing, but not a form or an element
+with such a name that holds most of the page's text, or its main element. The
 text-to-tag ratios of the remaining lines are smoothed with a Gaussian and split into two clusters.
 The content region is the article or main element or, on pages without one, the innermost element that holds
 all lines of the upper cluster (never a list, table or quote alone); every line inside it is kept, short ones too, so that the article comes out whole and in page order; a title (h1) before it
@@ -33,10 +34,12 @@ SPACED = frozenset("br td th".split())
 CONTAINERS = frozenset("html body main article section div td table ul ol dl blockquote center".split())
 #: A list, table, cell or quote is a part of an article, never the whole.
 REGIONS = frozenset("html body main article section div center".split())
-DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title nav footer aside form button select textarea input dialog menu".split())
+DROPPED = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video head title nav footer aside button select textarea input dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of class and id attributes (split at anything but letters) that mark what is not the article.
 DROPPED_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus discussion footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related replies respond share sharing sidebar signup sitenav social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: These name readers' answers, however much text they hold.
+ANSWER_WORDS = frozenset("comment comments commentlist discussion disqus replies respond".split())
 NEVER_DROPPED = frozenset("html body main".split())
 #: A layout that says it has a sidebar is not one; an article's own head is part of it.
 LAYOUT_WORDS = frozenset("has with no without".split())
@@ -56,6 +59,10 @@ _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _name_words(name: str) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))}
+
+
 class Line:
     __slots__ = ("text", "tags", "path", "title")
 
@@ -66,14 +73,22 @@ class Line:
 class LineParser(HTMLParser):
     """Collects the lines of a page and the tags of its container elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, released: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = []
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container number or -1, dropped
+        self.stack: list[tuple[str, int, bool]] = []  # tag, container number or -1, marked as boilerplate
         self.dropping = 0
         self.parts: list[str] = []
         self.tags = 0
+        # Elements dropped by a name or as a form, numbered as they open. Those in ``released`` are kept.
+        self.released = released
+        self.n_soft = 0
+        self.hard = 0
+        self.seen = 0  # characters of text outside elements that are dropped in any case
+        self.n_articles = self.n_mains = 0
+        self.soft: list[tuple[int, int, int, int, int]] = []  # depth, number, and the three counts where it opened
+        self.held: list[tuple[int, int, int, int]] = []  # number, and what it held of the three
         self.ends: dict[str, int] = {}  # where the next end tag of a text element stands
 
     def _end_of(self, tag: str, i: int) -> int:
@@ -104,23 +119,28 @@ class LineParser(HTMLParser):
         self.parts.clear()
         self.tags = 0
 
-    def _is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """0: kept, 1: dropped in any case, 2: dropped unless it turns out to hold the page's text."""
         if tag in DROPPED:
-            return True
+            return 1
         if tag in NEVER_DROPPED:
-            return False
+            return 0
         if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.stack)
+            return int(not any(t in ("article", "main") for t, _, _ in self.stack))
+        level = 2 if tag == "form" else 0
         for name, value in attrs:
             if name == "hidden" or (name == "role" and (value or "").lower() in DROPPED_ROLES):
-                return True
-            if name in ("class", "id") and value and tag not in HEADINGS and any(map(self._marks_other, value.split())):
-                return True
-        return False
+                return 1
+            if name in ("class", "id") and value and tag not in HEADINGS:
+                marking = [v for v in value.split() if self._marks_other(v)]
+                if any(_name_words(v) & ANSWER_WORDS for v in marking):
+                    return 1
+                level = 2 if marking else level
+        return level
 
     def _marks_other(self, name: str) -> bool:
         """Whether one class or id names something beside the article."""
-        words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))}
+        words = _name_words(name)
         marks = words & DROPPED_WORDS
         if not marks or words & LAYOUT_WORDS:
             return False
@@ -129,7 +149,14 @@ class LineParser(HTMLParser):
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            self.dropping -= self.stack.pop()[2]
+            marked = self.stack.pop()[2]
+            if self.soft and self.soft[-1][0] == len(self.stack):
+                _, number, seen, articles, mains = self.soft.pop()
+                self.held.append((number, self.seen - seen, self.n_articles - articles, self.n_mains - mains))
+                self.dropping -= number not in self.released
+            elif marked:
+                self.hard -= 1
+                self.dropping -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -147,12 +174,22 @@ class LineParser(HTMLParser):
                     break
                 if self.stack[i][0] in CONTAINERS or self.stack[i][2]:
                     break
-        dropped = self._is_dropped(tag, attrs)
+        level = self._is_dropped(tag, attrs)
+        marked = dropped = level > 0
+        if level == 2 and not self.hard:
+            self.soft.append((len(self.stack), self.n_soft, self.seen, self.n_articles, self.n_mains))
+            dropped = self.n_soft not in self.released
+            self.n_soft += 1
+        else:
+            self.hard += dropped
+        if not self.hard:
+            self.n_articles += tag == "article"
+            self.n_mains += tag == "main"
         number = -1
         if tag in CONTAINERS:
             number = len(self.kinds)
             self.kinds.append(tag)
-        self.stack.append((tag, number, dropped))
+        self.stack.append((tag, number, marked))
         self.dropping += dropped
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -172,13 +209,20 @@ class LineParser(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if not self.hard:
+            self.seen += len("".join(data.split()))
         if not self.dropping:
             self.parts.append(data)
 
+    def wrappers(self) -> frozenset[int]:
+        """Of the elements dropped by a name or as a form, those that hold the page's text, or its main element."""
+        return frozenset(n for n, seen, articles, mains in self.held if (mains and mains == self.n_mains) or (2 * seen > self.seen and articles == self.n_articles and mains == self.n_mains))
+
     def finish(self) -> None:
         self.ends.clear()  # the page is only its unparsed rest now
         self.close()
         self._flush()
+        self._pop_to(0)
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -229,6 +273,18 @@ def content_element(lines: list[Line], kinds: list[str]) -> int | None:
     return max(holding, default=None)  # the innermost: it was opened last
 
 
+def _parsed(html: str, released: frozenset[int] = frozenset()) -> LineParser:
+    try:
+        parser = LineParser(released)
+        parser.feed(html)
+        parser.finish()
+    except AssertionError:  # the parser's answer to some broken declarations
+        parser = LineParser(released)
+        parser.feed(html.replace("<![", "<! ["))
+        parser.finish()
+    return parser
+
+
 def extract(html: str | None) -> str:
     """Main text of a page: its article's blocks, one a line."""
     if not html:
@@ -236,14 +292,9 @@ def extract(html: str | None) -> str:
     # A tag that is cut off at the end of the page is no text, and the parser would try it at every sign of it.
     if cut := _TAG_START.search(html, html.rfind(">") + 1):
         html = html[: cut.start()]
-    parser = LineParser()
-    try:
-        parser.feed(html)
-        parser.finish()
-    except AssertionError:  # the parser's answer to some broken declarations
-        parser = LineParser()
-        parser.feed(html.replace("<![", "<! ["))
-        parser.finish()
+    parser = _parsed(html)
+    if wrappers := parser.wrappers():
+        parser = _parsed(html, wrappers)
     if not parser.lines:
         return ""
     root = content_element(parser.lines, parser.kinds)

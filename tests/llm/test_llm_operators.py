@@ -384,6 +384,22 @@ def test_article_around_its_largest_part_is_kept(region, others):
     assert [line.split()[0] for line in got] == ["Heading", "intro", *["a"] * 5, "closing"]
 
 
+@pytest.mark.parametrize(
+    "html,expected",
+    [
+        (f"<div class='elementor-widget-container'><h1>T</h1><p>{SENTENCE}</p><div class=related>no</div></div>", f"T\n{SENTENCE.strip()}"),
+        (f"<form id=aspnetForm><nav>no</nav><p>{SENTENCE}</p><form>Name</form></form>", None),
+        (f"<form><div class=notice>no</div><main><p>{SENTENCE}</p></main></form>", SENTENCE.strip()),
+        ("<article><p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "as x=1 holds"),
+        (f"<article><p>{SENTENCE}</p></article><div class=related><article>{SENTENCE * 9}</article></div>", SENTENCE.strip()),
+        (f"<div><p>{SENTENCE}</p></div><div class=comments><p>{SENTENCE * 9}</p></div><form>Name</form>", SENTENCE.strip()),
+    ],
+)
+def test_wrappers_of_the_whole_page_are_no_boilerplate(html, expected):
+    got = html_extract.extract(html)
+    assert got == expected if expected is not None else got.startswith(SENTENCE.strip())
+
+
 def test_many_unclosed_comments_take_linear_time():
     head = "<article><p>open</p>"
     assert html_extract.extract(head + "<!-- x " * 300_000) == "open"
