@@ -84,6 +84,8 @@ class Index:
     centroids: np.ndarray
     codebooks: np.ndarray  # groups x codes x width
     probes: int
+    sizes: np.ndarray | None = None  # rows of each cell
+    need: int = 0
 
     @property
     def dimension(self) -> int:
@@ -126,13 +128,17 @@ class Index:
         return cells, codes.astype(np.uint8), np.sqrt(((residuals - decoded) ** 2).sum(1))
 
     def probed(self, queries: np.ndarray) -> np.ndarray:
-        """Query x cell: whether the cell is among the query's probes."""
+        """Query x cell: whether the cell is among the query's probes, which go on by rank until they hold ``need`` rows."""
         scores = queries @ self.centroids.T
         mask = np.zeros(scores.shape, dtype=bool)
         if self.probes >= scores.shape[1]:
             mask[:] = True
         else:
             np.put_along_axis(mask, np.argpartition(-scores, self.probes - 1, axis=1)[:, : self.probes], True, axis=1)
+            if self.sizes is not None:
+                for i in np.flatnonzero(mask @ self.sizes < self.need):
+                    order = np.argsort(-scores[i], kind="stable")
+                    mask[i, order[: max(self.probes, int(np.searchsorted(np.cumsum(self.sizes[order]), self.need)) + 1)]] = True
         return mask
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, codes: np.ndarray, errors: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -174,7 +180,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
     sample = np.empty((0, 0))
-    drawn = bounded_sample(rows, "id", fit_rows).toPandas()
+    drawn = bounded_sample(rows.withColumn("key", F.xxhash64("id", "v")), "key", fit_rows).drop("key").toPandas()
     out_ddl = f"query_id long, rank int, {id_col} long, score double"
     if not len(drawn):
         return spark.createDataFrame([], out_ddl)
@@ -213,6 +219,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") == dimension))
     asked = checkpointed(asked.groupBy("id").agg(F.min("v").alias("v")))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    # A query's own rows are no results: probes hold k rows beside them.
+    own = postings.join(asked.select("id"), "id", "left_semi").groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    index.sizes, index.need = np.array([counts.get(c, 0) for c in range(len(index.centroids))]), k + own
 
     def dispatch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -574,3 +574,12 @@ def test_rows_keep_clashing_columns(spark):
     assert packing.pack(frame).count() == 6
     assert mixing.mix(frame).count() == 6
     assert license_scan.scan(frame).count() == 0
+
+
+def test_ann_probes_go_on_until_they_hold_enough_rows():
+    index = ann.Index(np.eye(4), np.zeros((1, 1, 4)), 1)
+    index.sizes, index.need = np.array([3, 5, 50, 40]), 21
+    queries = np.array([[1, 0.5, 0.2, 0.1], [0, 0, 1, 0], [0.1, 0.2, 0.3, 0.9]])
+    assert index.probed(queries).tolist() == [[True, True, True, False], [False, False, True, False], [False, False, False, True]]
+    index.need = 1000
+    assert index.probed(queries).all()
