@@ -437,6 +437,9 @@ def test_layout_is_tight():
     assert sum(b.count for b in packing.lay_out(histogram)) <= 1.005 * total / 2048 + 1
 
 
+CONTROLS = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>tail", "head<|endoftext|>", "<|endoftext|><|endoftext|>", "x <|endoftext|", "<<|endoftext|>>\n <|endoftext|>\n"]
+
+
 @pytest.mark.parametrize("rows_per_bucket", [20_000, 2])
 def test_pack(docs, monkeypatch, rows_per_bucket):
     from tokenizers import Tokenizer
@@ -444,7 +447,7 @@ def test_pack(docs, monkeypatch, rows_per_bucket):
 
     monkeypatch.setattr(packing, "ROWS_PER_BUCKET", rows_per_bucket)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    docs = docs.unionAll(docs.sparkSession.createDataFrame([(30 + i, t, "en", "a", 1) for i, t in enumerate(CONTROLS)], DOCS))
     rows = packing.pack(docs, with_ids=True).collect()
     wanted = Counter()
     for r in docs.collect():
@@ -465,20 +468,27 @@ def test_pack(docs, monkeypatch, rows_per_bucket):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=80))
-def test_both_tokenizer_libraries_agree(text):
+def plain_ids(text):
+    """The yardstick: the library as the file configures it."""
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    global _plain
+    _plain = globals().get("_plain") or Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return _plain.encode(text, add_special_tokens=False).ids
 
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=80), st.integers(0, 80), st.booleans())
+def test_ids_are_those_of_the_plain_tokenizer(text, at, control):
     text = text.encode("utf-8", "ignore").decode()
-    assert tokens.encoder()(text) == tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text)
+    text = text[:at] + "<|endoftext|>" + text[at:] if control else text
+    assert tokens.encoder()(text) == plain_ids(text)
 
 
-@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 100_000, "a" * 100_000, "\u00e9" * 50_000, "<|endoftext|>", "1234567890" * 5_000])
+@pytest.mark.parametrize("text", [*CONTROLS, " " * 1_000_000, "\n" * 100_000, "a" * 100_000, "\u00e9" * 50_000, "1234567890" * 5_000])
 def test_tokens_of_odd_texts(text):
-    import public_tokenizers
-
-    assert tokens.encoder()(text) == tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text)
+    assert tokens.encoder()(text) == plain_ids(text)
 
 
 # 9 chat
