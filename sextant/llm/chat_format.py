@@ -1,56 +1,66 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes one or more windows. Prefix sums of turn tokens choose spans that end at
-turn borders; every window after the first starts with the conversation's system turn and with up
-to ``HISTORY_TURNS`` of the turns before it, as far as they fit in ``HISTORY_SHARE`` of the budget.
+A conversation becomes one or more windows. Prefix sums of turn tokens choose the spans: with a
+stride of ``NEW_SHARE`` of the room that the system turn leaves, a turn belongs to span
+floor(tokens of all turns before it / stride). So a span's border follows from prefix sums alone, whatever
+task holds the turn. If a span's last turn reaches beyond the room it gets a window of its own. Every
+window after the first starts with the conversation's system turn and with up to ``HISTORY_TURNS`` of
+the turns before it, as far as they fit in ``HISTORY_SHARE`` of the budget and in what the new turns leave.
 The loss mask covers the texts of assistant turns that are new in a window, so a repeated answer is
 context and never a target twice.
 
 Template: ``### role: text</turn>`` and a newline per turn. In roles and texts a backslash goes
-before each of ``\\ # < :`` (texts: without the colon), so no control string can appear in a text and reading back is
-exact.
-
-A conversation is cut into segments of ``SEGMENT_TURNS`` turn numbers, which are formatted by different
-tasks, so that one that holds a third of all rows does not land in one. A later segment gets the system
-turn and the last turns before it as context. Rows are sorted by turn inside a partition; formatting
-streams, holding the turns of one window. No turn is cut: one that exceeds the budget alone gets a
-window alone.
-
-Defined results: null text and null role count as empty. Rows of equal conversation and turn stay
-apart, ordered by role, then text. Null conversation ids form one conversation. No rows: no rows.
+before each of ``\\ # <`` and before ``|`` after ``<`` (roles: before the colon too), so no control string of the
+template or of the vocabulary can appear in a text and reading back is exact. A turn's tokens are those of its
+formatted form; turns begin and end at token borders, so a window's tokens are the sum of its turns'. No
+window exceeds the budget but that of one turn which exceeds it alone, as no turn is cut.
+
+Rows are range-partitioned by conversation and place in it, so one that holds a third of all rows is
+spread over many tasks. Each partition gives the driver one row (token sums of its first and last
+conversation, the first few counts, one short system turn), which gives every partition the sums before it; spans are
+then put together by (conversation, span). Memory is one window.
+
+Defined results: null text and null role count as empty. Turns are ordered by number, nulls first; rows of
+equal conversation and turn stay apart, ordered by role, then by a hash of the text. A system turn is a
+conversation's first turn with that role; one of more than ``SYSTEM_SHARE`` of the budget is repeated only where it happens
+to fit. Null conversation ids form one conversation. No rows: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Window_
 from pyspark.sql import functions as F
 
 from sextant.llm.tokens import encoder
+from sextant.session import checkpointed
 
 BUDGET = 1024
 HISTORY_TURNS = 2
 HISTORY_SHARE = 0.25
-#: Tokens that the template adds to a turn, at most.
-TURN_OVERHEAD = 12
-#: Turn numbers in a segment.
-SEGMENT_TURNS = 256
+#: Share of the room beside the system turn by which spans advance; the rest takes the last turn and history.
+NEW_SHARE = 0.75
+SYSTEM_SHARE = 0.5
 TARGET_ROLE = "assistant"
 SYSTEM_ROLE = "system"
+#: Kinds of rows of a span, in their order.
+SYSTEM_COPY, HISTORY, NEW = 0, 1, 2
 
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TEXT_SPECIAL = re.compile(r"([\\#<])")
-_ROLE_SPECIAL = re.compile(r"([\\#<:])")
+_TEXT_SPECIAL = re.compile(r"([\\#<]|(?<=<)\|)")
+_ROLE_SPECIAL = re.compile(r"([\\#<:]|(?<=<)\|)")
 _TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.S)
 
-WINDOW_DDL = "segment long, window_id int, formatted string, loss_spans array<struct<start:int,end:int>>, n_repeated int, n_turns int, n_tokens int"
+WINDOW_DDL = "window_id long, formatted string, loss_spans array<struct<start:int,end:int>>, n_repeated int, n_turns int, n_tokens int"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_END = "</turn>\n"
 
 
 def escape(text: str) -> str:
@@ -61,29 +71,29 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def head(role: str) -> str:
+    return f"### {_ROLE_SPECIAL.sub(r'\\\1', role)}: "
+
+
 @dataclass
 class Turn:
     role: str
     text: str
     tokens: int
+    is_system: bool = False
+    back: int = 0  # of history: turns from it to its span's first
 
 
-@dataclass
-class Window:
-    number: int
-    repeated: list[Turn]
-    new: list[Turn]
-
-    def render(self) -> tuple[str, list[tuple[int, int]]]:
-        """The formatted window and the code point spans under the loss mask."""
-        parts, spans, at = [], [], 0
-        for i, turn in enumerate(self.repeated + self.new):
-            head, text = f"### {_ROLE_SPECIAL.sub(r'\\\1', turn.role)}: ", escape(turn.text)
-            if i >= len(self.repeated) and turn.role == TARGET_ROLE:
-                spans.append((at + len(head), at + len(head) + len(text)))
-            parts += [head, text, "</turn>\n"]
-            at += len(head) + len(text) + len("</turn>\n")
-        return "".join(parts), spans
+def render(repeated: list[Turn], new: list[Turn]) -> tuple[str, list[tuple[int, int]]]:
+    """The formatted window and the code point spans under the loss mask."""
+    parts, spans, at = [], [], 0
+    for i, turn in enumerate(repeated + new):
+        start, text = head(turn.role), escape(turn.text)
+        if i >= len(repeated) and turn.role == TARGET_ROLE:
+            spans.append((at + len(start), at + len(start) + len(text)))
+        parts += [start, text, _END]
+        at += len(start) + len(text) + len(_END)
+    return "".join(parts), spans
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -98,139 +108,265 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-class Windower:
-    """Feeds on the turns of one conversation in order; returns windows as they fill."""
-
-    def __init__(self, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_share: float = HISTORY_SHARE) -> None:
-        self.budget, self.history_turns, self.history_tokens = budget, history_turns, int(budget * history_share)
-        self.number = 0
-        self.system: Turn | None = None
-        self.before: list[Turn] | None = None
-        self.repeated: list[Turn] = []
-        self.new: list[Turn] = []
-        self.used = 0
-        self.first = True
-
-    def resume(self, system: Turn | None, before: list[Turn]) -> None:
-        """Goes on after a segment that another windower formats."""
-        self.system, self.before, self.first = system, before, False
-
-    def add(self, turn: Turn) -> Window | None:
-        if self.first and turn.role == SYSTEM_ROLE:
-            self.system = turn
-        self.first = False
-        full = None
-        if self.before is not None:
-            self._repeat(self.before, turn)
-            self.before = None
-        if self.new and self.used + turn.tokens > self.budget:
-            full = self.close()
-            self._repeat(full.repeated + full.new, turn)
-        self.new.append(turn)
-        self.used += turn.tokens
-        return full
-
-    def _repeat(self, before: list[Turn], turn: Turn) -> None:
-        """System turn and recent history that leave room for ``turn``."""
-        system = [self.system] if self.system and self.system.tokens + turn.tokens <= self.budget else []
-        room = min(self.history_tokens, self.budget - turn.tokens - sum(t.tokens for t in system))
-        history: list[Turn] = []
-        for old in reversed([t for t in before if t is not self.system][-self.history_turns :] if self.history_turns else []):
-            if old.tokens > room:
+@dataclass(frozen=True)
+class Shape:
+    """The limits of windows."""
+
+    budget: int = BUDGET
+    history_turns: int = HISTORY_TURNS
+    history_share: float = HISTORY_SHARE
+
+    @property
+    def history_tokens(self) -> int:
+        return int(self.budget * self.history_share)
+
+    def room(self, system: int | None) -> int:
+        """Tokens beside a system turn of so many, if windows are laid out for it."""
+        return self.budget - (system if system is not None and system <= SYSTEM_SHARE * self.budget else 0)
+
+    def stride(self, system: int | None) -> int:
+        return max(1, int(NEW_SHARE * self.room(system)))
+
+    def windows(self, system: Turn | None, history: list[Turn], new: list[Turn]) -> list[tuple[list[Turn], list[Turn]]]:
+        """(repeated, new) of the one or two windows of a span. ``history``: the turns before it, nearest last."""
+        total = sum(t.tokens for t in new)
+        # A turn too long for any history was not sent, and ends what can be repeated.
+        history = [t for n, t in enumerate(reversed(history), 1) if t.back == n][::-1]
+        if len(new) > 1 and total > self.room(system.tokens if system and not new[0].is_system else None):
+            parts = [(history, new[:-1]), (history + new[:-1], new[-1:])]
+        else:
+            parts = [(history, new)]
+        return [(self._repeated(system, before, own), own) for before, own in parts]
+
+    def _repeated(self, system: Turn | None, before: list[Turn], new: list[Turn]) -> list[Turn]:
+        left = self.budget - sum(t.tokens for t in new)
+        first = []
+        if system and not new[0].is_system and system.tokens <= left:
+            first, left = [system], left - system.tokens
+        left = min(left, self.history_tokens)
+        chosen: list[Turn] = []
+        for turn in reversed(before[-self.history_turns :] if self.history_turns else []):
+            if turn.is_system or turn.tokens > left:
                 break
-            history.insert(0, old)
-            room -= old.tokens
-        self.repeated = system + history
-        self.used = sum(t.tokens for t in self.repeated)
-
-    def close(self) -> Window | None:
-        if not self.new:
-            return None
-        window = Window(self.number, self.repeated, self.new)
-        self.number += 1
-        self.repeated, self.new, self.used = [], [], 0
-        return window
-
-
-def _context(rows: DataFrame, history_turns: int) -> DataFrame:
-    """Context rows of segments after a conversation's first: the system turn (place -1), then the turns before the segment."""
-    heads = rows.groupBy("conv_id").agg(F.min(F.struct("segment", "turn", "role", "text")).alias("first"), F.max("segment").alias("last")).filter(F.col("last") != F.col("first.segment"))
-    heads = heads.select(F.col("conv_id").alias("own_id"), "first")
-    long = rows.join(heads, F.col("conv_id").eqNullSafe(F.col("own_id")))
-    place = F.row_number().over(Window_.partitionBy("conv_id", "segment").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
-    turn = F.struct((-F.col("place")).alias("at"), "role", "text")
-    tails = long.withColumn("place", place).groupBy("conv_id", "segment").agg(F.first("first").alias("first"), F.array_sort(F.collect_list(F.when(F.col("place") <= history_turns, turn))).alias("tail"))
-    # A row for each segment: a conversation's rows divided by the turns of a segment.
-    before = F.lag("tail").over(Window_.partitionBy("conv_id").orderBy("segment"))
-    resumed = tails.withColumn("before", before).filter(F.col("segment") != F.col("first.segment"))
-    system = F.when(F.col("first.role") == SYSTEM_ROLE, F.array(F.struct(F.lit(-1).alias("at"), F.col("first.role").alias("role"), F.col("first.text").alias("text"))))
-    # An empty role and text at place -2 marks the segment as a later one even if nothing else stands before it.
-    mark = F.array(F.struct(F.lit(-2).alias("at"), F.lit("").alias("role"), F.lit("").alias("text")))
-    history = F.transform("before", lambda t, i: F.struct(i.alias("at"), t["role"].alias("role"), t["text"].alias("text")))
-    none = F.array().cast("array<struct<at:int,role:string,text:string>>")
-    return resumed.select("conv_id", "segment", F.inline(F.concat(mark, F.coalesce(system, none), F.coalesce(history, none)))).select("conv_id", "segment", F.lit(0).alias("kind"), F.col("at").cast("long").alias("turn"), "role", "text")
+            chosen.insert(0, turn)
+            left -= turn.tokens
+        return first + chosen
+
+
+@dataclass
+class Carry:
+    """What a partition has to know of the others: sums before its first conversation's part, and counts after its last."""
+
+    continues: bool = False
+    before: int = 0
+    last: int = 0  # tokens of the turn before
+    system: Turn | None = None
+    ahead: tuple[int, ...] = ()
+
+
+_SUMMARY_DDL = "pid int, single boolean, first_sum long, last_sum long, last_tokens long, head array<int>, system_role string, system_text string, system_tokens int"
+
+
+def _summary(history_turns: int):
+    """One row for each partition with rows: (ids of its first and last conversation, sums)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, first, last, head_, sums, last_tokens, system = False, None, None, [], [0, 0], 0, (None, None, None)
+        single = True
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.field("conv_id").type
+            convs, tokens = batch.column("conv_id").to_pylist(), batch.column("tokens").to_pylist()
+            for i, (conv, n) in enumerate(zip(convs, tokens, strict=True)):
+                if not started or conv != last:
+                    single = not started
+                    if not started:
+                        first = conv
+                    started, last = True, conv
+                    sums[1] = 0
+                    role = batch.column("role")[i].as_py()
+                    system = (role, batch.column("text")[i].as_py(), n) if role == SYSTEM_ROLE else (None, None, None)
+                if single:
+                    sums[0] += n
+                    if len(head_) < history_turns:
+                        head_.append(n)
+                sums[1] += n
+                last_tokens = n
+        if started:
+            columns = [pa.array([first], id_type), pa.array([last], id_type)]
+            values = [TaskContext.get().partitionId(), single, sums[0], sums[1], last_tokens, head_, *system]
+            types = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.int32()]
+            names = ["first_conv", "last_conv", *[part.split()[0] for part in _SUMMARY_DDL.split(", ")]]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+
+    return run
+
+
+def _carries(rows: list, history_turns: int) -> dict[int, Carry]:
+    """Carries of the partitions, from their summaries."""
+    rows = sorted(rows, key=lambda r: r["pid"])
+    found: dict[int, Carry] = {}
+    before, last_tokens, system, conv, started = 0, 0, None, None, False
+    for r in rows:
+        continues = started and r["first_conv"] == conv
+        found[r["pid"]] = Carry(continues, before if continues else 0, last_tokens if continues else 0, system if continues else None)
+        own = Turn(r["system_role"], r["system_text"], r["system_tokens"], True) if r["system_role"] is not None else None
+        if r["single"] and continues:
+            before += r["first_sum"]
+        else:
+            before, system = r["last_sum"], own
+        last_tokens, conv, started = r["last_tokens"], r["last_conv"], True
+    for i, r in enumerate(rows):
+        ahead: list[int] = []
+        for following in rows[i + 1 :]:
+            if len(ahead) >= history_turns or following["first_conv"] != r["last_conv"]:
+                break
+            ahead += following["head"]
+            if not following["single"]:
+                break
+        found[r["pid"]].ahead = tuple(ahead[:history_turns])
+    return found
+
+
+_NAMES = ["conv_id", "span", "kind", "place", "is_system", "role", "text", "tokens", "back"]
+_TYPES = [None, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _route(shape: Shape, carries: dict[int, Carry]):
+    """Sends every turn to its span, and to the spans that may repeat it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        carry = carries.get(pid, Carry())
+        place = pid << 40
+        out: list[tuple] = []
+        waiting: deque[tuple] = deque()  # turns whose followers are not known yet
+        conv, started = None, False
+        before, system, span, stride = 0, None, None, 1
+
+        def send(following: list[int]) -> None:
+            """The first waiting turn; ``following``: tokens of the turns after it, at most ``history_turns``."""
+            nonlocal before, span
+            own_place, role, text, tokens, is_system = waiting.popleft()
+            own = before // stride
+            if own != span and system is not None and not is_system and system.tokens <= shape.budget:
+                out.append((conv, own, SYSTEM_COPY, own_place, True, system.role, system.text, system.tokens, 0))
+            out.append((conv, own, NEW, own_place, is_system, role, text, tokens, 0))
+            span, before = own, before + tokens
+            if tokens <= shape.history_tokens and not is_system:
+                at, previous = before, own
+                for back, n in enumerate(following, 1):
+                    if at // stride != previous:
+                        previous = at // stride
+                        out.append((conv, previous, HISTORY, own_place, False, role, text, tokens, back))
+                    at += n
+
+        def finish(ahead: tuple[int, ...]) -> None:
+            while waiting:
+                rest = [w[3] for w in list(waiting)[1:]] + list(ahead)
+                send(rest[: shape.history_turns])
+
+        id_type = pa.int64()
+        for batch in batches:
+            id_type = batch.schema.field("conv_id").type
+            for own, role, text, tokens in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens")), strict=True):
+                is_system = False
+                if not started or own != conv:
+                    finish(())
+                    if not started and carry.continues:
+                        before, system = carry.before, carry.system
+                        stride = shape.stride(system.tokens if system else None)
+                        span = (before - carry.last) // stride
+                    else:
+                        is_system = role == SYSTEM_ROLE
+                        before, span = 0, None
+                        system = Turn(role, text, tokens, True) if is_system else None
+                        stride = shape.stride(tokens if is_system else None)
+                    conv, started = own, True
+                waiting.append((place, role, text, tokens, is_system))
+                place += 1
+                if len(waiting) > shape.history_turns:
+                    send([w[3] for w in list(waiting)[1:]])
+            yield _batch(out, _NAMES, [id_type, *_TYPES[1:]])
+            out.clear()
+        finish(carry.ahead)
+        if out:
+            yield _batch(out, _NAMES, [id_type, *_TYPES[1:]])
+
+    return run
 
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_share: float = HISTORY_SHARE, tokenizer: str | None = None) -> DataFrame:
     """(conv_id, turn, role, text) rows to windows.
 
-    Columns: conv_id, segment, window_id (from 0 in each segment), formatted, loss_spans (code points),
-    n_repeated (turns at the start that earlier windows hold), n_turns, n_tokens.
+    Columns: conv_id, window_id (ascending with the windows of a conversation, with gaps), formatted, loss_spans (code
+    points), n_repeated (turns at the start that earlier windows hold), n_turns, n_tokens.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    names = ["conv_id", "segment", "window_id", "formatted", "loss_spans", "n_repeated", "n_turns", "n_tokens"]
+    shape = Shape(budget, history_turns, history_share)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        windower, key, started = Windower(budget, history_turns, history_share), None, False
-        system: Turn | None = None
-        before: list[Turn] = []
-        resuming = False
-        out: list[tuple] = []
+        for batch in batches:
+            tokens = [len(encode(f"{head(role)}{escape(text)}{_END}")) for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("role"), batch.column("text"), pa.array(tokens, pa.int32())], names=["conv_id", "role", "text", "tokens"])
 
-        def emit(window: Window | None) -> None:
-            if window:
-                formatted, spans = window.render()
-                turns = window.repeated + window.new
-                out.append((*key, window.number, formatted, [{"start": a, "end": b} for a, b in spans], len(window.repeated), len(turns), sum(t.tokens for t in turns)))
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by span: a span is complete when the next one begins."""
+        names = ["conv_id", *[part.split()[0] for part in re.split(r", (?![^<]*>)", WINDOW_DDL)]]
+        types = [pa.int64(), pa.string(), _SPANS, pa.int32(), pa.int32(), pa.int32()]
+        out: list[tuple] = []
+        key, started = None, False
+        system: Turn | None = None
+        history: list[Turn] = []
+        new: list[Turn] = []
 
-        def batch_of(id_type: pa.DataType) -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            types = (id_type, pa.int64(), pa.int32(), pa.string(), _SPANS, pa.int32(), pa.int32(), pa.int32())
-            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-            out.clear()
-            return found
+        def emit() -> None:
+            for i, (repeated, own) in enumerate(shape.windows(system, history, new)):
+                formatted, spans = render(repeated, own)
+                turns = repeated + own
+                out.append((key[0], 2 * key[1] + i, formatted, [{"start": a, "end": b} for a, b in spans], len(repeated), len(turns), sum(t.tokens for t in turns)))
 
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field("conv_id").type
-            for own, segment, place, at, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "kind", "turn", "role", "text")), strict=True):
-                if not started or (own, segment) != key:
-                    emit(windower.close())
-                    windower, key, started = Windower(budget, history_turns, history_share), (own, segment), True
-                    system, before, resuming = None, [], False
-                turn = Turn(role, text, len(encode(text)) + TURN_OVERHEAD)
-                if place == 0:
-                    resuming = True
-                    if at == -1:
-                        system = turn
-                    elif at >= 0:
-                        before.append(turn)
-                    continue
-                if resuming:
-                    windower.resume(system, before)
-                    resuming = False
-                emit(windower.add(turn))
-            yield batch_of(id_type)
-        emit(windower.close())
-        if out:
-            yield batch_of(id_type)
-
-    segment = F.when(F.col("turn").isNull(), F.lit(-(1 << 62))).otherwise(F.floor(F.col("turn") / SEGMENT_TURNS)).cast("long")
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("segment", segment)
-    every = rows.select("conv_id", "segment", F.lit(1).alias("kind"), "turn", "role", "text").unionByName(_context(rows, history_turns))
-    ordered = every.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", "turn", "role", "text")
-    return ordered.mapInArrow(run, f"conv_id {kind}, {WINDOW_DDL}")
+            for own, span, sort, is_system, role, text, tokens, back in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "span", "kind", "is_system", "role", "text", "tokens", "back")), strict=True):
+                if not started or (own, span) != key:
+                    if started:
+                        emit()
+                    key, started = (own, span), True
+                    system, history, new = None, [], []
+                turn = Turn(role, text, tokens, is_system, back)
+                if sort == SYSTEM_COPY:
+                    system = turn
+                elif sort == HISTORY:
+                    history.append(turn)
+                else:
+                    new.append(turn)
+                    system = turn if is_system else system
+            yield _batch(out, names, [id_type, *types])
+            out.clear()
+        if started:
+            emit()
+            yield _batch(out, names, [id_type, *types])
+
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = ["conv_id", "turn", "role", "hash"]
+    placed = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Kept: later passes go by the number of the partition.
+    ordered = checkpointed(placed.select("conv_id", "role", "text").mapInArrow(counted, f"conv_id {kind}, role string, text string, tokens int"))
+    summaries = ordered.mapInArrow(_summary(history_turns), f"first_conv {kind}, last_conv {kind}, {_SUMMARY_DDL}")
+    # A row for each partition; a system turn that is too long to be repeated stays out.
+    short = F.when(F.col("system_tokens") <= budget, F.col("system_text")).otherwise("")
+    carries = _carries(summaries.withColumn("system_text", short).collect(), history_turns)
+    sent = ordered.mapInArrow(_route(shape, carries), f"conv_id {kind}, span long, kind int, place long, is_system boolean, role string, text string, tokens int, back int")
+    spans = sent.repartition("conv_id", "span").sortWithinPartitions("conv_id", "span", "kind", "place")
+    return spans.mapInArrow(put_together, f"conv_id {kind}, {WINDOW_DDL}")
 
 
 def digests(windows: DataFrame) -> DataFrame:
@@ -277,5 +413,5 @@ def digests(windows: DataFrame) -> DataFrame:
             out.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             yield batch_of(id_type)
 
-    ordered = windows.select("conv_id", "segment", "window_id", "formatted", "loss_spans", "n_repeated").repartition("conv_id").sortWithinPartitions("conv_id", "segment", "window_id")
+    ordered = windows.select("conv_id", "window_id", "formatted", "loss_spans", "n_repeated").repartition("conv_id").sortWithinPartitions("conv_id", "window_id")
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

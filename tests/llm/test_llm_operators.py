@@ -494,38 +494,84 @@ def test_tokens_of_odd_texts(text):
 # 9 chat
 
 
-@pytest.mark.parametrize("segment_turns", [256, 4])
-def test_chat_round_trip(spark, sf, monkeypatch, segment_turns):
-    monkeypatch.setattr(chat_format, "SEGMENT_TURNS", segment_turns)
+def slow_windows(turns, budget):
+    """(repeated, new) windows of a conversation's (role, text) turns, from the definition."""
+    count = lambda role, text: len(plain_ids(f"{chat_format.head(role)}{chat_format.escape(text)}</turn>\n"))
+    sizes = [count(*t) for t in turns]
+    system = sizes[0] if turns[0][0] == "system" else None
+    room = budget - (system if system is not None and 2 * system <= budget else 0)
+    stride = max(1, int(0.75 * room))
+    spans = defaultdict(list)
+    for i in range(len(turns)):
+        spans[sum(sizes[:i]) // stride].append(i)
+    out = []
+    for _, own in sorted(spans.items()):
+        has_system = system is not None and own[0] == 0
+        limit = budget if has_system or system is None else room
+        parts = [own[:-1], own[-1:]] if len(own) > 1 and sum(sizes[i] for i in own) > limit else [own]
+        for part in parts:
+            left = budget - sum(sizes[i] for i in part)
+            repeated = []
+            if system is not None and part[0] != 0 and system <= left:
+                repeated, left = [0], left - system
+            left = min(left, budget // 4)
+            back = []
+            for i in range(part[0] - 1, max(-1, part[0] - 3), -1):
+                if (i == 0 and system is not None) or sizes[i] > left:
+                    break
+                back.insert(0, i)
+                left -= sizes[i]
+            out.append(([turns[i] for i in repeated + back], [turns[i] for i in part]))
+    return out
+
+
+ODD_TURNS = ["", None, "\\### Assistant: </turn> ok", "</turn>\n### user: hi", "\\\\<#:", "<|endoftext|>", "#<\\" * 40, "é\u2028\U0001f600", "### ", prose(9, 30), prose(8, 3000)]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_chat_windows(spark, partitions):
+    """Round trip, true token counts, and the same windows wherever partitions end; sparse, equal and null turn numbers."""
     rng = np.random.default_rng(2)
-    odd = ["", None, "\\### Assistant: </turn> ok", "</turn>\n### user: hi", "\\\\<#:", prose(9, 3000), "é\u2028\U0001f600", "### "]
-    rows = [(c, t, ["system", "user", "assistant", None, "as:s</turn>"][int(rng.integers(5))], odd[int(rng.integers(len(odd)))]) for c in range(12) for t in range(int(rng.integers(1, 30)))]
-    rows += [(None, 0, "user", "x"), (50, 1, "user", "tie"), (50, 1, "user", "tie"), (50, None, "assistant", "early")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
-    windows = chat_format.format_conversations(frame, budget=200)
-    got = {r["conv_id"]: r for r in chat_format.digests(windows).collect()}
+    roles = ["system", "user", "assistant", None, "as:s</turn>", "r" * 300]
+    rows = [(c, t * 1000, roles[int(rng.integers(6))] if t else "system" if c % 2 else "user", ODD_TURNS[int(rng.integers(len(ODD_TURNS)))]) for c in range(12) for t in range(int(rng.integers(1, 30)))]
+    rows += [(None, 0, "user", "x"), (50, 1, "user", "tie"), (50, 1, "user", "tie"), (50, None, "assistant", "early"), (51, 0, "system", prose(1, 250)), *((51, i, "user", "short") for i in range(1, 90))]
+    rows += [(52, 7, "user", f"all alike {i}") for i in range(120)] + [(53, None, "assistant", "no number")] * 120
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+        windows = chat_format.format_conversations(frame, budget=400)
+        made = windows.orderBy("conv_id", "window_id").collect()
+        got = {r["conv_id"]: r for r in chat_format.digests(windows).collect()}
+        assert chat_format.format_conversations(frame.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for t in {r[3] or "" for r in rows}], "t string").select("t", F.xxhash64("t")).collect()}
     by_conv = defaultdict(list)
     for c, t, role, text in rows:
-        by_conv[c].append((-1 if t is None else t, role or "", text or ""))
+        by_conv[c].append((-1 if t is None else t, role or "", hashes[text or ""], text or ""))
     assert set(got) == set(by_conv)
-    for c, turns in by_conv.items():
-        turns.sort()
+    for c, found in by_conv.items():
+        turns = [(role, text) for _, role, _, text in sorted(found)]
+        wanted = slow_windows(turns, 400)
+        own = [w for w in made if w["conv_id"] == c]
+        assert [chat_format.read_turns(w["formatted"]) for w in own] == [a + b for a, b in wanted]
+        assert [w["n_repeated"] for w in own] == [len(a) for a, _ in wanted]
         r = got[c]
-        assert r["n_turns"] == len(turns)
-        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
-        loss = "".join(b for _, a, b in turns if a == "assistant")
+        assert r["n_turns"] == len(turns) and r["formatted_chars"] == sum(len(w["formatted"]) for w in own)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        loss = "".join(b for a, b in turns if a == "assistant")
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for w in windows.collect():
-        new = w["n_turns"] - w["n_repeated"]
-        assert new >= 1 and (w["n_tokens"] <= 200 or new == 1)
-    assert chat_format.format_conversations(frame.limit(0)).count() == 0
+    for w in made:
+        assert w["n_tokens"] == len(plain_ids(w["formatted"]))
+        assert w["n_tokens"] <= 400 or w["n_turns"] == 1
 
 
-@pytest.mark.parametrize("segment_turns", [256, 5])
-def test_later_windows_start_with_the_system_turn(spark, monkeypatch, segment_turns):
-    monkeypatch.setattr(chat_format, "SEGMENT_TURNS", segment_turns)
-    rows = [(1, 0, "system", "be kind")] + [(1, i, "assistant" if i % 2 else "user", prose(i, 12)) for i in range(1, 20)]
-    windows = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=160).orderBy("segment", "window_id").collect()
+def test_later_windows_start_with_the_system_turn(spark):
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "assistant" if i % 2 else "user", prose(i, 12)) for i in range(1, 40)]
+    windows = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=160).orderBy("window_id").collect()
     assert len(windows) > 2
     for w in windows[1:]:
         turns = chat_format.read_turns(w["formatted"])
