@@ -743,9 +743,37 @@ def test_rows_keep_clashing_columns(spark):
 
 
 def test_ann_probes_go_on_until_they_hold_enough_rows():
-    index = ann.Index(np.eye(4), np.zeros((1, 1, 4)), 1)
-    index.sizes, index.need = np.array([3, 5, 50, 40]), 21
+    index = ann.Index(np.eye(4), np.zeros((1, 4)), np.zeros((1, 1, 4)), 1, np.array([3, 5, 50, 40]))
     queries = np.array([[1, 0.5, 0.2, 0.1], [0, 0, 1, 0], [0.1, 0.2, 0.3, 0.9]])
-    assert index.probed(queries).tolist() == [[True, True, True, False], [False, False, True, False], [False, False, False, True]]
-    index.need = 1000
-    assert index.probed(queries).all()
+    probed, least = index.probed(queries, np.full(3, 21))
+    assert probed.tolist() == [[True, True, True, False], [False, False, True, False], [False, False, False, True]]
+    assert least.tolist() == [0.2, 1, 0.9]
+    assert index.probed(queries, np.array([1000, 21, 21]))[0].tolist()[0] == [True] * 4
+
+
+def test_ann_with_thousands_of_split_cells(spark, monkeypatch):
+    """Two levels of centroids, nearly every cell over several shards; full probing finds the exact neighbours."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 2)
+    monkeypatch.setattr(ann, "LEAST_SHARD_ROWS", 1)
+    monkeypatch.setattr(ann, "FIRST_LEVEL", 500)
+    monkeypatch.setattr(ann, "COVERAGE", 1.0)
+    layout = ann.Layout.of(np.full(2_500, 7), 3)
+    assert (layout.parts == 3).all() and layout.shards == 7_500
+    query, shard = layout.shards_of(np.ones((2, 2_500), dtype=bool))
+    assert Counter(query.tolist()) == {0: 7_500, 1: 7_500} and set(shard.tolist()) == set(range(7_500))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9_000, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.search(frame, frame.filter("vec_id % 900 = 0"), k=5, cells=2_000).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    found = sum(len({*own} & {*[i for i in np.argsort(-(x @ x[q]))[:6] if i != q][:5]}) for q, own in got.items())
+    assert set(got) == set(range(0, 9_000, 900)) and found >= 47
+
+
+def test_ann_id_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 4))
+    frame = spark.createDataFrame([(0 if i < 200 else i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(frame, frame.filter("vec_id = 0")).collect()
+    assert len(got) == 20 and all(r["vec_id"] >= 200 for r in got)
