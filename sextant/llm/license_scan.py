@@ -1,17 +1,17 @@
 """License scan: MinHash bands over overlapping text windows, then exact containment. DataFrame functions only.
 
-A text's words become shingles of ``SHINGLE`` words, hashed to 64 bits. Windows of shingles overlap
-so that every run as long as a template lies whole in one window. A window's signature is a
-one-permutation MinHash: the top bits of a shingle's hash name one of B bins, and each bin keeps its
+A text's words become shingles of ``SHINGLE`` words, hashed to 64 bits. Windows of four times the longest template of a tier
+overlap by half, so that every run of up to twice that length, a template with as many words put in between, lies whole in one window. A
+window's signature is a one-permutation MinHash: the top bits of a shingle's hash name one of B bins, and each bin keeps its
 smallest hash. Every bin is a band of one row: a window is a candidate of a template if they agree
 in the minimum of any bin. Templates of like length share a tier with its own window length and B,
 chosen so that a window that holds ``SIMILARITY`` of a template's shingles agrees with it somewhere
 with a probability of at least 1 - ``MISS`` (see ``bins``). Candidates are then verified: the share of the
 template's shingles that the window holds must be ``SIMILARITY`` or more.
 
-Tiers beyond ``BANDED`` shingles need no minima of windows: a template's keys are its ``sketch_size()`` smallest
-hashes, and a window that holds any of them is a candidate. A window with ``SIMILARITY`` of the template lacks
-all of them with a probability of at most ``MISS``. Texts without any such key make no windows of these tiers.
+Bands are evaluated from the templates' side: a window can only agree in a minimum that it holds as a shingle, so texts that
+hold none of the templates' minima, nearly all, have no candidates and make no windows. The others' windows get their
+minima.
 
 Templates of fewer words than a shingle are one shingle of all their words; windows of one shingle
 are their own minimum, so these are found for sure. Signatures are computed inside the row, by
@@ -19,12 +19,14 @@ higher-order functions; only windows that hit a template leave it, and nothing b
 shuffled. Several templates may share a name; its row is that of the best of them. Template keys are a literal set of at most ``KEYS_AT_ONCE``; larger template tables are
 scanned in several passes over the text.
 
-Defined results: null, empty and too short texts match nothing. Words are compared in lower case.
+Defined results: null, empty and too short texts match nothing. Words are compared in lower case. A longer run than twice the
+tier's longest template, up to the window's length, matches if the windows happen to hold enough of it.
 Rows of equal id count as one document. Empty templates are left out; no templates: no rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Callable, Sequence
@@ -40,12 +42,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MISS = 1e-4
 KEYS_AT_ONCE = 20_000
-#: Largest template length, in shingles, of each tier; windows advance by three times as much.
+#: Largest template length, in shingles, of each tier; windows are four times as long and advance by twice as much.
 TIERS = (1, 8, 64, 512, 4096, 32768)
 
-#: Longest template, in shingles, that is found by the minima of windows.
-BANDED = 8
-
 #: License notices that documents carry as a line of their own.
 NOTICES = (
     ("all-rights-reserved", "All rights reserved."),
@@ -67,11 +66,7 @@ class Tier:
 
     @property
     def stride(self) -> int:
-        return 1 if self.longest == 1 else 3 * self.longest
-
-    @property
-    def sketched(self) -> bool:
-        return self.longest > BANDED
+        return 1 if self.longest == 1 else 2 * self.longest
 
     @property
     def window(self) -> int:
@@ -81,17 +76,16 @@ class Tier:
 def bins(window: int, shortest: int) -> int:
     """log2 of the number of bins.
 
-    With B bins a template shingle in the window is its bin's minimum unless one of the other
-    shingles falls into its bin and below it: probability of losing it about window / 2B. All of the
-    at least ``SIMILARITY * shortest`` shared shingles are lost with that to their number's power.
+    Of the U different shingles of window and template, one is its bin's minimum with a probability of B / U (1 - exp(-U / B)).
+    The window and the template agree in a bin if that minimum is one of the at least ``SIMILARITY * shortest`` shared ones;
+    none of these is a minimum with a probability of the rest to their number's power.
     """
     shared = math.ceil(SIMILARITY * shortest)
-    return max(1, math.ceil(math.log2(window / (2 * MISS ** (1 / shared)))))
-
-
-def sketch_size() -> int:
-    """Smallest hashes of a template of which a window with ``SIMILARITY`` of it holds none with a probability of at most ``MISS``."""
-    return math.ceil(math.log(MISS) / math.log(1 - SIMILARITY))
+    union = window + shortest - shared
+    bits = 1
+    while (1 - 2**bits / union * -math.expm1(-union / 2**bits)) ** shared > MISS:
+        bits += 1
+    return bits
 
 
 def template_words(text: str) -> list[str]:
@@ -125,10 +119,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _hashes(tokens: Column, size: int) -> Column:
-    """Hashes of the shingles of an array of words; empty if there are fewer words."""
-    positions = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(positions, lambda i: F.xxhash64(F.slice(tokens, i, size)))
+def _longer(hashes: Column, own: Column, size: int) -> Column:
+    """Hashes of the shingles of ``size`` words, from those of one word less and the words' own."""
+    least = lambda n: F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, least(F.size(hashes) - 1)), F.slice(own, size, least(F.size(own) - (size - 1))), lambda x, y: F.xxhash64(x, y))
 
 
 def _minima(hashes: Column, bits: int) -> Column:
@@ -140,24 +134,31 @@ def _minima(hashes: Column, bits: int) -> Column:
 def template_table(spark: SparkSession, tier: Tier) -> DataFrame:
     """(license_id, shingles, keys): hashes of a tier's templates and their minima."""
     rows = spark.createDataFrame([(name, list(shingles)) for name, shingles in tier.templates], "license_id string, texts array<string>")
-    hashed = rows.select("license_id", F.transform("texts", lambda t: F.xxhash64(F.split(t, " "))).alias("shingles"))
-    if tier.sketched:
-        return hashed.withColumn("keys", F.slice(F.sort_array("shingles"), 1, sketch_size()))
+    shingle = lambda w: F.aggregate(F.slice(w, 2, tier.size), F.xxhash64(w[0]), lambda h, x: F.xxhash64(h, F.xxhash64(x)))
+    hashed = rows.select("license_id", F.transform("texts", lambda t: shingle(F.split(t, " "))).alias("shingles"))
     return hashed.withColumn("keys", _minima(F.col("shingles"), tier.bits) if tier.bits else F.col("shingles"))
 
 
-def _windows(hashes: Column, tier: Tier, keys: list[int]) -> Column:
-    """Windows that agree with a template in a minimum: array of (start, hits, shingles)."""
+def _constant(values: list, kind: str) -> Column:
+    """A constant array, parsed as a whole."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _windows(hashes: Column, tier: Tier, owners: dict[int, list[int]]) -> Column:
+    """Windows that agree with a template in a minimum: array of (start, candidates, shingles). ``owners``: numbers of the templates of each minimum."""
+    keys = sorted(owners)
+    listed, numbers = _constant(keys, "array<bigint>"), _constant([owners[k] for k in keys], "array<array<int>>")
+    candidates = lambda hits: F.array_distinct(F.flatten(F.transform(hits, lambda h: F.element_at(numbers, F.array_position(listed, h).cast("int")))))
     if tier.window == 1:
         hits = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("start"), h.alias("hit"))), lambda w: w["hit"].isin(keys))
-        return F.transform(hits, lambda w: F.struct(w["start"].alias("start"), F.array(w["hit"]).alias("hits"), F.array(w["hit"]).alias("shingles")))
+        return F.transform(hits, lambda w: F.struct(w["start"].alias("start"), candidates(F.array(w["hit"])).alias("candidates"), F.array(w["hit"]).alias("shingles")))
     # A window that only repeats the end of the one before is not needed.
     last = F.greatest(F.lit(0), F.size(hashes) - 1 - (tier.window - tier.stride))
     starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), last, F.lit(tier.stride))).otherwise(F.array().cast("array<int>"))
     part = lambda s: F.slice(hashes, s + 1, tier.window)
-    signature = (lambda s: F.array_distinct(F.filter(part(s), lambda h: h.isin(keys)))) if tier.sketched else (lambda s: F.filter(_minima(part(s), tier.bits), lambda h: h.isin(keys)))
-    found = F.transform(starts, lambda s: F.struct(s.alias("start"), signature(s).alias("hits")))
-    return F.transform(F.filter(found, lambda w: F.size(w["hits"]) > 0), lambda w: F.struct(w["start"].alias("start"), w["hits"].alias("hits"), F.slice(hashes, w["start"] + 1, tier.window).alias("shingles")))
+    hits = lambda s: F.filter(_minima(part(s), tier.bits), lambda h: h.isin(keys))
+    found = F.transform(starts, lambda s: F.struct(s.alias("start"), hits(s).alias("hits")))
+    return F.transform(F.filter(found, lambda w: F.size(w["hits"]) > 0), lambda w: F.struct(w["start"].alias("start"), candidates(w["hits"]).alias("candidates"), part(w["start"]).alias("shingles")))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,36 +173,42 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, simila
     if not found:
         return empty.select(F.col("id").alias(id_col), "license_id", "containment", F.col("start").cast("long").alias("first_word"))
     tables = [template_table(spark, t) for t in found]
-    keys = [sorted({k for r in table.select("keys").collect() for k in r["keys"]}) for table in tables]
-    side = None
-    for number, table in enumerate(tables):
-        rows = table.select(F.lit(number).alias("tier"), F.explode("keys").alias("key"), "license_id", F.col("shingles").alias("template"))
-        side = rows if side is None else side.unionByName(rows)
+    owners: list[dict[int, list[int]]] = []
+    side = []
+    for table in tables:
+        own: dict[int, list[int]] = {}
+        for r in table.collect():
+            for key in r["keys"]:
+                own.setdefault(key, []).append(len(side))
+            side.append((len(side), r["license_id"], r["shingles"]))
+        owners.append(own)
+    templates_ = spark.createDataFrame(side, "number int, license_id string, template array<long>")
+
+    def held(hashes: Column, own: list[int]) -> Column:
+        """The hashes if any of them is among these keys, else none: then no window can agree with a template."""
+        return F.when(F.exists(hashes, lambda h: h.isin(own)), hashes).otherwise(F.array().cast("array<bigint>"))
 
     def of_tier(hashes: Column, number: int) -> Column:
-        tagged = lambda w: F.struct(F.lit(number).alias("tier"), w["start"].alias("start"), w["hits"].alias("hits"), w["shingles"].alias("shingles"))
-        return F.transform(_windows(hashes, found[number], keys[number]), tagged)
-
-    def of_size(tokens: Column, size: int) -> Column:
-        own = [n for n, t in enumerate(found) if t.size == size]
-        short, long = [n for n in own if not found[n].sketched], [n for n in own if found[n].sketched]
-        sketches = sorted({k for n in long for k in keys[n]})
+        return _let(held(hashes, list(owners[number])), lambda h: _windows(h, found[number], owners[number]))
 
-        def of_hashes(hashes: Column) -> Column:
-            parts = [of_tier(hashes, n) for n in short]
-            if long:
-                able = F.when(F.exists(hashes, lambda h: h.isin(sketches)), hashes).otherwise(F.array().cast("array<bigint>"))
-                parts.append(_let(able, lambda hashes: F.concat(*[of_tier(hashes, n) for n in long])))
-            return F.concat(*parts)
+    sizes = {size: [n for n, t in enumerate(found) if t.size == size] for size in sorted({t.size for t in found})}
 
-        return _let(_hashes(tokens, size), of_hashes)
+    def of_hashes(own: Column, hashes: Column, size: int) -> list[Column]:
+        """Matching windows of shingles of ``size`` words and more."""
+        parts = []
+        if numbers := sizes.get(size):
+            every = sorted({k for n in numbers for k in owners[n]})
+            parts.append(_let(held(hashes, every), lambda h: F.concat(*[of_tier(h, n) for n in numbers])))
+        if size < max(sizes):
+            parts.append(_let(_longer(hashes, own, size + 1), lambda h: F.concat(*of_hashes(own, h, size + 1))))
+        return parts
 
     def of_text(tokens: Column) -> Column:
-        return F.concat(*[of_size(tokens, size) for size in sorted({t.size for t in found})])
+        return _let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda own: F.concat(*of_hashes(own, own, 1)))
 
-    hits = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(_let(words(F.lower(text_col)), of_text)).alias("w")).select("id", "w.tier", "w.start", "w.shingles", F.explode("w.hits").alias("key"))
-    # Template tables are in the plan already, as literal keys of bounded number.
-    candidates = hits.join(F.broadcast(side), ["tier", "key"])
+    hits = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(_let(words(F.lower(text_col)), of_text)).alias("w"))
+    # The templates are in the plan already, as literal keys; their number does not follow the data's.
+    candidates = hits.select("id", "w.start", "w.shingles", F.explode("w.candidates").alias("number")).join(F.broadcast(templates_), "number")
     share = F.size(F.array_intersect("template", "shingles")) / F.size("template")
     verified = candidates.select("id", "license_id", "start", share.alias("containment")).filter(F.col("containment") >= similarity)
     best = verified.groupBy("id", "license_id").agg(F.max("containment").alias("containment"), F.max(F.struct("containment", (-F.col("start")).alias("back"))).alias("first"))

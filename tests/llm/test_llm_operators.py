@@ -72,10 +72,57 @@ def test_registered_license_scan_finds_texts_headers_and_tags(spark, tmp_path):
     assert not {name for n, name in got if n == 105}
 
 
-def test_license_bins_meet_the_miss_bound():
-    for window, shortest in ((32, 2), (256, 9), (2048, 65)):
-        lost = (window / 2 ** (license_scan.bins(window, shortest) + 1)) ** np.ceil(license_scan.SIMILARITY * shortest)
-        assert lost <= license_scan.MISS
+@pytest.mark.parametrize("window,shingles", [(32, 2), (32, 8), (256, 9), (256, 64), (2048, 65), (16384, 513)])
+def test_license_bands_miss_few_matches(window, shingles):
+    """Measured: windows that hold just the least share of a template, against its minima."""
+    rng = np.random.default_rng(window + shingles)
+    shared = int(np.ceil(license_scan.SIMILARITY * shingles))
+    shift = np.uint64(64 - license_scan.bins(window, shingles))
+
+    def minima(h):
+        h = np.sort(h)
+        top = h >> shift
+        return h[np.append(True, top[1:] != top[:-1])]
+
+    missed, runs = 0, 20_000 if window < 300 else 3_000 if window < 3_000 else 1_000
+    for _ in range(runs):
+        h = rng.integers(0, 2**64, window + shingles - shared, dtype=np.uint64)
+        missed += not len(np.intersect1d(minima(h[:window]), minima(h[window - shared :]), assume_unique=True))
+    assert missed <= 1e-3 * runs
+
+
+def test_license_with_an_insertion_is_found_at_every_offset(spark):
+    template = [f"t{i}" for i in range(68)]
+    inserted = [f"x{i}" for i in range(40)]
+    rows = []
+    for offset in range(0, 150, 3):
+        for cut in (10, 34, 60):
+            filler = [f"f{offset}-{cut}-{i}" for i in range(400)]
+            rows.append((1000 * offset + cut, " ".join([*filler[:offset], *template[:cut], *inserted, *template[cut:], *filler[offset:]])))
+    rows += [(-1 - cut, " ".join([*template[:cut], *inserted, *template[cut + 16 :]])) for cut in (10, 34)]
+    got = {r["doc_id"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), [("own", " ".join(template))]).collect()}
+    assert got == {i for i, _ in rows if i >= 0}
+
+
+def test_license_scan_equals_its_windows(spark):
+    """Against the windows by hand, with all templates of the query."""
+    templates = [*license_scan.NOTICES, *license_texts.templates()]
+    rng = np.random.default_rng(8)
+    rows = [(n, prose(n, int(rng.integers(5, 300))) + "\n" + " ".join(text.split()[: int(len(text.split()) * rng.uniform(0.6, 1.1)) + 1]) + " " + prose(n + 1, int(rng.integers(0, 300)))) for n, (_, text) in enumerate(templates)]
+    got = {(r["doc_id"], r["license_id"]): (r["containment"], r["first_word"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    wanted = {}
+    for tier in license_scan.tiers(templates):
+        for i, text in rows:
+            w = license_scan.template_words(text)
+            h = [" ".join(w[j : j + tier.size]) for j in range(len(w) - tier.size + 1)]
+            for start in range(0, max(0, len(h) - 1 - (tier.window - tier.stride)) + 1, tier.stride) if h else ():
+                own = set(h[start : start + tier.window])
+                for name, shingles in tier.templates:
+                    share = len(own & set(shingles)) / len(shingles)
+                    if share >= license_scan.SIMILARITY:
+                        best = wanted.get((i, name), (0, 0))
+                        wanted[i, name] = max(best, (share, -start))
+    assert got == {k: (pytest.approx(share), -back) for k, (share, back) in wanted.items()}
 
 
 # 2 simhash
