@@ -8,10 +8,11 @@ Two fingerprints within two bits are within one bit in at least one of their 32-
 half has a vantage-point tree: an inner node holds a vantage point v and a radius r, and sends a
 fingerprint x inside if d(x, v) <= r, else outside. By the triangle inequality a partner at distance
 one on the other side exists only if d(x, v) is r or r + 1, so all other branches are pruned; an inside
-fingerprint at exactly r is also sent outside, so that both sides of such a pair share a shard. Leaves are the shards; each finds its pairs exactly (on
-all 64 bits) and returns a spanning forest of the links instead of all pairs. Trees are grown on a
-bounded sample of the fingerprints; every fingerprint is routed. A shard beyond ``SHARD_ROWS`` is dealt
-out as pairs of blocks.
+fingerprint at exactly r is also sent outside, so that both sides of such a pair share a shard. Leaves are the shards. As a fingerprint
+has 8 bytes, a shard may hold hundreds of thousands: inside its task it grows trees of its own, first over the same half, then, where that
+half tells its members no further apart, over the other one at distance two, down to groups that are compared exactly (on
+all 64 bits). It returns a spanning forest of the links instead of all pairs. The shards' trees are grown on a sample of
+``SAMPLED_PER_LEAF`` fingerprints a leaf, and leaves follow the number of rows; every fingerprint is routed.
 
 Classes come from alternating star contractions over the links, checkpointed every round; no link or
 fingerprint table is collected.
@@ -22,6 +23,7 @@ id are one document. A row with a null id belongs to its class without naming it
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,11 +39,12 @@ from sextant.session import checkpointed, spread
 SHINGLE = 3
 MOST_BITS = 2
 SEED = 42
-#: Aimed-at fingerprints a shard, the largest number of leaves of a tree, and sampled fingerprints a leaf.
-LEAF_ROWS = 1_000
-MOST_LEAVES = 1 << 15
-SAMPLED_PER_LEAF = 16
-SHARD_ROWS = 16_384
+#: Aimed-at fingerprints of a shard and of a group inside it, and sampled fingerprints a leaf.
+SHARD_ROWS = 32_768
+GROUP_ROWS = 1_000
+SAMPLED_PER_LEAF = 64
+#: Sampled fingerprints a leaf of a tree inside a task, which costs no transport.
+SAMPLED_INSIDE = 256
 _CHUNK = 1 << 16
 _HALF = np.uint64(0xFFFFFFFF)
 
@@ -94,13 +97,13 @@ class Tree:
         return (fps >> np.uint64(self.shift)) & _HALF
 
     @classmethod
-    def grow(cls, sample: np.ndarray, shift: int, leaf_rows: int, most_leaves: int, rng: np.random.Generator) -> Tree:
+    def grow(cls, sample: np.ndarray, shift: int, leaf_rows: int, rng: np.random.Generator) -> Tree:
         tree = cls(shift)
         todo = [(tree.half(sample), None, False)]
         while todo:
             own, parent, is_inside = todo.pop()
             number = None
-            if len(own) > leaf_rows and tree.leaves + len(todo) + 1 < most_leaves:
+            if len(own) > leaf_rows:
                 # Of a few candidates, the point and radius that split evenly with the fewest values at the border.
                 best = None
                 for point in rng.choice(own, size=min(6, len(own)), replace=False):
@@ -125,8 +128,8 @@ class Tree:
                 (tree.inside if is_inside else tree.outside)[parent] = number
         return tree
 
-    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every shard that a fingerprint belongs to."""
+    def route(self, fps: np.ndarray, most_bits: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that a fingerprint belongs to, for partners within ``most_bits`` of this half."""
         if not self.points:
             return np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64)
         half = self.half(fps)
@@ -137,7 +140,7 @@ class Tree:
         while len(rows):
             d = np.bitwise_count(half[rows] ^ points[at]).astype(np.int64)
             r = radii[at]
-            into, out = d <= r, d >= r  # at the border: both
+            into, out = d <= r, d > r - most_bits  # at the border: both
             rows, at = np.concatenate([rows[into], rows[out]]), np.concatenate([inside[at[into]], outside[at[out]]])
             leaf = at < 0
             done_rows.append(rows[leaf])
@@ -146,56 +149,73 @@ class Tree:
         return np.concatenate(done_rows), np.concatenate(done_leaves)
 
 
-def spanning_links(left: np.ndarray, right: np.ndarray | None = None, most_bits: int = MOST_BITS) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int, int]]:
     """Links between distinct fingerprints that connect all that pairs of at most ``most_bits`` connect.
 
-    With ``right``, only pairs between the two blocks count. The search first leaves out what has no
-    partner at all, then spreads from fingerprint to fingerprint, so its output is below the number
-    of fingerprints even where all of them are alike.
+    The search first leaves out what has no partner at all, then spreads from fingerprint to fingerprint, so its output is below
+    the number of fingerprints even where all of them are alike.
     """
-    both = left if right is None else right
-    has = np.zeros(len(left), dtype=bool)
-    had = np.zeros(len(both), dtype=bool)
-    step = max(1, 2_000_000 // max(1, len(both)))
-    for at in range(0, len(left), step):
-        near = np.bitwise_count(left[at : at + step, None] ^ both[None, :]) <= most_bits
-        if right is None:
-            near[np.arange(near.shape[0]), at + np.arange(near.shape[0])] = False
+    has = np.zeros(len(fps), dtype=bool)
+    step = max(1, 2_000_000 // max(1, len(fps)))
+    for at in range(0, len(fps), step):
+        near = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :]) <= most_bits
+        near[np.arange(near.shape[0]), at + np.arange(near.shape[0])] = False
         has[at : at + step] = near.any(1)
-        had |= near.any(0)
     links: list[tuple[int, int]] = []
-    if right is None:
-        unseen = left[has]
-        while len(unseen):
-            queue, unseen = [unseen[0]], unseen[1:]
-            while queue and len(unseen):
-                x = queue.pop()
-                near = np.bitwise_count(unseen ^ x) <= most_bits
-                links += [(int(x), int(y)) for y in unseen[near]]
-                queue += list(unseen[near])
-                unseen = unseen[~near]
-        return links
-    sides = [left[has], both[had]]
-    while len(sides[0]):
-        queue = [(0, sides[0][0])]
-        sides[0] = sides[0][1:]
-        while queue:
-            side, x = queue.pop()
-            other = 1 - side
-            near = np.bitwise_count(sides[other] ^ x) <= most_bits
-            links += [(int(x), int(y)) for y in sides[other][near]]
-            queue += [(other, y) for y in sides[other][near]]
-            sides[other] = sides[other][~near]
+    unseen = fps[has]
+    while len(unseen):
+        queue, unseen = [unseen[0]], unseen[1:]
+        while queue and len(unseen):
+            x = queue.pop()
+            near = np.bitwise_count(unseen ^ x) <= most_bits
+            links += [(int(x), int(y)) for y in unseen[near]]
+            queue += list(unseen[near])
+            unseen = unseen[~near]
     return links
 
 
+def group_links(fps: np.ndarray, shift: int, rng: np.random.Generator) -> list[tuple[int, int]]:
+    """Links of a shard of the half at ``shift``: spanning what pairs within one bit of that half, two in all, connect."""
+    found: list[tuple[int, int]] = []
+    todo = [(fps, True)]
+    while todo:
+        own, same_half = todo.pop()
+        if len(own) <= GROUP_ROWS:
+            found += spanning_links(own)
+            continue
+        leaves = -(-len(own) // GROUP_ROWS)
+        sample = own if len(own) <= SAMPLED_INSIDE * leaves else rng.choice(own, size=SAMPLED_INSIDE * leaves, replace=False)
+        tree = Tree.grow(sample, shift if same_half else 32 - shift, max(1, len(sample) // leaves), rng)
+        if not tree.points:
+            if same_half:
+                todo.append((own, False))
+            else:
+                found += spanning_links(own)
+            continue
+        rows, leaf = tree.route(own, 1 if same_half else 2)
+        order = np.argsort(leaf, kind="stable")
+        rows, cuts = rows[order], np.flatnonzero(np.diff(leaf[order])) + 1
+        for part in np.split(own[rows], cuts):
+            if len(part) <= GROUP_ROWS:
+                found += spanning_links(part)
+            elif len(part) <= 0.95 * len(own):
+                todo.append((part, same_half))
+            elif same_half:
+                todo.append((part, False))
+            else:
+                found += spanning_links(part)
+    return found
+
+
 def forest(distinct: DataFrame, count: int) -> list[Tree]:
-    """One tree for each half of the bits, grown on a bounded sample of the fingerprints."""
-    leaves = int(min(MOST_LEAVES, max(1, count // LEAF_ROWS)))
+    """One tree for each half of the bits, grown on a sample of the fingerprints: a few for each shard."""
+    leaves = max(1, count // SHARD_ROWS)
+    if leaves == 1:
+        return [Tree(shift, leaves=1) for shift in (0, 32)]
     sampled = bounded_sample(distinct.select("fp"), "fp", SAMPLED_PER_LEAF * leaves)
-    sample = np.sort(np.array([r[0] for r in sampled.toLocalIterator()], dtype=np.int64)).view(np.uint64)
+    sample = np.sort(sampled.toArrow()["fp"].to_numpy()).view(np.uint64)
     rng = np.random.default_rng(SEED)
-    return [Tree.grow(sample, shift, max(1, int(len(sample) / leaves)) if leaves > 1 else len(sample), 2 * leaves, rng) for shift in (0, 32)]
+    return [Tree.grow(sample, shift, max(1, len(sample) // leaves), rng) for shift in (0, 32)]
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -211,74 +231,63 @@ def links(distinct: DataFrame) -> DataFrame:
                 rows, leaf = tree.route(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(fps[rows].view(np.int64)), pa.array(leaf * len(trees) + number)], names=["fp", "shard"])
 
-    routed = checkpointed(distinct.select("fp").mapInArrow(route, "fp long, shard long"))
-    # At most 2 * MOST_LEAVES rows for each tree.
-    sizes = {r["shard"]: r["n"] for r in routed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_ROWS).collect()}
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, shard = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "shard"))
-            parts = np.array([-(-sizes.get(s, 1) // SHARD_ROWS) for s in shard.tolist()], dtype=np.int64)
-            own = (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts if len(fps) else parts
-            rows = np.repeat(np.arange(len(fps)), parts)
-            partner = np.concatenate([np.arange(p) for p in parts]) if len(parts) else parts
-            yield pa.RecordBatch.from_arrays([pa.array(fps[rows]), pa.array(shard[rows]), pa.array(np.minimum(own[rows], partner)), pa.array(np.maximum(own[rows], partner)), pa.array(own[rows])], names=["fp", "shard", "low", "high", "block"])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows: a group is complete when the next one begins."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        """Sorted rows: a shard is complete when the next one begins."""
+        held: list[np.ndarray] = []
         key = None
 
         def found() -> pa.RecordBatch:
-            fps, block = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            first = block == block.min()
-            out = spanning_links(fps) if first.all() else spanning_links(fps[first], fps[~first])
+            out = group_links(np.concatenate(held), trees[key % len(trees)].shift, np.random.default_rng(SEED))
             pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], names=["a", "b"])
 
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "low", "high")])
-            block = batch.column("block").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(fps)], strict=True):
+            fps, shard = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("shard").to_numpy(zero_copy_only=False)
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(fps)]):
                 if b <= a:
                     continue
-                if key is not None and key != tuple(keys[a]):
+                if key is not None and key != shard[a]:
                     yield found()
                     held.clear()
-                key = tuple(keys[a])
-                held.append((fps[a:b], block[a:b]))
+                key = int(shard[a])
+                held.append(fps[a:b])
         if held:
             yield found()
 
-    dealt = routed.mapInArrow(blocks, "fp long, shard long, low long, high long, block long")
-    # More partitions than the session's if shards are many: each holds whole shards of bounded size.
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // (64 * LEAF_ROWS))
-    ordered = dealt.repartition(partitions, "shard", "low", "high").sortWithinPartitions("shard", "low", "high")
+    # More partitions than the session's if shards are many: each holds whole shards.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // (4 * SHARD_ROWS))
+    ordered = distinct.select("fp").mapInArrow(route, "fp long, shard long").repartition(partitions, "shard").sortWithinPartitions("shard")
     return ordered.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) of every row; the class is named by its smallest id."""
-    own = checkpointed(fingerprints(docs, id_col, text_col))
+def _classes(own: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of the distinct fingerprints of (id, fp) rows."""
     distinct = checkpointed(own.groupBy("fp").agg(F.min("id").alias("least_id")))
     roots = components(links(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(names, "root").select("fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) of every row; the class is named by its smallest id."""
+    own = checkpointed(fingerprints(docs, id_col, text_col))
+    return own.join(_classes(own), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id, with the columns of ``docs``.
+    """One document of each class, one with its smallest id, with the columns of ``docs``.
 
-    Rows with a null id cannot be told apart by it and stay.
+    Every class keeps one row: of several rows of its smallest id, which may differ in text, that with the least hash of the text; a class
+    of null ids alone keeps such a row too.
     """
-    classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("own_id")).agg(F.count("*").alias("rows"))
-    # Rows travel as structs, so that no column of theirs meets a column of the plan.
-    rows = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
-    found = rows.join(kept, F.col("id") == F.col("own_id"))
-    one = found.filter("rows = 1").unionByName(found.filter("rows > 1").dropDuplicates(["own_id"])).select("row")
-    return one.unionByName(rows.filter("id IS NULL").select("row")).select("row.*")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.struct(*docs.columns).alias("row"))
+    # Fingerprints travel with the text's hash, so a repeated id with different texts stays apart.
+    marked = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")).alias("key"), F.col(text_col).alias("text"))
+    keyed = checkpointed(fingerprints(marked, "key", "text").select("id.id", "id.hash", "fp"))
+    counted = keyed.groupBy("fp", "id", "hash").agg(F.count("*").alias("rows"))
+    best = counted.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "rows")).alias("best"))
+    kept = best.join(_classes(keyed.select("id", "fp")), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("own_id"), F.col("best.hash").alias("own_hash"), "best.rows")
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")))
+    # Only rows that repeat id and text meet in the second part.
+    return found.filter("rows = 1").select("row").unionByName(found.filter("rows > 1").dropDuplicates(["own_id", "own_hash"]).select("row")).select("row.*")
