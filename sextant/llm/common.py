@@ -19,6 +19,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words(text: Column) -> Column:
     """The words of a text; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import ROWS_PER_BUCKET, bucket_count, word_count
+from sextant.llm.common import ROWS_PER_BUCKET, bucket_count, quoted, word_count
 from sextant.session import checkpointed, spread
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -123,7 +123,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     plan = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"), F.col("text_hash").alias("own_hash"), "copies").filter(F.col("copies") > 0)
     plan = plan.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     # Rows travel as structs, so that no column of theirs meets a column of the plan.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     found = rows.join(plan, F.col("id").eqNullSafe(F.col("own_id")) & F.col("source").eqNullSafe(F.col("own_source")) & (F.col("hash") == F.col("own_hash")))
     single, repeated = found.filter("rows = 1"), found.filter("rows > 1").dropDuplicates(keys)
     return single.unionByName(repeated).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_sample
+from sextant.llm.common import bounded_sample, quoted
 from sextant.llm.textstats import FIELDS, feature_matrix, stats_columns, with_stats
 from sextant.session import checkpointed, spread
 
@@ -65,7 +65,7 @@ class Projection:
 
 @dataclass
 class Isotonic:
-    """Non-decreasing fit, linear between the middles of its steps."""
+    """Non-decreasing fit. Each step rises by half of the gap to its nearer neighbour (0 and 1 beside the last), so that rows of a step keep their order."""
 
     at: np.ndarray
     value: np.ndarray
@@ -83,13 +83,22 @@ class Isotonic:
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 y1, n1, _, high = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + y1, blocks[-1][1] + n1, blocks[-1][2], high]
-        at, value = [], []
+        # (total + 1/2) / (n + 1): no step is certain on few rows. A step that this puts under the one before joins it.
+        merged: list[tuple[float, float, float]] = []
         for total, n, low, high in blocks:
-            # (total + 1/2) / (n + 1): no step is certain on few rows.
+            level = (total + 0.5) / (n + 1)
+            if merged and level <= merged[-1][0]:
+                merged[-1] = merged[-1][0], merged[-1][1], high
+            else:
+                merged.append((level, low, high))
+        steps = np.array([m[0] for m in merged])
+        around = np.concatenate([[0.0], steps, [1.0]])
+        rise = np.minimum(steps - around[:-2], around[2:] - steps) / 4
+        at, value = [], []
+        for (middle, low, high), up in zip(merged, rise, strict=True):
             at += [low, high] if high > low else [low]
-            value += [(total + 0.5) / (n + 1)] * (2 if high > low else 1)
-        value = np.maximum.accumulate(value) if value else np.array([])
-        return cls(np.array(at), value)
+            value += [middle - up, middle + up] if high > low else [middle]
+        return cls(np.array(at), np.array(value))
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, self.at, self.value)
@@ -162,7 +171,7 @@ def _scored(docs: DataFrame, model: QualityModel, text_col: str, keep: list[str]
     fields = [docs.schema[c] for c in keep]
     names = [f"k{i}" for i in range(len(keep))]
     own = names[keep.index(text_col)] if text_col in keep else "text"
-    chosen = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if own != "text" else [F.col(text_col).alias("text")]))
+    chosen = docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, names, strict=True)], *([] if own != "text" else [F.col(quoted(text_col)).alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

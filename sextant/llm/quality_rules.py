@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_sample
+from sextant.llm.common import bounded_sample, quoted
 from sextant.llm.textstats import FIELDS, with_stats
 
 FIT_ROWS = 20_000
@@ -193,22 +193,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     labelled = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     columns = ratios()
     stats = with_stats(labelled).filter(~base_failed()).select(id_col, "quality", *[c.alias(n) for n, c in columns.items()])
-    got = stats.toPandas().sort_values([id_col, *columns], kind="stable")
-    # Order by a mix of the id, so that the pruning third is spread over sources and ages.
-    got = got.iloc[np.argsort((got[id_col].to_numpy(dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11), kind="stable")]
+    # Order by a hash of the id, so that the pruning third is spread over sources and ages.
+    got = stats.withColumn("order_", F.xxhash64(id_col)).drop(id_col).toPandas().sort_values(["order_", *columns], kind="stable")
     return learn({n: got[n].to_numpy(dtype=float) for n in columns}, got["quality"].to_numpy() == 0)
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` (without its text) with statistics, base_failed and kept."""
-    clash = [c for c in docs.columns if c in FIELDS or c in ("base_failed", "kept")]
-    stats = with_stats(docs.drop(*clash), text_col)
+    """Every row of ``docs`` (without its text) with statistics, base_failed and kept; columns of these names, in any case, give way."""
+    own = {*FIELDS, "base_failed", "kept"}
+    stats = with_stats(docs.select(*[quoted(c) for c in docs.columns if c.lower() not in own]), text_col)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rules.rejects(ratios()))
 
 
 def passed(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, that the base rule and the list keep."""
     names = docs.columns
-    plain = docs.toDF(*[f"k{i}" for i in range(len(names))])
+    plain = docs.select(*[F.col(quoted(n)).alias(f"k{i}") for i, n in enumerate(names)])
     judged = judge(plain.withColumn("text", F.col(f"k{names.index(text_col)}")), rules)
     return judged.filter("kept").select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(names)])

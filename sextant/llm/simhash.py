@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_sample
+from sextant.llm.common import bounded_sample, quoted
 from sextant.operators.graph import components
 from sextant.session import checkpointed, spread
 
@@ -281,7 +281,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every class keeps one row: of several rows of its smallest id, which may differ in text, that with the least hash of the text; a class
     of null ids alone keeps such a row too.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     # Fingerprints travel with the text's hash, so a repeated id with different texts stays apart.
     marked = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")).alias("key"), F.col(text_col).alias("text"))
     keyed = checkpointed(fingerprints(marked, "key", "text").select("id.id", "id.hash", "fp"))

@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sextant.llm.common import quoted
 from sextant.session import spread
 
 SYMBOLS = "#*$%&|<>"
@@ -77,16 +79,17 @@ def stats_columns(texts: pa.ChunkedArray | pa.Array) -> list[pa.Array]:
 
 
 def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input without its text column, plus the statistics. Streams Arrow batches; no shuffle."""
+    """The input without its text column, plus the statistics. Streams Arrow batches; no shuffle. Columns may have any name but those of ``FIELDS``."""
     kept = [f for f in df.schema.fields if f.name != text_col]
-    names = [f.name for f in kept]
+    plain = [f"k{i}" for i in range(len(kept))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + stats_columns(batch.column(text_col)), names=names + list(FIELDS))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in plain] + stats_columns(batch.column("text")), names=plain + list(FIELDS))
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [DDL])
-    return spread(df).mapInArrow(run, ddl)
+    ddl = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, kept, strict=True)] + [DDL])
+    chosen = df.select(*[F.col(quoted(f.name)).alias(n) for f, n in zip(kept, plain, strict=True)], F.col(quoted(text_col)).alias("text"))
+    return spread(chosen).mapInArrow(run, ddl).toDF(*[f.name for f in kept], *FIELDS)
 
 
 def feature_matrix(stats: dict[str, np.ndarray]) -> np.ndarray:
