@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,6 +29,7 @@ def local_session(app: str = "sextant", cpus: str = "*", shuffle_partitions: int
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -35,11 +37,17 @@ def local_session(app: str = "sextant", cpus: str = "*", shuffle_partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests), a folder
-    under the warehouse, which is shared as well, stands in for it.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder under the warehouse stands in
+    for it, if the master is local or the warehouse lies in a store that all machines reach; else this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_sextant_checkpoints"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    is_remote = "://" in warehouse and not warehouse.startswith("file:")
+    if not (is_remote or re.match(r"local(\[|$)", spark.sparkContext.master)):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_sextant_checkpoints"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -68,6 +76,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``scratch_path`` that nothing reads any more."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is no scratch table")
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes the package importable on executors, unless their Python path already holds it.
 

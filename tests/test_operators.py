@@ -270,3 +270,34 @@ def test_whole_texts_are_looked_up_and_searched(spark, tmp_path):
     spark.createDataFrame(captions, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = registry.queries()["text_search_captions"](spark, str(tmp_path)).collect()
     assert len(rows) == 7 and all(r["decision"] == "search" and r["best"] > 0.999 for r in rows)
+
+
+def test_shared_folder_is_never_a_machines_own_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sextant import session
+
+    def cluster(master, **settings):
+        conf = SimpleNamespace(get=lambda name, default=None: settings.get(name.replace(".", "_"), default))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    local = {"spark_sql_warehouse_dir": "file:/home/me/warehouse"}
+    assert session.shared_dir(cluster("local[4]", **local)) == "file:/home/me/warehouse/_sextant_checkpoints"
+    assert session.shared_dir(cluster("yarn", spark_sql_warehouse_dir="hdfs://h/w")) == "hdfs://h/w/_sextant_checkpoints"
+    assert session.shared_dir(cluster("yarn", spark_checkpoint_dir="hdfs://h/c", **local)) == "hdfs://h/c"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            session.shared_dir(cluster(master, **local))
+
+
+def test_scratch_tables_are_removed(spark):
+    from sextant import session
+
+    path = session.scratch_path(spark, "own")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    session.remove(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+    with pytest.raises(ValueError):
+        session.remove(spark, "/elsewhere")
