@@ -1,7 +1,7 @@
 """A corpus pipeline: classify, filter, deduplicate, mix and pack the documents of a data folder.
 
 Every stage takes all that its predecessor kept, and all but the last return the columns of
-``documents``. Between stages the rows are written as Parquet and read again.
+``documents``. Between stages the rows are written as Parquet and read again; a stage's table goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm import mixing, packing, quality_model, quality_rules, simhash
-from sextant.session import scratch_path, table
+from sextant.session import remove, scratch_path, table
 
 #: SQL cannot express the learned and iterative stages; tests run them against brute force.
 ORACLE_SQL = None
@@ -51,9 +51,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    found = table(spark, sf_dir, "documents")
+    found, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, found, sf_dir).write.parquet(path)
-        found = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        found, before = spark.read.parquet(path), path
     return found
