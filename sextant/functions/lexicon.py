@@ -1,7 +1,7 @@
-"""A small default lexicon for informal Tagalog-English text, written for this library.
+"""A small default lexicon for informal Tagalog-English text.
 
 It covers common chat spellings and serves as an example of the tables; larger ones come in
-through ``Lexicon.from_rows``.
+through ``Lexicon.from_rows``. Prefixes and the context rule are fixed values; the other tables are a sample of common words.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ RULES = (
     ("b4", "before"),
     ("tmrw", "tomorrow"),
 )
+# The rule that applies by context, and the verb prefixes in the order in which they are tried.
 CONTEXT = (("san", "saan"),)
 PREFIXES = ("naka", "nag", "mag", "na", "ma")
 VERBS = frozenset("bake bike call camp climb cook dance drive eat hike jog paint party picnic play ride run sail shop sing sit ski sleep smile stand surf swim travel upload walk wave write".split())

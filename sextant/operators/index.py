@@ -16,6 +16,7 @@ from sextant.functions import vectors as V
 from sextant.operators import ivfpq as I
 from sextant.operators import knn as K
 from sextant.operators import ranking
+from sextant.session import checkpointed
 from sextant.sources import metadata
 
 # The range of k.
@@ -54,15 +55,15 @@ class ExactIndex:
 
     def add(self, points: DataFrame) -> None:
         own = points.select("vec_id", V.as_double(F.col("embedding")).alias("embedding"))
-        self.points = own if self.points is None else I.upsert(self.points.withColumn("version", F.lit(0)), own.withColumn("version", F.lit(1))).drop("version")
+        # Kept, so that later batches do not stack their plans on this one.
+        self.points = checkpointed(own if self.points is None else I.upsert(self.points.withColumn("version", F.lit(0)), own.withColumn("version", F.lit(1))).drop("version"))
 
     def count(self) -> int:
         return 0 if self.points is None else self.points.count()
 
     def search(self, queries: DataFrame, k: int, effort: int | None = None) -> DataFrame:
         points = self.points if self.points is not None else self.spark.createDataFrame([], "vec_id long, embedding array<double>")
-        pairs = K.query_pairs(points, queries, V.distance(self.metric, F.col("embedding"), F.col("query")).alias("distance"))
-        return K.top_per_query(pairs, checked_k(k), "distance", descending=False)
+        return K.batch_distances(points, queries, self.metric, checked_k(k))
 
     def save(self, path: str) -> None:
         if self.points is not None:
@@ -96,7 +97,7 @@ class IvfPqIndex:
             points, self.waiting = pending, []
         own = I.postings(points, self.centroids, self.codebooks)
         known = own if self.postings is None else self.postings.join(own.select("vec_id"), "vec_id", "left_anti").select(own.columns).unionByName(own)
-        self.postings = known
+        self.postings = checkpointed(known)
 
     def _pending(self) -> DataFrame:
         found = self.waiting[0]

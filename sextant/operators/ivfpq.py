@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
 from sextant.operators import knn as K
+from sextant.operators.sampling import bounded_sample
 from sextant.session import spread
 
 # Bounds of the configuration.
@@ -26,6 +27,10 @@ LARGEST_CODEBOOK = 256
 BRUTE_FORCE_UP_TO = 100
 TRAIN_FROM = 50
 
+#: Points that an index is trained on, at most about; postings that a task looks at together.
+FIT_ROWS = 20_000
+CHUNK_ROWS = 65_536
+
 
 @dataclass(frozen=True)
 class Config:
@@ -129,13 +134,37 @@ def train_kmeans(points: DataFrame, clusters: int, iterations: int = 25, toleran
     return [list(map(float, c)) for c in model.clusterCenters()]
 
 
-def train(points: DataFrame, config: Config, seed: int = 42, vector_col: str = "embedding") -> tuple[list, list]:
-    """Coarse centroids and, on residuals, one codebook for each sub-vector."""
-    centroids = train_kmeans(points, config.clusters, config.iterations, seed=seed, vector_col=vector_col)
-    residuals = points.select(residual(F.col(vector_col), literal_table(centroids)).alias("r")).persist()
-    books = [train_kmeans(residuals.select(V.subvector(F.col("r"), m, config.width).alias("s")), config.codes, config.iterations, seed=seed + m, vector_col="s") for m in range(config.subquantisers)]
-    residuals.unpersist()
-    return centroids, books
+def lloyd(x: np.ndarray, clusters: int, iterations: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means centroids of a sample that fits in memory; empty clusters start again at a point."""
+    if len(x) < clusters:
+        raise ValueError(f"fewer points than {clusters} centroids")
+    centroids = x[rng.choice(len(x), clusters, replace=False)].copy()
+    for _ in range(iterations):
+        own = _nearest_rows(x, centroids)
+        counts = np.bincount(own, minlength=clusters)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, x)
+        new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], x[rng.choice(len(x), clusters)])
+        if np.abs(new - centroids).max() < 1e-6:
+            break
+        centroids = new
+    return centroids
+
+
+def train(points: DataFrame, config: Config, seed: int = 42, vector_col: str = "embedding", fit_rows: int = FIT_ROWS) -> tuple[list, list]:
+    """Coarse centroids and, on residuals, one codebook for each sub-vector, from a sample of about ``fit_rows`` points at most.
+
+    One pass brings the sample; nothing is trained by a job for each codebook.
+    """
+    rows = points.select(V.as_double(F.col(vector_col)).alias("v")).filter(F.size("v") == config.dimension)
+    sample = bounded_sample(rows, F.xxhash64("v"), fit_rows, seed).toArrow()["v"].combine_chunks()
+    x = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, config.dimension)
+    x = x[np.lexsort(x.T[::-1])]  # in whatever order the rows came
+    rng = np.random.default_rng(seed)
+    centroids = lloyd(x, config.clusters, config.iterations, rng)
+    residuals = x - centroids[_nearest_rows(x, centroids)]
+    books = [lloyd(residuals[:, m * config.width : (m + 1) * config.width], config.codes, config.iterations, rng) for m in range(config.subquantisers)]
+    return centroids.tolist(), [b.tolist() for b in books]
 
 
 def residual(vector: Column, centroids: Column) -> Column:
@@ -167,7 +196,8 @@ def table_distance(table: Column, codes: Column) -> Column:
 
 def _nearest_rows(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Number of the nearest centroid of each row; the lowest wins ties."""
-    return np.concatenate([((x[at : at + 256, None, :] - centroids[None]) ** 2).sum(2).argmin(1) for at in range(0, len(x), 256)]) if len(x) else np.empty(0, dtype=np.int64)
+    step = max(1, (1 << 22) // max(1, centroids.size))
+    return np.concatenate([((x[at : at + step, None, :] - centroids[None]) ** 2).sum(2).argmin(1) for at in range(0, len(x), step)]) if len(x) else np.empty(0, dtype=np.int64)
 
 
 def postings(points: DataFrame, centroids: Sequence[Sequence[float]], codebooks, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -197,15 +227,51 @@ def postings(points: DataFrame, centroids: Sequence[Sequence[float]], codebooks,
 def search(queries: DataFrame, index: DataFrame, centroids, codebooks, probes: int, k: int, id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest among the probed cells.
 
-    ``queries`` (query_id, query): each becomes one row for each probed cell, with the distance table of
-    its residual there; rows meet postings by cell.
+    ``queries`` (query_id, query), whose size is checked, are broadcast with the cells that each probes. Tasks go through their
+    postings a cell at a time, sum table entries for all queries of the cell at once and keep k candidates a query: postings stay where
+    they are, no cell meets in one task, and no pair rows arise. Sums run over the sub-vectors in order, so equal codes tie.
     """
-    own = literal_table(centroids)
-    nearest_cells = queries.select("query_id", V.as_double(F.col("query")).alias("query"), nearest_several(F.col("query"), own, probes).alias("cells"))
-    probed = nearest_cells.select("query_id", "query", F.explode("cells").alias("p"))
-    tables = probed.select("query_id", F.col("p.i").alias("cluster_id"), distance_table(V.subtract(F.col("query"), F.get(own, F.col("p.i"))), codebooks).alias("table"))
-    pairs = tables.join(index, "cluster_id").select("query_id", id_col, table_distance(F.col("table"), F.col("codes")).alias("distance"))
-    return K.top_per_query(pairs, k, "distance", descending=False, id_col=id_col)
+    query_ids, matrix = K.query_matrix(queries)
+    coarse, books = np.array(centroids, dtype=float), np.array(codebooks, dtype=float)
+    width = books.shape[2]
+    places = np.argsort(((matrix[:, None, :] - coarse[None]) ** 2).sum(2), axis=1, kind="stable")[:, :probes] if len(query_ids) else np.empty((0, 0), dtype=np.int64)
+    asking = {cell: np.flatnonzero((places == cell).any(1)) for cell in np.unique(places).tolist()}
+    shared = index.sparkSession.sparkContext.broadcast((query_ids, matrix, asking))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, cells_of = shared.value
+        best = K.Best(k)
+        for rows in _in_chunks(batches, CHUNK_ROWS):
+            cells, ids = rows["cluster_id"].to_numpy(), rows["id"].to_numpy()
+            codes = rows["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            order = np.argsort(cells, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+                asked = cells_of.get(int(cells[part[0]])) if len(part) else None
+                for at in range(0, len(asked) if asked is not None else 0, K.QUERY_BLOCK):
+                    block = asked[at : at + K.QUERY_BLOCK]
+                    left = (own[block] - coarse[cells[part[0]]]).reshape(len(block), len(books), 1, width)
+                    tables = ((left - books[None]) ** 2).sum(3)  # query x sub-vector x code
+                    values = np.zeros((len(block), len(part)))
+                    for m in range(len(books)):
+                        values += tables[:, m][:, codes[part, m]]
+                    best.add(block, ids[part], values)
+            best.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(names[best.query]), pa.array(best.ids), pa.array(best.values)], names=["query_id", id_col, "distance"])
+
+    rows = index.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col(id_col).cast("long").alias("id"), F.col("codes").cast("array<int>").alias("codes")).filter(F.col("cluster_id").isin([int(c) for c in asking]))
+    return K.top_per_query(rows.mapInArrow(run, f"query_id long, {id_col} long, distance double"), k, "distance", descending=False, id_col=id_col)
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def statistics(index: DataFrame, config: Config) -> DataFrame:
@@ -235,9 +301,10 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, list, list]:
 
 
 def upsert(store: DataFrame, changes: DataFrame, id_col: str = "vec_id", order_col: str = "version") -> DataFrame:
-    """Latest row of every id over both tables."""
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(order_col)))
-    return store.unionByName(changes).withColumn("rank_", rank).filter("rank_ = 1").drop("rank_")
+    """Latest row of every id over both tables; among equally late ones that of the changes, then the one with the least hash."""
+    store, changes = store.withColumn("side_", F.lit(0)), changes.withColumn("side_", F.lit(1))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(order_col), F.desc("side_"), F.xxhash64(*[F.col(c) for c in store.columns])))
+    return store.unionByName(changes).withColumn("rank_", rank).filter("rank_ = 1").drop("rank_", "side_")
 
 
 def delete(store: DataFrame, ids: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from sextant.functions import bpe, encoder, lexicon
 from sextant.functions import text as T
-from sextant.functions import vectors as V
 from sextant.operators import assist, clustering, detection, index, ivfpq, knn, ranking
 from sextant.plans.faces import _boxes, _faces
-from sextant.plans.search import BATCH, CONFIG, Queries, _fixed, batch_queries
+from sextant.plans.results import FLOOR, SPREAD
+from sextant.plans.results import ORACLES as RESULT_SQL
+from sextant.plans.search import CONFIG, STEP, _fixed, batch_queries
 from sextant.plans.search import ORACLES as SEARCH_SQL
-from sextant.session import scratch_path, table
+from sextant.session import scratch_path, spread, table
 from sextant.sources import files
 from sextant.streaming import ingest
 
 DIMENSION = 64
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def search_texts(corpus: DataFrame, queries: DataFrame, k: int = ranking.DEFAULT_K, encode=encoder.hash_projection, lexicon_=lexicon.DEFAULT) -> DataFrame:
@@ -41,18 +43,17 @@ def search_texts(corpus: DataFrame, queries: DataFrame, k: int = ranking.DEFAULT
 
 
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark texts as captions, their first words and some bilingual words as queries."""
+    """Every benchmark text as a caption and, whole, as a query."""
     captions = table(spark, sf, "benchmark")
     corpus = captions.select(F.col("item_id").alias("vec_id"), encoder.hash_projection(T.normalise(F.col("text"), lexicon.DEFAULT), DIMENSION).alias("embedding"))
-    queries = captions.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 == 0, F.lit("ang aso sa dagat")).when(F.col("item_id") % 7 == 0, F.lit(" ")).otherwise(F.substring_index("text", " ", 4)).alias("text"))
-    return search_texts(corpus, queries, 20)
+    return search_texts(corpus, captions.select(F.col("item_id").alias("query_id"), "text"), 20)
 
 
-def search_by_example(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def search_by_example(spark: SparkSession, sf: str) -> DataFrame:
     """Search by stored vectors, filtered as picture results."""
     corpus = table(spark, sf, "embeddings")
-    found = knn.knn_batch(corpus, asked(corpus), ranking.DEFAULT_K).drop("rank")
-    return ranking.image_filter(found).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "is_self")
+    found = knn.knn_batch(corpus, batch_queries(corpus), ranking.DEFAULT_K).drop("rank")
+    return ranking.image_filter(found, FLOOR, 0.95, 0.8, SPREAD).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "is_self")
 
 
 def people_pipeline(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,12 +66,12 @@ def people_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return people.join(shown.join(kept, "image_id", "left").groupBy("person_id").agg(F.count("*").alias("n_images"), F.sum("n_boxes").alias("n_boxes")), "person_id").select("person_id", "label", "face_count", "n_images", "n_boxes")
 
 
-def tuning_sweep(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def tuning_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Mean recall at 10 of the compressed index by number of probes."""
     corpus = table(spark, sf, "embeddings")
     centroids, books = _fixed(corpus, CONFIG)
-    own, queries = ivfpq.postings(corpus, centroids, books), asked(corpus)
-    exact = knn.top_per_query(knn.query_pairs(corpus, queries, V.squared_l2(F.col("embedding"), F.col("query")).alias("d")), 10, "d", descending=False)
+    own, queries = ivfpq.postings(corpus, centroids, books), batch_queries(corpus)
+    exact = knn.batch_distances(corpus, queries, "l2", 10)
     parts = [ivfpq.recall(ivfpq.search(queries, own, centroids, books, p, 10), exact, 10).agg(F.lit(p).alias("probes"), F.round(F.avg("recall"), 6).alias("recall")) for p in (1, 2, 4, 8)]
     found = parts[0]
     for part in parts[1:]:
@@ -78,13 +79,13 @@ def tuning_sweep(spark: SparkSession, sf: str, asked: Queries = batch_queries) -
     return found
 
 
-def index_round_trip(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Stores an index, reads it back and searches it."""
     corpus = table(spark, sf, "embeddings")
     centroids, books = _fixed(corpus, CONFIG)
     path = scratch_path(spark, "index")
     index.IvfPqIndex(spark, CONFIG, centroids=centroids, codebooks=books, postings=ivfpq.postings(corpus, centroids, books)).save(path)
-    found = index.load(spark, path).search(asked(corpus), 5, effort=CONFIG.probes)
+    found = index.load(spark, path).search(batch_queries(corpus), 5, effort=CONFIG.probes)
     return found.select("query_id", "rank", "vec_id")
 
 
@@ -126,11 +127,13 @@ def face_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids of the texts' first letters in a vocabulary; 3 for what it lacks."""
-    vocabulary = bpe.letters_tokenizer().vocabulary
-    rows = spark.createDataFrame(list(vocabulary.items()), "token string, id int")
-    first = table(spark, sf, "documents").select("doc_id", F.lower(F.substring("text", 1, 1)).alias("token"))
-    return first.join(F.broadcast(rows), "token", "left").select("doc_id", F.coalesce("id", F.lit(bpe.UNKNOWN)).alias("id"))
+    """How often each id of the letters' vocabulary stands in a whole text; 3 for what it lacks."""
+    rows = spark.createDataFrame(list(bpe.letters_tokenizer().vocabulary.items()), "token string, id int")
+    symbols = F.split(F.replace(F.translate("text", UPPER, UPPER.lower()), F.lit(" "), F.lit(bpe.SPACE_SIGN)), "")
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    tokens = documents.filter(F.char_length("text") > 0).select("doc_id", F.explode(symbols).alias("token"))
+    found = tokens.join(F.broadcast(rows), "token", "left").select("doc_id", F.coalesce("id", F.lit(bpe.UNKNOWN)).alias("id"))
+    return found.groupBy("doc_id", "id").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -142,7 +145,7 @@ ORACLES = {
     "stream_append": "SELECT vec_id, label FROM embeddings",
     "embedding_store": "SELECT vec_id::VARCHAR AS id, len(embedding)::INT AS dimension FROM embeddings WHERE vec_id::VARCHAR < '3'",
     "index_round_trip": f"SELECT query_id, rank, vec_id FROM ({SEARCH_SQL['ivfpq_search']}) WHERE rank <= 5",
-    "token_lookup": "SELECT doc_id, CASE WHEN lower(text[1]) BETWEEN 'a' AND 'z' THEN 261 + ascii(lower(text[1])) - 97 WHEN text[1] = '▁' THEN 260 ELSE 3 END::INT AS id FROM documents",
-    "search_by_example": f"""WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id < {BATCH})
-        SELECT query_id, vec_id, round(s, 6) AS similarity, s > 0.95 AS is_self FROM scored WHERE s > 0.95""",
+    "token_lookup": f"""WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '(?s).')) AS t FROM documents)
+        SELECT doc_id, CASE WHEN t BETWEEN 'a' AND 'z' AND ascii(t) < 128 THEN 261 + ascii(t) - 97 WHEN t IN (' ', '▁') THEN 260 ELSE 3 END::INT AS id, count(*) AS n FROM tokens GROUP BY ALL""",
+    "search_by_example": RESULT_SQL["combo_filter_image"].replace("rank <= 100", f"rank <= {ranking.DEFAULT_K}"),
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.plans import faces, flows, hundredth, results, search, texts, whole_texts
+from sextant.plans import faces, flows, results, search, texts, whole_texts
 
-MODULES = (search, results, texts, faces, flows, hundredth, whole_texts)
+MODULES = (search, results, texts, faces, flows, whole_texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sextant.functions import text as T
 from sextant.functions.bpe import letters_tokenizer
 from sextant.operators import assist, knn, ranking, timeline
-from sextant.plans.search import _BATCH_SQL, Queries, batch_queries
+from sextant.plans.search import _BATCH_SQL, batch_queries
 from sextant.session import table
 
 #: Floors that the test vectors' scores reach, so that every branch of the filters has rows.
@@ -16,31 +16,31 @@ FLOOR, SPREAD = 0.15, 0.03
 NOW = "2024-01-30 12:00:00"
 
 
-def _scores(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
     corpus = table(spark, sf, "embeddings")
-    return knn.knn_batch(corpus, asked(corpus), 100).drop("rank")
+    return knn.knn_batch(corpus, batch_queries(corpus), 100).drop("rank")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("similarity", F.round("similarity", 6))
 
 
-def combo_filter_text(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def combo_filter_text(spark: SparkSession, sf: str) -> DataFrame:
     corpus = table(spark, sf, "embeddings")
-    others = knn.knn_batch(corpus, asked(corpus), 100, exclude_self=True).drop("rank")
+    others = knn.knn_batch(corpus, batch_queries(corpus), 100, exclude_self=True).drop("rank")
     return _rounded(ranking.text_filter(others, FLOOR, 0.8, SPREAD))
 
 
-def combo_filter_image(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
-    return _rounded(ranking.image_filter(_scores(spark, sf, asked), FLOOR, 0.95, 0.8, SPREAD))
+def combo_filter_image(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(ranking.image_filter(_scores(spark, sf), FLOOR, 0.95, 0.8, SPREAD))
 
 
-def force_top_n(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
-    return _rounded(ranking.force_top(_scores(spark, sf, asked), 10))
+def force_top_n(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(ranking.force_top(_scores(spark, sf), 10))
 
 
-def confidence_class(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
-    best = _scores(spark, sf, asked).filter("query_id <> vec_id").groupBy("query_id").agg(F.max("similarity").alias("best"))
+def confidence_class(spark: SparkSession, sf: str) -> DataFrame:
+    best = _scores(spark, sf).filter("query_id <> vec_id").groupBy("query_id").agg(F.max("similarity").alias("best"))
     return best.select("query_id", F.round("best", 6).alias("best"), ranking.confidence(F.col("best"), 0.35, 0.4).alias("confidence"), ranking.confidence(F.col("best") / 4).alias("default_confidence"))
 
 
@@ -109,7 +109,9 @@ def history_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_forget(spark: SparkSession, sf: str) -> DataFrame:
-    return assist.forget(assist.history(_log(spark, sf)), "")
+    """The history without its latest query, which occurs in every log."""
+    past = assist.history(_log(spark, sf))
+    return assist.forget(past, past.first()["query"])
 
 
 def random_suggestions(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,5 +158,6 @@ ORACLES = {
     "point_lookup": "SELECT event_id, user_id, event_type FROM events WHERE event_id = 42",
     "mru_history": f'''SELECT trim(query, ' ') AS query, max("at") AS "at" FROM {_LOG_SQL} WHERE trim(query, ' ') <> '' GROUP BY 1 ORDER BY "at" DESC, query LIMIT 20''',
     "history_filter": f'''SELECT query, max("at") AS "at" FROM {_LOG_SQL} WHERE contains(lower(query), 'th') GROUP BY query''',
-    "history_forget": f'''SELECT trim(query, ' ') AS query, max("at") AS "at" FROM {_LOG_SQL} WHERE trim(query, ' ') <> '' GROUP BY 1 ORDER BY "at" DESC, query LIMIT 20''',
+    "history_forget": f'''WITH past AS (SELECT trim(query, ' ') AS query, max("at") AS "at" FROM {_LOG_SQL} WHERE trim(query, ' ') <> '' GROUP BY 1 ORDER BY "at" DESC, query LIMIT 20)
+        SELECT * FROM past WHERE query <> (SELECT query FROM past ORDER BY "at" DESC, query LIMIT 1)''',
 }

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
 from sextant.operators import ivfpq as I
 from sextant.operators import knn as K
+from sextant.operators import ranking
 from sextant.session import table
 
-#: Batch queries: the vectors with the smallest ids. Fixed index parts for comparable results: the next ids.
-BATCH = 20
+#: Batch queries: every vector whose id this divides. Fixed index parts for comparable results: the vectors with the smallest ids.
+STEP = 100
+#: Share of a trained index's cells that a query probes; components of a sub-vector.
+PROBED = 0.65
+WIDTH = 4
 CLUSTERS = 8
 SUBQUANTISERS = 8
 CODES = 16
@@ -27,10 +29,7 @@ def query_vector(corpus: DataFrame, vec_id: int = 0) -> Column:
 
 
 def batch_queries(corpus: DataFrame) -> DataFrame:
-    return corpus.filter(F.col("vec_id") < BATCH).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-
-
-Queries = Callable[[DataFrame], DataFrame]
+    return corpus.filter(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -67,9 +66,9 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.knn(corpus, query_vector(corpus), 20), "similarity")
 
 
-def knn_batch(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _embeddings(spark, sf)
-    return rounded(K.knn_batch(corpus, asked(corpus), DEPTH, exclude_self=True), "similarity")
+    return rounded(K.knn_batch(corpus, batch_queries(corpus), DEPTH, exclude_self=True), "similarity")
 
 
 def knn_subset(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,12 +141,12 @@ def ivf_postings(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("vec_id", "cluster_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
 
 
-def ivfpq_search(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def ivfpq_search(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _embeddings(spark, sf)
     centroids, books = _fixed(corpus, CONFIG)
     index = I.postings(corpus, centroids, books)
     # Codes make ties of near scores likely; rounding before the rank makes them the same in any engine.
-    found = I.search(asked(corpus), index, centroids, books, PROBES, DEPTH)
+    found = I.search(batch_queries(corpus), index, centroids, books, PROBES, DEPTH)
     return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -167,11 +166,11 @@ def ann_adaptive_config(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, own["codes"], own["clusters"], own["subquantisers"], own["probes"])], "n long, codes int, clusters int, subquantisers int, probes int")
 
 
-def recall_at_k(spark: SparkSession, sf: str, asked: Queries = batch_queries) -> DataFrame:
+def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of probing 3 of 8 cells with exact scores inside them, against exact search."""
     corpus = _embeddings(spark, sf)
     own = I.literal_table(_fixed(corpus, CONFIG)[0])
-    queries = asked(corpus)
+    queries = batch_queries(corpus)
     exact = K.knn_batch(corpus, queries, DEPTH)
     cells = corpus.select("vec_id", "embedding", I.nearest(F.col("embedding"), own).alias("cluster_id"))
     probed = queries.select("query_id", "query", F.explode(I.nearest_several(F.col("query"), own, PROBES)["i"]).alias("cluster_id"))
@@ -199,11 +198,22 @@ def incremental_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_text_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Best of the first 20 vectors as candidates for every vector; the first wins ties."""
+    """Best of the query vectors as candidates for every vector; the first wins ties."""
+    corpus = _embeddings(spark, sf)
+    return rounded(K.best_match(corpus, batch_queries(corpus)), "similarity")
+
+
+def trained_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall at 10 of a trained index whose candidates are compared exactly, for every query."""
     corpus = _embeddings(spark, sf)
-    pairs = K.query_pairs(corpus, batch_queries(corpus), V.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
-    best = pairs.groupBy("vec_id").agg(F.max(F.struct("similarity", (-F.col("query_id")).alias("back"))).alias("best"))
-    return best.select("vec_id", (-F.col("best.back")).alias("candidate"), F.round("best.similarity", 6).alias("similarity"))
+    n = min(I.FIT_ROWS, corpus.count())
+    clusters = I.adaptive(n, 64)["clusters"]
+    config = I.Config(dimension=64, clusters=clusters, subquantisers=64 // WIDTH, codes=min(64, max(8, n // 10)), probes=max(1, round(PROBED * clusters)))
+    centroids, books = I.train(corpus, config)
+    queries = batch_queries(corpus)
+    near = I.search(queries, I.postings(corpus, centroids, books), centroids, books, config.probes, ranking.OVERFETCH * DEPTH)
+    scored = near.select("query_id", "vec_id").join(corpus.select("vec_id", "embedding"), "vec_id").join(queries, "query_id").select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+    return I.recall(K.top_per_query(scored, DEPTH), K.knn_batch(corpus, queries, DEPTH), DEPTH)
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,7 +246,7 @@ QUERIES = {
     "vec_dot": vec_dot, "vec_cosine": vec_cosine, "vec_l2": vec_l2, "vec_ip_distance": vec_ip_distance, "vec_normalize": vec_normalize, "vec_arith": vec_arith,
     "knn_exact": knn_exact, "knn_batch": knn_batch, "knn_subset": knn_subset, "knn_threshold": knn_threshold, "knn_metric_l2": _metric("l2"), "knn_metric_ip": _metric("ip"), "knn_metric_cosine": _metric("cosine"),
     "kmeans_assign": kmeans_assign, "kmeans_step": kmeans_step, "ivf_probe": ivf_probe, "ivf_postings": ivf_postings, "pq_encode": pq_encode, "pq_decode": pq_decode, "pq_adc": pq_adc,
-    "ivfpq_search": ivfpq_search, "ivf_stats": ivf_stats, "ann_config_table": ann_config_table, "ann_adaptive_config": ann_adaptive_config, "recall_at_k": recall_at_k,
+    "ivfpq_search": ivfpq_search, "ivf_stats": ivf_stats, "ann_config_table": ann_config_table, "ann_adaptive_config": ann_adaptive_config, "recall_at_k": recall_at_k, "trained_recall": trained_recall,
     "upsert_latest": upsert_latest, "delete_anti": delete_anti, "incremental_diff": incremental_diff, "best_text_match": best_text_match, "corpus_stats": corpus_stats,
 }
 
@@ -248,7 +258,7 @@ def _knn_sql(distance: str, name: str, order: str, k: int = 20, where: str = "tr
 _COS = f"list_cosine_similarity({_E}, {_Q})"
 _IP = f"list_inner_product({_E}, {_Q})"
 _L2 = f"list_distance({_E}, {_Q})"
-_BATCH_SQL = f"""SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.{_E}, q.{_E}) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < {BATCH}"""
+_BATCH_SQL = f"""SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.{_E}, q.{_E}) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % {STEP} = 0"""
 
 ORACLES = {
     "vec_dot": f"SELECT vec_id, round({_IP}, 6) AS value FROM embeddings",
@@ -278,7 +288,7 @@ ORACLES = {
     "pq_adc": f"""WITH {_PARTS}, own AS (SELECT vec_id, {_E} AS v FROM embeddings), enc AS ({_encoded("own")})
         SELECT vec_id, round(sum(list_sum(list_transform(list_zip({_Q}[m * 8 + 1:m * 8 + 8], c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance FROM enc GROUP BY vec_id""",
     "ivfpq_search": f"""WITH {_PARTS}, res AS (SELECT vec_id, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS v FROM cells), enc AS ({_encoded("res")}),
-        probes AS (SELECT vec_id AS query_id, cluster_id, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS r FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) AS place FROM celld WHERE vec_id < {BATCH}) WHERE place <= {PROBES}),
+        probes AS (SELECT vec_id AS query_id, cluster_id, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS r FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) AS place FROM celld WHERE vec_id % {STEP} = 0) WHERE place <= {PROBES}),
         scored AS (SELECT query_id, cells.vec_id, sum(list_sum(list_transform(list_zip(r[m * 8 + 1:m * 8 + 8], enc.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
             FROM probes JOIN cells USING (cluster_id) JOIN enc ON enc.vec_id = cells.vec_id GROUP BY query_id, cells.vec_id)
         SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM scored) WHERE rank <= {DEPTH}""",
@@ -289,7 +299,7 @@ ORACLES = {
         SELECT n::BIGINT AS n, priority, clusters, 96 AS subquantisers, least(high, greatest(low, round_even(clusters * share, 0)))::INT AS probes, iterations, links, build_width, search_width FROM c, priorities""",
     "ann_adaptive_config": "SELECT n, least(256, greatest(8, n // 10))::INT AS codes, c AS clusters, 64 AS subquantisers, c AS probes FROM (SELECT count(*) AS n, least(256, greatest(2, floor(sqrt(count(*)) + 0.5)))::INT AS c FROM embeddings)",
     "recall_at_k": f"""WITH {_PARTS}, exact AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM ({_BATCH_SQL})),
-        probes AS (SELECT vec_id AS query_id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) AS place FROM celld WHERE vec_id < {BATCH}) WHERE place <= {PROBES}),
+        probes AS (SELECT vec_id AS query_id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) AS place FROM celld WHERE vec_id % {STEP} = 0) WHERE place <= {PROBES}),
         found AS (SELECT p.query_id, b.vec_id, row_number() OVER (PARTITION BY p.query_id ORDER BY similarity DESC, b.vec_id) AS rank FROM ({_BATCH_SQL}) b JOIN cells USING (vec_id) JOIN probes p ON p.query_id = b.query_id AND p.cluster_id = cells.cluster_id)
         SELECT e.query_id, count(f.vec_id) AS correct, count(f.vec_id) / {DEPTH}.0::DOUBLE AS recall FROM exact e LEFT JOIN found f ON f.query_id = e.query_id AND f.vec_id = e.vec_id AND f.rank <= {DEPTH} WHERE e.rank <= {DEPTH} GROUP BY e.query_id""",
     "upsert_latest": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0",

@@ -13,7 +13,7 @@ from sextant.functions import text as T
 from sextant.functions import vectors as V
 from sextant.operators import assist
 from sextant.plans.search import total
-from sextant.session import table
+from sextant.session import spread, table
 
 LEXICON = lexicon.DEFAULT
 
@@ -21,7 +21,7 @@ LEXICON = lexicon.DEFAULT
 def _chats(spark: SparkSession, sf: str) -> DataFrame:
     """All turns, with informal words set around each text so that every rule has cases."""
     informal = F.concat(F.lit("Aq nagshopping kc d2!! sooooo gud w/o u "), F.col("text"), F.lit(" isa isa san san lakad-lakad d q nagpainting running naka-upload w/friends"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", informal.alias("text"))
+    return spread(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", informal.alias("text"))
 
 
 def _stage(number: int):

@@ -1,15 +1,12 @@
-"""The normaliser, the vocabulary lookup and text search over whole documents and captions."""
+"""The normaliser over whole documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.functions import bpe, encoder
 from sextant.functions import text as T
-from sextant.llm.common import UPPER, ascii_lower
 from sextant.plans import texts
-from sextant.plans.flows import DIMENSION, search_texts
 from sextant.plans.texts import LEXICON
 from sextant.session import spread, table
 
@@ -42,31 +39,13 @@ def normalize_trace_documents(spark: SparkSession, sf: str) -> DataFrame:
     return traced.select("doc_id", "step", "rule", "fired", texts.affected(F.col("before"), F.col("after")).alias("affected"))
 
 
-def token_lookup_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each id of the letters' vocabulary stands in a whole text; 3 for what it lacks."""
-    rows = spark.createDataFrame(list(bpe.letters_tokenizer().vocabulary.items()), "token string, id int")
-    symbols = F.split(F.replace(ascii_lower(F.col("text")), F.lit(" "), F.lit(bpe.SPACE_SIGN)), "")
-    tokens = _documents(spark, sf).filter(F.char_length("text") > 0).select("doc_id", F.explode(symbols).alias("token"))
-    found = tokens.join(F.broadcast(rows), "token", "left").select("doc_id", F.coalesce("id", F.lit(bpe.UNKNOWN)).alias("id"))
-    return found.groupBy("doc_id", "id").agg(F.count("*").alias("n"))
-
-
-def text_search_captions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark text as a caption and, whole, as a query."""
-    captions = table(spark, sf, "benchmark")
-    corpus = captions.select(F.col("item_id").alias("vec_id"), encoder.hash_projection(T.normalise(F.col("text"), LEXICON), DIMENSION).alias("embedding"))
-    return search_texts(corpus, captions.select(F.col("item_id").alias("query_id"), "text"), 20)
-
-
 _STAGES = list(texts.QUERIES)[:7]
 _STAGES_SQL = texts._STAGES_SQL.replace(texts._CHATS_SQL, "SELECT doc_id, text AS t0 FROM documents")
 
 QUERIES = {f"{name}_documents": _stage(i) for i, name in enumerate(_STAGES)} | {
-    f.__name__: f for f in (normalize_full_documents, rule_firing_rates_documents, normalize_trace_documents, token_lookup_documents, text_search_captions)
+    f.__name__: f for f in (normalize_full_documents, rule_firing_rates_documents, normalize_trace_documents)
 }
 
 ORACLES = {f"{name}_documents": f"WITH {_STAGES_SQL} SELECT doc_id, t{i + 1} AS text FROM s{i + 1}" for i, name in enumerate(_STAGES)}
 ORACLES["normalize_full_documents"] = f"WITH {_STAGES_SQL} SELECT doc_id, t7 AS text FROM s7"
 ORACLES["rule_firing_rates_documents"] = texts.ORACLES["rule_firing_rates"].replace(texts._CHATS_SQL, "SELECT doc_id, text AS t0 FROM documents WHERE length(text) > 0")
-ORACLES["token_lookup_documents"] = f"""WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '(?s).')) AS t FROM documents)
-    SELECT doc_id, CASE WHEN t BETWEEN 'a' AND 'z' AND ascii(t) < 128 THEN 261 + ascii(t) - 97 WHEN t IN (' ', '▁') THEN 260 ELSE 3 END::INT AS id, count(*) AS n FROM tokens GROUP BY ALL"""
