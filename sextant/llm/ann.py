@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import in_fraction
+from sextant.operators.sampling import in_fraction
 from sextant.session import checkpointed
 
 FIT_ROWS = 20_000

@@ -10,8 +10,6 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Least rows of a hash bucket; beyond its square a group has as many buckets as a bucket has rows.
 ROWS_PER_BUCKET = 200
-#: Range of the non-negative hash that ``hashed_fraction`` compares.
-FRACTION_RANGE = 1 << 30
 
 
 def ascii_lower(text: Column) -> Column:
@@ -33,11 +31,6 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def in_fraction(key: Column, fraction: float, seed: int = 0) -> Column:
-    """A repeatable choice of about this fraction of the keys."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(FRACTION_RANGE)) < int(min(1.0, fraction) * FRACTION_RANGE)
-
-
 def bucket_count(rows: Column, least: int | None = None) -> Column:
     """Buckets for a group of so many rows.
 
@@ -46,9 +39,3 @@ def bucket_count(rows: Column, least: int | None = None) -> Column:
     """
     each = F.greatest(F.lit(float(least or ROWS_PER_BUCKET)), F.sqrt(rows))
     return F.greatest(F.lit(1), F.floor(rows / each)).cast("long")
-
-
-def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
-    """Rows whose key's hash falls under most / count: about ``most`` rows at any input size, without a sort."""
-    count = df.count()
-    return df if count <= most else df.filter(in_fraction(F.col(key), most / count, seed))

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_sample, quoted
+from sextant.llm.common import quoted
 from sextant.llm.textstats import FIELDS, feature_matrix, stats_columns, with_stats
+from sextant.operators.sampling import bounded_sample
 from sextant.session import checkpointed, spread
 
 FIT_ROWS = 20_000
@@ -146,7 +147,7 @@ def _normal_equations(projection: Projection):
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> QualityModel:
     """Fits on labelled rows outside fold 2: the ridge on folds 0 and 3, the calibration on fold 1."""
     clean = labels.select(F.col("doc_id").alias(id_col), "quality").dropna().filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 2))
-    chosen = bounded_sample(clean.groupBy(id_col).agg(F.min("quality").alias("quality")), id_col, fit_rows, seed=1)
+    chosen = bounded_sample(clean.groupBy(id_col).agg(F.min("quality").alias("quality")), F.col(id_col), fit_rows, seed=1)
     stats = checkpointed(with_stats(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)).withColumn("fold", fold(F.col(id_col))))
     # Few partitions, so that few matrices come to the driver however many files the sample was read from.
     ridge_rows, calibration_rows = stats.filter("fold != 1").coalesce(FIT_PARTITIONS), stats.filter("fold = 1").coalesce(FIT_PARTITIONS)

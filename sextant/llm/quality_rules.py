@@ -24,8 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_sample, quoted
+from sextant.llm.common import quoted
 from sextant.llm.textstats import FIELDS, with_stats
+from sextant.operators.sampling import bounded_sample
 
 FIT_ROWS = 20_000
 FEWEST_WORDS = 50
@@ -189,7 +190,7 @@ def base_failed() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DecisionList:
     """Learns the list from documents with ``labels.quality`` 0 or 1; base failures take no part."""
     clean = labels.select(F.col("doc_id").alias(id_col), "quality").dropna().filter(F.col("quality").isin(0, 1)).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    chosen = bounded_sample(clean, id_col, fit_rows)
+    chosen = bounded_sample(clean, F.col(id_col), fit_rows)
     labelled = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     columns = ratios()
     stats = with_stats(labelled).filter(~base_failed()).select(id_col, "quality", *[c.alias(n) for n, c in columns.items()])

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_sample, quoted
+from sextant.llm.common import quoted
 from sextant.operators.graph import components
+from sextant.operators.sampling import bounded_sample
 from sextant.session import checkpointed, spread
 
 SHINGLE = 3
@@ -212,7 +213,7 @@ def forest(distinct: DataFrame, count: int) -> list[Tree]:
     leaves = max(1, count // SHARD_ROWS)
     if leaves == 1:
         return [Tree(shift, leaves=1) for shift in (0, 32)]
-    sampled = bounded_sample(distinct.select("fp"), "fp", SAMPLED_PER_LEAF * leaves)
+    sampled = bounded_sample(distinct.select("fp"), F.col("fp"), SAMPLED_PER_LEAF * leaves)
     sample = np.sort(sampled.toArrow()["fp"].to_numpy()).view(np.uint64)
     rng = np.random.default_rng(SEED)
     return [Tree.grow(sample, shift, max(1, len(sample) // leaves), rng) for shift in (0, 32)]
