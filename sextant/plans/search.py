@@ -14,7 +14,7 @@ from sextant.session import table
 #: Batch queries: every vector whose id this divides. Fixed index parts for comparable results: the vectors with the smallest ids.
 STEP = 100
 #: Share of a trained index's cells that a query probes; components of a sub-vector.
-PROBED = 0.65
+PROBED = 0.75
 WIDTH = 4
 CLUSTERS = 8
 SUBQUANTISERS = 8
