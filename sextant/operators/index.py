@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
+from sextant.operators import graph_index as G
 from sextant.operators import ivfpq as I
 from sextant.operators import knn as K
 from sextant.operators import ranking
@@ -122,20 +123,56 @@ class IvfPqIndex:
         metadata.write(self.spark, path, metadata.Metadata(self.config.dimension, metadata.SPACES["l2"], self.count(), algorithm="ivfpq", description=f"{self.config.subquantisers} sub-vectors"))
 
 
+@dataclass
+class GraphIndex:
+    """Neighbour graphs over shards. Ids that are there already are left as they are."""
+
+    spark: SparkSession
+    config: G.Config
+    graphs: DataFrame | None = None
+    requires_training = False
+
+    def add(self, points: DataFrame) -> None:
+        """The graphs are built again with the new vectors."""
+        own = points.select("vec_id", V.as_double(F.col("embedding")).alias("embedding")).dropDuplicates(["vec_id"])
+        if self.graphs is not None:
+            known = self.graphs.select("vec_id", "embedding")
+            own = known.unionByName(own.join(known.select("vec_id"), "vec_id", "left_anti"))
+        self.graphs = checkpointed(G.graphs(own, self.config))
+
+    def count(self) -> int:
+        return 0 if self.graphs is None else self.graphs.count()
+
+    def search(self, queries: DataFrame, k: int, effort: int | None = None) -> DataFrame:
+        """``effort``: vectors kept while walking."""
+        if self.graphs is None:
+            return self.spark.createDataFrame([], "query_id long, vec_id long, distance double, rank int")
+        return G.search(self.graphs, queries, checked_k(k), self.config, effort or G.SEARCH_WIDTH)
+
+    def save(self, path: str) -> None:
+        if self.graphs is not None:
+            self.graphs.write.mode("overwrite").parquet(f"{path}/graphs")
+        metadata.write(self.spark, path, metadata.Metadata(self.config.dimension, metadata.SPACES[self.config.metric], self.count(), "graph", self.config.links, self.config.build_width))
+
+
 def create(spark: SparkSession, algorithm: str, dimension: int, **options) -> VectorIndex:
-    """An empty index: ``exact`` (metric=...), or ``ivfpq`` (the options of ``Config``)."""
+    """An empty index: ``exact`` (metric=...), ``ivfpq`` or ``graph`` (the options of their ``Config``)."""
     if algorithm == "exact":
         return ExactIndex(spark, dimension, **options)
     if algorithm == "ivfpq":
         return IvfPqIndex(spark, I.Config(dimension=dimension, **options))
+    if algorithm == "graph":
+        return GraphIndex(spark, G.Config(dimension, **options))
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
 def load(spark: SparkSession, path: str) -> VectorIndex:
-    """A stored index of either kind."""
+    """A stored index of any kind."""
     own = metadata.read(spark, path)
+    metric = next(m for m, s in metadata.SPACES.items() if s == own.space_type)
+    if own.algorithm == "graph":
+        return GraphIndex(spark, G.Config(own.dimension, metric, own.links, own.build_width), spark.read.parquet(f"{path}/graphs") if own.item_count else None)
     if own.algorithm == "exact":
-        metric = next(m for m, s in metadata.SPACES.items() if s == own.space_type)
         return ExactIndex(spark, own.dimension, metric, spark.read.parquet(f"{path}/points") if own.item_count else None)
     postings, centroids, books = I.read(spark, path)
     config = I.Config(own.dimension, len(centroids), len(books), len(books[0]), min(8, len(centroids)))
@@ -152,4 +189,5 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, index: VectorIndex | N
     if path == "exact":
         return K.knn_batch(corpus, queries, checked_k(k))
     found = index.search(queries, min(MOST_K, ranking.OVERFETCH * k)).filter(F.col("rank") <= k)
-    return found.select("query_id", "vec_id", V.similarity_from_distance("l2", F.col("distance")).alias("similarity"), "rank")
+    metric = getattr(getattr(index, "config", index), "metric", "l2")
+    return found.select("query_id", "vec_id", V.similarity_from_distance(metric, F.col("distance")).alias("similarity"), "rank")

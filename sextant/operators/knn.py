@@ -97,7 +97,7 @@ class Best:
         self.query, self.ids, self.values = self.query[kept], self.ids[kept], self.values[kept]
 
 
-def _distances(metric: str, queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+def distances(metric: str, queries: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Query x row. Cosine vectors have length one already."""
     if metric == "l2":
         return np.maximum((queries**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * (queries @ x.T), 0.0)
@@ -114,7 +114,7 @@ def batch_distances(corpus: DataFrame, queries: DataFrame, metric: str = "cosine
     if metric not in V.METRICS:
         raise ValueError(f"metric is one of {V.METRICS}")
     query_ids, matrix = query_matrix(queries)
-    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, _unit(matrix) if metric == "cosine" else matrix))
+    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, unit(matrix) if metric == "cosine" else matrix))
     dimension = matrix.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +125,9 @@ def batch_distances(corpus: DataFrame, queries: DataFrame, metric: str = "cosine
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-            x = _unit(x) if metric == "cosine" else x
+            x = unit(x) if metric == "cosine" else x
             for at in range(0, len(asked), QUERY_BLOCK):
-                values = _distances(metric, own[at : at + QUERY_BLOCK], x)
+                values = distances(metric, own[at : at + QUERY_BLOCK], x)
                 values[values > most] = np.inf
                 if exclude_self:
                     values[asked[at : at + QUERY_BLOCK, None] == ids[None, :]] = np.inf
@@ -149,13 +149,13 @@ def best_match(vectors: DataFrame, candidates: DataFrame, id_col: str = "vec_id"
     """(id, candidate, similarity): the most similar of a bounded set (query_id, query) for every vector; the smallest id wins ties."""
     ids, matrix = query_matrix(candidates)
     order = np.argsort(ids, kind="stable")
-    shared = vectors.sparkSession.sparkContext.broadcast((ids[order], _unit(matrix[order])))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids[order], unit(matrix[order])))
     dimension = matrix.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, own = shared.value
         for batch in batches:
-            scores = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)) @ own.T
+            scores = unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)) @ own.T
             best = scores.argmax(1) if batch.num_rows else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names[best]), pa.array(scores[np.arange(len(best)), best])], names=[id_col, "candidate", "similarity"])
 
@@ -163,7 +163,7 @@ def best_match(vectors: DataFrame, candidates: DataFrame, id_col: str = "vec_id"
     return rows.mapInArrow(run, f"{id_col} long, candidate long, similarity double")
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; zero rows stay, so their similarity is 0."""
     lengths = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.where(lengths == 0, 1.0, lengths)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import vectors as V
+from sextant.operators import graph_index as G
 from sextant.operators import ivfpq as I
 from sextant.operators import knn as K
 from sextant.operators import ranking
@@ -178,6 +179,13 @@ def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     return I.recall(found, exact, DEPTH)
 
 
+def graph_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall at 10 of the neighbour graphs, for every query."""
+    corpus = _embeddings(spark, sf)
+    config, queries = G.Config(64, "cosine"), batch_queries(corpus)
+    return I.recall(G.search(G.graphs(corpus, config), queries, DEPTH, config, effort=10 * DEPTH), K.knn_batch(corpus, queries, DEPTH), DEPTH)
+
+
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _embeddings(spark, sf).select("vec_id", "label")
     store = corpus.filter("vec_id % 3 <> 0").withColumn("version", F.lit(1))
@@ -246,7 +254,7 @@ QUERIES = {
     "vec_dot": vec_dot, "vec_cosine": vec_cosine, "vec_l2": vec_l2, "vec_ip_distance": vec_ip_distance, "vec_normalize": vec_normalize, "vec_arith": vec_arith,
     "knn_exact": knn_exact, "knn_batch": knn_batch, "knn_subset": knn_subset, "knn_threshold": knn_threshold, "knn_metric_l2": _metric("l2"), "knn_metric_ip": _metric("ip"), "knn_metric_cosine": _metric("cosine"),
     "kmeans_assign": kmeans_assign, "kmeans_step": kmeans_step, "ivf_probe": ivf_probe, "ivf_postings": ivf_postings, "pq_encode": pq_encode, "pq_decode": pq_decode, "pq_adc": pq_adc,
-    "ivfpq_search": ivfpq_search, "ivf_stats": ivf_stats, "ann_config_table": ann_config_table, "ann_adaptive_config": ann_adaptive_config, "recall_at_k": recall_at_k, "trained_recall": trained_recall,
+    "ivfpq_search": ivfpq_search, "ivf_stats": ivf_stats, "ann_config_table": ann_config_table, "ann_adaptive_config": ann_adaptive_config, "recall_at_k": recall_at_k, "trained_recall": trained_recall, "graph_recall": graph_recall,
     "upsert_latest": upsert_latest, "delete_anti": delete_anti, "incremental_diff": incremental_diff, "best_text_match": best_text_match, "corpus_stats": corpus_stats,
 }
 

@@ -213,7 +213,7 @@ def test_index_interface(spark, tmp_path):
         with pytest.raises(ValueError):
             small.search(queries, k)
     with pytest.raises(ValueError):
-        index.create(spark, "graph", 8)
+        index.create(spark, "tree", 8)
 
 
 def test_build_index(spark, tmp_path):
@@ -367,3 +367,46 @@ def test_scratch_tables_are_removed(spark):
         spark.read.parquet(path).count()
     with pytest.raises(ValueError):
         session.remove(spark, "/elsewhere")
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_graphs_find_neighbours(spark, tmp_path, monkeypatch, metric):
+    """Several shards with equal vectors and outliers; stored and read again; recall against exact search."""
+    from sextant.operators import graph_index
+
+    monkeypatch.setattr(graph_index.graphs, "__defaults__", (150,))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8))
+    x[100:160] = x[7]
+    x[200:220] *= 50
+    corpus = vectors(spark, x)
+    queries = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    own = index.create(spark, "graph", 8, metric=metric, links=8, build_width=40)
+    assert own.search(queries, 5).count() == 0
+    own.add(corpus.filter("vec_id < 500"))
+    own.add(corpus.filter("vec_id >= 400"))
+    own.add(vectors(spark, -x[:3]))  # ids that are there already
+    assert own.count() == 600
+    own.save(str(tmp_path / "graph"))
+    again = index.load(spark, str(tmp_path / "graph"))
+    assert again.config == own.config
+    found = again.search(queries, 10, effort=80)
+    exact = knn.batch_distances(corpus, queries, metric, 10)
+    worst = {r["query_id"]: r["distance"] for r in exact.filter("rank = 10").collect()}
+    got = found.collect()
+    assert len(got) == 300 and sum(r["distance"] <= worst[r["query_id"]] + 1e-9 for r in got) >= 0.95 * 300
+    assert index.search(corpus, queries, 5, again).count() == 150
+
+
+def test_graph_config_and_small_graphs(spark):
+    from sextant.operators import graph_index
+
+    for wrong in ({"links": 1}, {"links": 101}, {"links": 16, "build_width": 15}, {"metric": "l1"}):
+        with pytest.raises(ValueError):
+            graph_index.Config(4, **wrong)
+    config = graph_index.Config(2)
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<double>")
+    for rows in ([(5, [1.0, 0.0])], [(5, [1.0, 0.0]), (6, [0.0, 1.0]), (7, None), (8, [1.0])]):
+        corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert [r["vec_id"] for r in graph_index.search(graph_index.graphs(corpus, config), queries, 3, config).orderBy("rank").collect()] == [5, 6][: len(rows)]
+    assert graph_index.search(graph_index.graphs(corpus.limit(0), config), queries, 3, config).count() == 0
