@@ -6,6 +6,9 @@ text's words vote for signed hashed dimensions, and the vector is scaled to leng
 
 from __future__ import annotations
 
+import io
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +23,11 @@ from sextant.functions import vectors as V
 PICTURE_SIDE = 224
 PIXEL_MEAN = 0.5
 PIXEL_STD = 0.5
+# Pictures beyond the first side go to the second by nearest pixels before they are resized; loaders keep pictures within the third;
+# side and scaling of the detector's input; side of an aligned face.
+LARGE_SIDE, MIDDLE_SIDE, LOADED_SIDE = 896, 448, 512
+DETECTOR_SIDE, DETECTOR_MEAN, DETECTOR_STD = 640, 127.5, 128.0
+FACE_SIDE = 112
 
 
 def hash_projection(text: Column, dimension: int = 64) -> Column:
@@ -63,8 +71,66 @@ def resize_bilinear(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return top * (1 - fy) + bottom * fy
 
 
+def resize_nearest(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    h, w = pixels.shape[:2]
+    return pixels[np.arange(height) * h // height][:, np.arange(width) * w // width]
+
+
+def within_side(pixels: np.ndarray, side: int = LOADED_SIDE) -> np.ndarray:
+    """Picture with its longer side at most ``side``, in its proportions."""
+    h, w = pixels.shape[:2]
+    if max(h, w) <= side:
+        return pixels
+    return resize_bilinear(pixels.astype(float), max(1, round(h * side / max(h, w))), max(1, round(w * side / max(h, w))))
+
+
+def decode_picture(content: bytes) -> np.ndarray | None:
+    """RGB pixels (h, w, 3) of a picture file, within ``LOADED_SIDE``; null where it cannot be read.
+
+    Portable pixmaps are read here; other formats take an image library where one is installed.
+    """
+    if found := re.match(rb"P6\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", content):
+        w, h, top = map(int, found.groups())
+        body = np.frombuffer(content, dtype=np.uint8, offset=found.end())
+        return within_side(body[: h * w * 3].reshape(h, w, 3) * (255.0 / top)) if 0 < top < 256 and len(body) >= h * w * 3 else None
+    try:
+        from PIL import Image
+    except ImportError:
+        return None
+    try:
+        return within_side(np.asarray(Image.open(io.BytesIO(content)).convert("RGB")))
+    except (OSError, ValueError):
+        return None
+
+
+def letterbox(pixels: np.ndarray, side: int = DETECTOR_SIDE) -> tuple[np.ndarray, float, float, float]:
+    """(channels-first detector input, scale, pad_x, pad_y): the picture in its proportions, centred on black."""
+    h, w = pixels.shape[:2]
+    scale = min(side / h, side / w)
+    high, wide = max(1, round(h * scale)), max(1, round(w * scale))
+    top, left = (side - high) // 2, (side - wide) // 2
+    whole = np.zeros((side, side, 3))
+    whole[top : top + high, left : left + wide] = resize_bilinear(pixels.astype(float), high, wide)
+    return ((whole - DETECTOR_MEAN) / DETECTOR_STD).transpose(2, 0, 1).astype(np.float32), scale, float(left), float(top)
+
+
+def face_input(pixels: np.ndarray, points: np.ndarray | None, target: np.ndarray, box: tuple[float, float, float, float], side: int = FACE_SIDE) -> np.ndarray:
+    """Channels-first input of the face encoder: warped to the target's points or, where there are none or they coincide, the box cut out."""
+    matrix = None if points is None else _aligned(np.asarray(points, dtype=float).ravel(), target)
+    if matrix is not None:
+        face = warp(pixels.astype(float), np.asarray(matrix).reshape(2, 3), side)
+    else:
+        h, w = pixels.shape[:2]
+        left, top = int(np.clip(box[0], 0, w - 1)), int(np.clip(box[1], 0, h - 1))
+        right, bottom = int(np.clip(math.ceil(box[2]), left + 1, w)), int(np.clip(math.ceil(box[3]), top + 1, h))
+        face = resize_bilinear(pixels[top:bottom, left:right].astype(float), side, side)
+    return (face / DETECTOR_MEAN - 1).transpose(2, 0, 1).astype(np.float32)
+
+
 def picture_input(pixels: np.ndarray, side: int = PICTURE_SIDE) -> np.ndarray:
     """Channels-first model input of an RGB picture: resized, scaled to -1..1."""
+    if max(pixels.shape[:2]) > LARGE_SIDE:
+        pixels = resize_nearest(pixels, MIDDLE_SIDE, MIDDLE_SIDE)
     small = resize_bilinear(pixels.astype(float), side, side)
     return ((small / 255.0 - PIXEL_MEAN) / PIXEL_STD).transpose(2, 0, 1).astype(np.float32)
 

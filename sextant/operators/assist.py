@@ -45,6 +45,11 @@ def history(log: DataFrame, order_col: str = "at", query_col: str = "query", len
     return trimmed.groupBy("query").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "query").limit(length)
 
 
+def remember(queries: DataFrame, path: str) -> None:
+    """Appends queries (query, at) to a stored log; ``history`` reads it back."""
+    queries.select("query", "at").write.mode("append").parquet(path)
+
+
 def history_matching(past: DataFrame, part: str) -> DataFrame:
     """Remembered queries that contain a text, in any case."""
     return past.filter(F.contains(F.lower("query"), F.lit(part.lower())))

@@ -283,21 +283,31 @@ def statistics(index: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def write(index: DataFrame, spark: SparkSession, path: str, centroids, codebooks, encoder_id: str = "default") -> None:
-    """Stores the three index tables; postings lie in a folder for each cell."""
-    index.write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/postings")
+def write_parts(spark: SparkSession, path: str, centroids, codebooks) -> None:
+    """Stores the trained parts. The codebooks are written last: where they are, the parts are whole."""
     spark.createDataFrame([(i, list(map(float, c))) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
     rows = [(m, code, list(map(float, c))) for m, book in enumerate(codebooks) for code, c in enumerate(book)]
     spark.createDataFrame(rows, "m int, code int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/codebooks")
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, list, list]:
-    """(postings, centroids, codebooks) as ``write`` stored them."""
-    centroids = [r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cluster_id").collect()]
+def read_parts(spark: SparkSession, path: str) -> tuple[list, list]:
+    """(centroids, codebooks); their size is set by the parameters."""
     books: dict[int, list] = {}
     for r in spark.read.parquet(f"{path}/codebooks").orderBy("m", "code").collect():
         books.setdefault(r["m"], []).append(r["centroid"])
-    return spark.read.parquet(f"{path}/postings"), centroids, [books[m] for m in sorted(books)]
+    centroids = [r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cluster_id").collect()]
+    return centroids, [books[m] for m in sorted(books)]
+
+
+def write(index: DataFrame, spark: SparkSession, path: str, centroids, codebooks) -> None:
+    """Stores the three index tables; postings lie in a folder for each cell."""
+    index.write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/postings")
+    write_parts(spark, path, centroids, codebooks)
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, list, list]:
+    """(postings, centroids, codebooks) as ``write`` stored them."""
+    return spark.read.parquet(f"{path}/postings"), *read_parts(spark, path)
 
 
 def upsert(store: DataFrame, changes: DataFrame, id_col: str = "vec_id", order_col: str = "version") -> DataFrame:

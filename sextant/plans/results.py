@@ -39,6 +39,13 @@ def force_top_n(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ranking.force_top(_scores(spark, sf), 10))
 
 
+def expand_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten of every query, by date and relevance; vectors take the dates of the events of their ids."""
+    dated = _scores(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("vec_id"), "ts"), "vec_id", "left")
+    found = ranking.expand_pool(dated, 10, F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"), "medium", "ts")
+    return _rounded(found).select("query_id", "vec_id", "similarity", "rank")
+
+
 def confidence_class(spark: SparkSession, sf: str) -> DataFrame:
     best = _scores(spark, sf).filter("query_id <> vec_id").groupBy("query_id").agg(F.max("similarity").alias("best"))
     return best.select("query_id", F.round("best", 6).alias("best"), ranking.confidence(F.col("best"), 0.35, 0.4).alias("confidence"), ranking.confidence(F.col("best") / 4).alias("default_confidence"))
@@ -120,7 +127,7 @@ def random_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "combo_filter_text": combo_filter_text, "combo_filter_image": combo_filter_image, "force_top_n": force_top_n, "confidence_class": confidence_class, "filter_date_relevance": filter_date_relevance, "query_guard": query_guard,
+    "combo_filter_text": combo_filter_text, "combo_filter_image": combo_filter_image, "force_top_n": force_top_n, "expand_pool": expand_pool, "confidence_class": confidence_class, "filter_date_relevance": filter_date_relevance, "query_guard": query_guard,
     "date_buckets": date_buckets, "scan_newest_first": scan_newest_first, "progressive_batches": progressive_batches, "album_filter": album_filter, "resolve_items": resolve_items, "point_lookup": point_lookup,
     "mru_history": mru_history, "history_filter": history_filter, "history_forget": history_forget, "random_suggestions": random_suggestions,
 }
@@ -139,6 +146,9 @@ ORACLES = {
         flat AS (SELECT query_id FROM placed WHERE place = 5 AND best - similarity < {SPREAD})
         SELECT query_id, vec_id, round(similarity, 6) AS similarity, is_self FROM flagged WHERE is_self UNION ALL SELECT query_id, vec_id, round(similarity, 6), is_self FROM near WHERE query_id NOT IN (SELECT query_id FROM flat)""",
     "force_top_n": f"SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM ({_BATCH_SQL})) WHERE rank <= 10",
+    "expand_pool": f"""WITH pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM {_TOP}), best AS (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS best FROM pool WHERE rank <= 10)
+        SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM best LEFT JOIN (SELECT event_id AS vec_id, ts FROM events) USING (vec_id)
+        WHERE (ts IS NULL OR ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 23:59:59') AND similarity >= 0.45 * best""",
     "confidence_class": f"""SELECT query_id, round(best, 6) AS best, CASE WHEN best < 0.35 THEN 'failed' WHEN best < 0.4 THEN 'weak' ELSE 'strong' END AS confidence, CASE WHEN best / 4 < 0.08 THEN 'failed' WHEN best / 4 < 0.095 THEN 'weak' ELSE 'strong' END AS default_confidence
         FROM (SELECT query_id, max(similarity) AS best FROM ({_BATCH_SQL}) WHERE query_id <> vec_id GROUP BY query_id)""",
     "filter_date_relevance": f"""SELECT query_id, id, round(similarity, 6) AS similarity FROM (SELECT *, max(coalesce(similarity, 0)) OVER (PARTITION BY query_id) AS best FROM (SELECT user_id AS query_id, id, created_at, CASE WHEN id % 11 <> 0 THEN value END AS similarity FROM {_ITEMS_SQL}))

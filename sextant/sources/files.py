@@ -29,10 +29,15 @@ def scan_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] =
 
 
 def write_embeddings(rows: DataFrame, path: str) -> None:
-    """Stores (encoder_id, id, embedding); replaces only the encoders that occur."""
+    """Stores (encoder_id, id, embedding); replaces only the encoders that occur. No rows: nothing changes."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("encoder_id").parquet(path)
 
 
+def embedding_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(encoder_id, count, dimension) of the encoders in a store."""
+    return spark.read.parquet(path).groupBy("encoder_id").agg(F.count("*").alias("count"), F.max(F.size("embedding")).alias("dimension"))
+
+
 def read_embeddings(spark: SparkSession, path: str, encoder_id: str) -> DataFrame:
     """One encoder's embeddings; other encoders' folders are pruned."""
     return spark.read.parquet(path).filter(F.col("encoder_id") == encoder_id)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,30 @@ def outdated(stored: Metadata | None, current: Metadata) -> bool:
     return stored is None or stored.item_count != current.item_count
 
 
+def write_paths(items: DataFrame, path: str) -> None:
+    """The map from ids to files (id, path) of an index."""
+    items.select("id", "path").write.mode("overwrite").json(f"{path}/paths")
+
+
+def read_paths(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, path string").json(f"{path}/paths")
+
+
+def ensure_copy(spark: SparkSession, source: str, target: str, tables: Sequence[str]) -> bool:
+    """Copies an index's tables and metadata unless the target has one of the same size; whether it did."""
+    current = read(spark, source)
+    try:
+        stored = read(spark, target)
+    except AnalysisException:  # nothing there
+        stored = None
+    if not outdated(stored, current):
+        return False
+    for name in tables:
+        spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+    write(spark, target, current)
+    return True
+
+
 def write_faces(faces: DataFrame, path: str) -> None:
     """Face records with their embeddings, and the labels as JSON."""
     faces.write.mode("overwrite").parquet(f"{path}/face_records")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -114,3 +116,51 @@ def test_pictures():
     matrix = encoder.similarity_transform(points, moved)
     assert points @ matrix[:, :2].T + matrix[:, 2] == pytest.approx(moved)
     assert encoder.warp(ramp, np.array([[1.0, 0, 0], [0, 1, 0]]), 8) == pytest.approx(ramp)
+
+
+def test_pictures_of_all_sizes():
+    rng = np.random.default_rng(0)
+    large = rng.integers(0, 256, size=(1000, 700, 3))
+    nearest = large[np.arange(448) * 1000 // 448][:, np.arange(448) * 700 // 448]
+    assert np.array_equal(encoder.picture_input(large), encoder.picture_input(nearest))
+    assert encoder.within_side(large).shape == (512, 358, 3) and encoder.within_side(large[:100, :100]) is not large
+    small = rng.integers(0, 256, size=(4, 6, 3), dtype=np.uint8)
+    assert np.array_equal(encoder.decode_picture(b"P6\n# made here\n6 4\n255\n" + small.tobytes()), small)
+    assert encoder.decode_picture(b"P6 6 4 255 short") is None and encoder.decode_picture(b"no picture") is None
+    whole, scale, pad_x, pad_y = encoder.letterbox(np.full((10, 20, 3), 255), 40)
+    assert (scale, pad_x, pad_y) == (2.0, 0.0, 10.0) and whole.shape == (3, 40, 40)
+    assert np.allclose(whole[:, 10:30], 127.5 / 128) and np.allclose(whole[:, :10], -127.5 / 128) and np.allclose(whole[:, 30:], -127.5 / 128)
+
+
+def test_faces_without_points_are_cut_out():
+    pixels = np.zeros((50, 60, 3))
+    pixels[10:30, 20:40] = 255
+    target = np.array([[0.0, 0], [111, 0], [0, 111], [111, 111], [55.5, 55.5]])
+    for points in (None, np.zeros((5, 2))):
+        assert np.allclose(encoder.face_input(pixels, points, target, (20, 10, 40, 30)), 1)
+    assert encoder.face_input(pixels, None, target, (-5, -5, -1, -1)).shape == (3, 112, 112)
+    corners = np.array([[20.0, 10], [39, 10], [20, 29], [39, 29], [29.5, 19.5]])
+    assert np.allclose(encoder.face_input(pixels, corners, target, (0, 0, 1, 1))[:, 2:-2, 2:-2], 1)
+
+
+def test_large_rule_tables_equal_one_by_one(spark):
+    """Hundreds of rules with chained keys, slashes and several words against one substitution after the other."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "bdgklmnprst" for b in "aeiou" for c in ("", "n", "ng", "s", "t", "k")]
+    rules = {}
+    while len(rules) < 400:
+        key = str(rng.choice(words))
+        if rng.random() < 0.06:
+            key = [f"{key} {rng.choice(words)}", f"{key}/", f"{key}/{rng.choice(words)}"][int(rng.integers(3))]
+        rules.setdefault(key, " ".join(rng.choice(words, int(rng.integers(1, 3)))))
+    assert len(T.phases(list(rules.items()))) < 200
+    texts = [" ".join(rng.choice([*words, *rules, "x/y", "q"], 50)) for _ in range(60)]
+    wanted = []
+    for text in texts:
+        for key, value in rules.items():
+            after = r"(?![a-z0-9_])" if key[-1] != "/" else r"(?=[a-z0-9_])"
+            text = re.sub(rf"(?<![a-z0-9_]){re.escape(key)}{after}", value, text)
+        wanted.append(text)
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["t"] for r in frame.select("i", T.substitute(F.col("t"), T.Lexicon(rules=tuple(rules.items()))).alias("t")).orderBy("i").collect()]
+    assert got == wanted and got != texts

@@ -410,3 +410,58 @@ def test_graph_config_and_small_graphs(spark):
         corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
         assert [r["vec_id"] for r in graph_index.search(graph_index.graphs(corpus, config), queries, 3, config).orderBy("rank").collect()] == [5, 6][: len(rows)]
     assert graph_index.search(graph_index.graphs(corpus.limit(0), config), queries, 3, config).count() == 0
+
+
+def test_streamed_index(spark, tmp_path):
+    """Waits for enough vectors, trains once, adds later batches; a batch that is tried again changes nothing."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(160, 8))
+    config = ivfpq.Config(dimension=8, clusters=4, subquantisers=4, codes=32, probes=4)
+    source, path, schema = str(tmp_path / "in"), str(tmp_path / "index"), "vec_id long, embedding array<float>"
+
+    def feed(low, high, sign=1.0):
+        spark.createDataFrame([(i, (sign * x[i]).tolist()) for i in range(low, high)], schema).write.mode("append").parquet(source)
+        ingest.start_index(spark, source, path, str(tmp_path / "checkpoint"), schema, config).awaitTermination()
+
+    feed(0, 30)
+    assert ingest._trained(spark, path) is None
+    feed(30, 100)
+    parts = ingest._trained(spark, path)
+    feed(100, 160)
+    feed(0, 5, -1.0)  # new vectors for old ids
+    index_, centroids, books = ingest.current_index(spark, path)
+    assert (centroids, books) == parts and index_.count() == 160
+    latest = np.vstack([-x[:5], x[5:]])
+    rows = [(i, v.tolist()) for i, v in enumerate(latest.astype(np.float32).astype(float))]
+    whole = ivfpq.postings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), centroids, books)
+    assert {tuple(map(str, r)) for r in index_.select("vec_id", "cluster_id", "codes").collect()} == {tuple(map(str, r)) for r in whole.select("vec_id", "cluster_id", "codes").collect()}
+    again = spark.createDataFrame([(i, (-x[i]).tolist()) for i in range(5)], schema)
+    ingest.index_batch(again, 3, path, config)
+    assert ingest.current_index(spark, path)[0].count() == 160
+
+
+def test_paths_copies_and_remembered_queries(spark, tmp_path):
+    items = spark.createDataFrame([("a", "/x/a.jpg"), ("b", "/x/b.jpg")], "id string, path string")
+    metadata.write_paths(items, str(tmp_path / "i"))
+    assert sorted(map(tuple, metadata.read_paths(spark, str(tmp_path / "i")).collect())) == [("a", "/x/a.jpg"), ("b", "/x/b.jpg")]
+    exact = index.create(spark, "exact", 2)
+    exact.add(vectors(spark, [(1, 0), (0, 1)]))
+    exact.save(str(tmp_path / "from"))
+    assert metadata.ensure_copy(spark, str(tmp_path / "from"), str(tmp_path / "to"), ["points"])
+    assert not metadata.ensure_copy(spark, str(tmp_path / "from"), str(tmp_path / "to"), ["points"])
+    assert index.load(spark, str(tmp_path / "to")).count() == 2
+    for rows in ([("old", 1), ("twice", 2)], [("twice", 3)]):
+        assist.remember(spark.createDataFrame(rows, "query string, at long"), str(tmp_path / "log"))
+    assert [r["query"] for r in assist.history(spark.read.parquet(str(tmp_path / "log"))).collect()] == ["twice", "old"]
+    stored = spark.createDataFrame([("a", "x", [1.0, 2.0]), ("b", "y", [1.0])], "encoder_id string, id string, embedding array<float>")
+    files.write_embeddings(stored, str(tmp_path / "store"))
+    files.write_embeddings(stored.limit(0), str(tmp_path / "store"))
+    assert {tuple(r) for r in files.embedding_summary(spark, str(tmp_path / "store")).collect()} == {("a", 1, 2), ("b", 1, 1)}
+
+
+def test_functions_by_name(spark):
+    from sextant.functions import registered
+
+    assert set(registered.register(spark)) >= {"vec_dot", "vec_cosine"}
+    row = spark.sql("SELECT vec_dot(a, b) d, vec_norm(a) n, vec_cosine(a, b) c, vec_cosine(a, array(0D, 0D)) z, vec_l2(a, b) l, vec_normalise(a) u FROM (SELECT array(3D, 4D) a, array(4D, 3D) b)").first()
+    assert row["d"] == 24 and row["n"] == 5 and row["c"] == pytest.approx(0.96) and row["z"] == 0 and row["l"] == pytest.approx(2**0.5) and row["u"] == [0.6, 0.8]
