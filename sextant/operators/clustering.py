@@ -1,13 +1,15 @@
 """Density clustering, centroids and entities over embeddings.
 
-Pairs within a distance come from block pairs: rows are dealt to hash blocks of bounded size, every
-pair of blocks is one task of matrix products, and only pairs within the distance leave it. The
-rest of DBSCAN is relational: degrees, connected components of core points, border assignment.
+Vectors within a distance are found by block pairs: rows are dealt to hash blocks of bounded size, and every
+pair of blocks is one task of matrix products. Clustering goes over the block pairs twice. The first time they give every point's number of
+neighbours, which tells the core points; the second time links that span what core points connect, and for a border point one link to
+each group of connected core points it touches. So a dense cluster of n points gives about n links a block pair, not n^2 pairs. The
+rest is relational: connected components of core points, border assignment. ``eps_join`` gives the pairs themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +30,105 @@ BLOCK_ROWS = 4_096
 NOISE = -1
 
 
-def eps_join(points: DataFrame, eps: float = EPS, id_col: str = "face_id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, distance) with a < b of all pairs whose 1 - inner product is at most ``eps``."""
-    rows = points.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vector_col)).alias("v")).filter(F.col("v").isNotNull())
+def _in_block_pairs(rows: DataFrame, run: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.Table]], ddl: str) -> DataFrame:
+    """``run`` on every pair of hash blocks of the rows (id, v, ...): its rows, and the places of the left and the right block (the same twice where a block meets itself)."""
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def pairs(key: tuple, table: pa.Table) -> Iterator[pa.Table]:
-        ids, block = table["id"].to_numpy(), table["own"].to_numpy()
-        x = np.array(table["v"].to_pylist(), dtype=float)
-        same = key[0].as_py() == key[1].as_py()
-        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(block == key[0].as_py()), np.flatnonzero(block == key[1].as_py()))
-        for at in range(0, len(left), 512):
-            part = left[at : at + 512]
-            d = 1.0 - x[part] @ x[right].T
-            i, j = np.nonzero(d <= eps)
-            a, b = ids[part[i]], ids[right[j]]
-            keep = a < b if same else a != b
-            yield pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": d[i, j][keep]})
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+    empty = pa.table({name: pa.array([], kind) for name, kind in ((part.split()[0], _TYPES[part.split()[1]]) for part in ddl.split(", "))})
+
+    def of_pair(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = (k.as_py() for k in key)
+        block = table["own"].to_numpy()
+        left, right = (np.flatnonzero(block == low), np.flatnonzero(block == high))
+        return pa.concat_tables([empty, *run(table, left, right)])
+
+    return dealt.groupBy("low", "high").applyInArrow(of_pair, ddl)
+
+
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.concat_tables(list(pairs(key, table)) or [pa.table({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64), "distance": np.array([], dtype=float)})])
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left places, distances to the right places, whether they are within ``eps``) a few rows at a time; a row is not near its own id."""
+    ids, x = table["id"].to_numpy(), np.array(table["v"].to_pylist(), dtype=float)
+    for at in range(0, len(left) if len(right) else 0, 512):
+        part = left[at : at + 512]
+        d = 1.0 - x[part] @ x[right].T
+        yield part, d, (d <= eps) & (ids[part, None] != ids[right][None, :])
 
-    return dealt.groupBy("low", "high").applyInArrow(run, "a long, b long, distance double")
+
+def _vectors(points: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return points.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vector_col)).alias("v")).filter(F.col("v").isNotNull())
+
+
+def eps_join(points: DataFrame, eps: float = EPS, id_col: str = "face_id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, distance) with a < b of all pairs whose 1 - inner product is at most ``eps``."""
+
+    def run(table: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.Table]:
+        ids = table["id"].to_numpy()
+        same = len(left) and len(right) and left[0] == right[0]
+        for part, d, near in _near(table, left, right, eps):
+            i, j = np.nonzero(near & (ids[part, None] < ids[right][None, :]) if same else near)
+            a, b = ids[part[i]], ids[right[j]]
+            yield pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[i, j]})
+
+    return _in_block_pairs(_vectors(points, id_col, vector_col), run, "a long, b long, distance double")
+
+
+def neighbour_counts(points: DataFrame, eps: float = EPS, id_col: str = "face_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, neighbours) of the points with others in reach; no pairs arise."""
+
+    def run(table: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.Table]:
+        ids, n = table["id"].to_numpy(), np.zeros(table.num_rows, dtype=np.int64)
+        same = len(left) and len(right) and left[0] == right[0]
+        for part, _, near in _near(table, left, right, eps):
+            n[part] += near.sum(1)
+            if not same:
+                n[right] += near.sum(0)
+        yield pa.table({"id": ids[n > 0], "n": n[n > 0]})
+
+    return _in_block_pairs(_vectors(points, id_col, vector_col), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("neighbours"))
+
+
+def spanning_links(points: DataFrame, core: DataFrame, eps: float = EPS, id_col: str = "face_id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, border): links that connect all core points (id) that pairs within ``eps`` connect (border 0), and from border points a to core points b (border 1)."""
+
+    def run(table: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.Table]:
+        ids, is_core = table["id"].to_numpy(), table["core"].to_numpy() == 1
+        nodes = np.unique(np.concatenate([left, right]))
+        place = np.full(table.num_rows, -1)
+        place[nodes] = np.arange(len(nodes))
+        # Whether two of the pair's rows are near, as bits: a few MB.
+        adjacent = np.zeros((len(nodes), len(nodes)), dtype=bool)
+        for part, _, near in _near(table, left, right, eps):
+            adjacent[np.ix_(place[part], place[right])] |= near
+        adjacent |= adjacent.T
+        own_core = is_core[nodes]
+        group = np.full(len(nodes), -1)
+        unseen, links = own_core.copy(), []
+        for start in np.flatnonzero(own_core):
+            if not unseen[start]:
+                continue
+            unseen[start], group[start] = False, start
+            todo = [start]
+            while todo:
+                at = todo.pop()
+                fresh = np.flatnonzero(adjacent[at] & unseen)
+                unseen[fresh], group[fresh] = False, start
+                links += [(at, n) for n in fresh.tolist()]
+                todo += fresh.tolist()
+        if links:
+            pairs = ids[nodes[np.array(links)]]
+            yield pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "border": pa.array(np.zeros(len(pairs), dtype=np.int32))})
+        border, cores = np.flatnonzero(~own_core), np.flatnonzero(own_core)
+        for at in range(0, len(border) if len(cores) else 0, 512):
+            i, j = np.nonzero(adjacent[np.ix_(border[at : at + 512], cores)])
+            touched = np.unique(np.column_stack([border[at + i], group[cores[j]]]), axis=0)
+            yield pa.table({"a": ids[nodes[touched[:, 0]]], "b": ids[nodes[touched[:, 1]]], "border": pa.array(np.ones(len(touched), dtype=np.int32))})
+
+    rows = _vectors(points, id_col, vector_col).join(core.select("id", F.lit(1).alias("core")), "id", "left").withColumn("core", F.coalesce("core", F.lit(0)))
+    return _in_block_pairs(rows, run, "a long, b long, border int")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -68,14 +145,13 @@ def dbscan(points: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS, id
 
     A border point goes to the lowest numbered cluster with a core point in reach.
     """
-    pairs = checkpointed(eps_join(points, eps, id_col, vector_col))
-    core = checkpointed(core_points(pairs, min_points).select("id"))
-    inner = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    roots = core.join(components(inner), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+    core = checkpointed(neighbour_counts(points, eps, id_col, vector_col).filter(F.col("neighbours") >= min_points).select("id"))
+    links = checkpointed(spanning_links(points, core, eps, id_col, vector_col))
+    roots = core.join(components(links.filter("border = 0")), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     # One row for each cluster; its number is its place among the roots, which are the clusters' first core points.
     numbers = roots.select("root").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("root")) - 1)
     clustered = checkpointed(roots.join(numbers, "root").select("id", "cluster_id"))
-    border = both_ways(pairs).join(clustered.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster_id").alias("cluster_id")).join(core, "id", "left_anti")
+    border = links.filter("border = 1").join(clustered.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster_id").alias("cluster_id"))
     found = clustered.unionByName(border)
     return points.select(F.col(id_col)).join(found.withColumnRenamed("id", "id_"), F.col(id_col) == F.col("id_"), "left").select(id_col, F.coalesce("cluster_id", F.lit(NOISE)).cast("int").alias("cluster_id"))
 

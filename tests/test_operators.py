@@ -113,7 +113,9 @@ def literal_dbscan(x, eps, min_points):
     return [-1 if n is None else n for n in label]
 
 
-def test_dbscan_equals_loop(spark):
+@pytest.mark.parametrize("block_rows", [4096, 12])
+def test_dbscan_equals_loop(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", block_rows)
     rng = np.random.default_rng(5)
     angles = np.concatenate([rng.normal(c, 0.06, 12) for c in (0, 1.5, 3)] + [rng.uniform(0, 6, 10), [4.5, 4.5]])
     x = np.column_stack([np.cos(angles), np.sin(angles)])
@@ -122,6 +124,21 @@ def test_dbscan_equals_loop(spark):
     assert [got[i] for i in range(len(x))] == literal_dbscan(x, 0.002, 2)
 
 
+def test_dense_clusters_give_few_links(spark, monkeypatch):
+    """All points alike, over several blocks: links follow the points, pairs their square."""
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", 100)
+    points = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(400)] + [(400, [-1.0, 0.0])], "face_id long, embedding array<double>")
+    counts = {r["id"]: r["neighbours"] for r in clustering.neighbour_counts(points).collect()}
+    assert counts == {i: 399 for i in range(400)}
+    core = spark.createDataFrame([(i,) for i in range(300)], "id long")
+    links = clustering.spanning_links(points, core).collect()
+    blocks = -(-401 // 100)
+    assert len(links) <= 400 * blocks and {r["border"] for r in links} == {0, 1}
+    assert clustering.eps_join(points).count() == 400 * 399 // 2
+    assert {r["cluster_id"]: r["count"] for r in clustering.dbscan(points).groupBy("cluster_id").count().collect()} == {0: 400, -1: 1}
+    assert clustering.dbscan(points.limit(0)).count() == 0
+
+
 def test_a_lone_pair_is_noise(spark):
     points = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0])], "face_id long, embedding array<double>")
     assert {r["cluster_id"] for r in clustering.dbscan(points).collect()} == {-1}
@@ -465,3 +482,99 @@ def test_functions_by_name(spark):
     assert set(registered.register(spark)) >= {"vec_dot", "vec_cosine"}
     row = spark.sql("SELECT vec_dot(a, b) d, vec_norm(a) n, vec_cosine(a, b) c, vec_cosine(a, array(0D, 0D)) z, vec_l2(a, b) l, vec_normalise(a) u FROM (SELECT array(3D, 4D) a, array(4D, 3D) b)").first()
     assert row["d"] == 24 and row["n"] == 5 and row["c"] == pytest.approx(0.96) and row["z"] == 0 and row["l"] == pytest.approx(2**0.5) and row["u"] == [0.6, 0.8]
+
+
+def test_encoded_texts_and_pictures_have_these_values(spark, sf):
+    """hash_encode and picture_preprocess computed again from the tables."""
+    import xxhash
+
+    from sextant.plans import registry
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    for r, text in zip(*(sorted(x) for x in ([tuple(r) for r in registry.queries()["hash_encode"](spark, sf).collect()], [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()])), strict=True):
+        v = np.zeros(64)
+        for word in text[1].lower().split():
+            h = signed(xxhash.xxh64_intdigest(word.encode(), 42))
+            v[h % 64] += 1.0 if (h >> 40) % 2 == 0 else -1.0
+        v /= np.linalg.norm(v) or 1.0
+        assert r == (text[0], pytest.approx(np.linalg.norm(v), abs=1e-6), pytest.approx((v * np.arange(1, 65)).sum(), abs=2e-6))
+    places = np.clip((np.arange(16) + 0.5) / 2 - 0.5, 0, 7)
+    vectors_ = {r["vec_id"]: np.array(r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    for r in registry.queries()["picture_preprocess"](spark, sf).collect():
+        grey = (vectors_[r["vec_id"]].reshape(8, 8) + 1) * 127.5
+        wide = np.array([np.interp(places, np.arange(8), row) for row in grey])
+        whole = np.array([np.interp(places, np.arange(8), column) for column in wide.T]) / 127.5 - 1
+        assert r["n"] == 768 and r["low"] == pytest.approx(whole.min(), abs=2e-4) and r["high"] == pytest.approx(whole.max(), abs=2e-4)
+
+
+def test_tuning_sweep_equals_loop(spark, sf):
+    from sextant.plans import registry
+
+    x = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = sorted(x)
+    whole = np.array([x[i] for i in ids])
+    centroids, books = whole[:8], [whole[:16, 8 * m : 8 * m + 8] for m in range(8)]
+    cells = ((whole[:, None] - centroids[None]) ** 2).sum(2).argmin(1)
+    left = whole - centroids[cells]
+    codes = np.array([[((books[m] - v[8 * m : 8 * m + 8]) ** 2).sum(1).argmin() for m in range(8)] for v in left])
+    decoded = centroids[cells] + np.array([np.concatenate([books[m][c] for m, c in enumerate(row)]) for row in codes])
+    wanted = {}
+    for probes in (1, 2, 4, 8):
+        recalls = []
+        for q in range(0, len(ids), 100):
+            exact = np.lexsort((ids, ((whole - whole[q]) ** 2).sum(1).round(12)))[:10]
+            allowed = np.isin(cells, np.argsort(((centroids - whole[q]) ** 2).sum(1), kind="stable")[:probes])
+            d = np.where(allowed, ((decoded - whole[q]) ** 2).sum(1).round(9), np.inf)
+            found = [i for i in np.lexsort((ids, d))[:10] if d[i] < np.inf]
+            recalls.append(len(set(exact) & set(found)) / 10)
+        wanted[probes] = np.mean(recalls)
+    assert {r["probes"]: r["recall"] for r in registry.queries()["tuning_sweep"](spark, sf).collect()} == {p: pytest.approx(v, abs=1e-6) for p, v in wanted.items()}
+
+
+def test_people_pipeline_equals_loop(spark, sf):
+    from sextant.plans import faces, registry
+
+    rows = sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda r: r["vec_id"])
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    boxes = {r["image_id"]: r["count"] for r in faces.nms(spark, sf).groupBy("image_id").count().collect()}
+    people, noise = {}, 10_000
+    for r, label in zip(rows, literal_dbscan(x, 0.66, 2), strict=True):
+        if label == -1:
+            label, noise = noise, noise + 1
+        people.setdefault(label, []).append(r)
+    wanted = {}
+    for person, own in people.items():
+        named = [f"Name {r['label']}" for r in own if r["vec_id"] % 4]
+        images = {r["vec_id"] % 97 for r in own}
+        with_boxes = [boxes[i] for i in images if i in boxes]
+        wanted[person] = (named[0] if named else None, len(own), len(images), sum(with_boxes) if with_boxes else None)
+    got = {r["person_id"]: (r["label"], r["face_count"], r["n_images"], r["n_boxes"]) for r in registry.queries()["people_pipeline"](spark, sf).collect()}
+    assert got == wanted
+
+
+def test_text_search_equals_loop(spark, sf):
+    """Scores, counts and classes of the search by whole captions."""
+    import xxhash
+
+    from sextant.functions import lexicon, text
+    from sextant.plans import registry
+
+    captions = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", text.normalise(F.trim("text"), lexicon.DEFAULT).alias("t")).collect()
+
+    def encoded(t):
+        v = np.zeros(64)
+        for word in t.lower().split():
+            h = xxhash.xxh64_intdigest(word.encode(), 42)
+            v[h % 64] += 1.0 if (h >> 40) % 2 == 0 else -1.0
+        return v / (np.linalg.norm(v) or 1.0)
+
+    vectors_ = {r["item_id"]: encoded(r["t"]) for r in captions}
+    for r in registry.queries()["text_search"](spark, sf).collect():
+        if r["decision"] != "search":
+            continue
+        scores = sorted((float(v @ vectors_[r["query_id"]]) for v in vectors_.values()), reverse=True)[:20]
+        kept = [s for s in scores if s >= 0.08 and s >= 0.9 * scores[0]]
+        if len(kept) >= 5 and kept[0] - kept[4] < 0.003:
+            kept = []
+        assert r["n_results"] == len(kept) and (r["best"] == pytest.approx(kept[0]) if kept else r["best"] is None)
+        assert r["confidence"] == ("strong" if kept else "failed")
