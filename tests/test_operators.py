@@ -578,3 +578,25 @@ def test_text_search_equals_loop(spark, sf):
             kept = []
         assert r["n_results"] == len(kept) and (r["best"] == pytest.approx(kept[0]) if kept else r["best"] is None)
         assert r["confidence"] == ("strong" if kept else "failed")
+
+
+def test_index_files(spark, tmp_path):
+    """Tables to a file and back; searches give the same; damaged files are refused."""
+    from sextant.sources import index_files
+
+    rng = np.random.default_rng(12)
+    corpus = vectors(spark, rng.normal(size=(120, 8)))
+    queries = corpus.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    centroids, books = (np.float32(x).astype(float).tolist() for x in ivfpq.train(corpus, ivfpq.Config(dimension=8, clusters=4, subquantisers=4, codes=16, probes=2)))
+    own = ivfpq.postings(corpus.withColumn("vec_id", F.col("vec_id") * 7), centroids, books)
+    index_files.write_index_file(own, str(tmp_path / "own.index"), centroids, books)
+    again, read_centroids, read_books = index_files.read_index_file(spark, str(tmp_path / "own.index"))
+    assert read_centroids == centroids and read_books == books
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["distance"], 9)) for r in rows.collect())
+    assert key(ivfpq.search(queries, again, centroids, books, 2, 5)) == key(ivfpq.search(queries, own, centroids, books, 2, 5))
+    content = (tmp_path / "own.index").read_bytes()
+    for damaged in (content[:-1], content[:40], b"", b"\0" + content[1:], content[:4] + b"\2" + content[5:]):
+        with pytest.raises(ValueError):
+            index_files.unpack_index(damaged)
+    empty, _, _ = index_files.unpack_index(index_files.pack_index([], centroids, books))
+    assert empty.num_rows == 0
