@@ -144,19 +144,20 @@ def _constant(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def _windows(hashes: Column, tier: Tier, owners: dict[int, list[int]]) -> Column:
+def _windows(hashes: Column, tier: Tier, owners: dict[int, list[int]], literals: dict[int, Column]) -> Column:
     """Windows that agree with a template in a minimum: array of (start, candidates, shingles). ``owners``: numbers of the templates of each minimum."""
+    among = [literals[k] for k in owners]
     keys = sorted(owners)
     listed, numbers = _constant(keys, "array<bigint>"), _constant([owners[k] for k in keys], "array<array<int>>")
     candidates = lambda hits: F.array_distinct(F.flatten(F.transform(hits, lambda h: F.element_at(numbers, F.array_position(listed, h).cast("int")))))
     if tier.window == 1:
-        hits = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("start"), h.alias("hit"))), lambda w: w["hit"].isin(keys))
+        hits = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("start"), h.alias("hit"))), lambda w: w["hit"].isin(among))
         return F.transform(hits, lambda w: F.struct(w["start"].alias("start"), candidates(F.array(w["hit"])).alias("candidates"), F.array(w["hit"]).alias("shingles")))
     # A window that only repeats the end of the one before is not needed.
     last = F.greatest(F.lit(0), F.size(hashes) - 1 - (tier.window - tier.stride))
     starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), last, F.lit(tier.stride))).otherwise(F.array().cast("array<int>"))
     part = lambda s: F.slice(hashes, s + 1, tier.window)
-    hits = lambda s: F.filter(_minima(part(s), tier.bits), lambda h: h.isin(keys))
+    hits = lambda s: F.filter(_minima(part(s), tier.bits), lambda h: h.isin(among))
     found = F.transform(starts, lambda s: F.struct(s.alias("start"), hits(s).alias("hits")))
     return F.transform(F.filter(found, lambda w: F.size(w["hits"]) > 0), lambda w: F.struct(w["start"].alias("start"), candidates(w["hits"]).alias("candidates"), part(w["start"]).alias("shingles")))
 
@@ -182,14 +183,16 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, simila
                 own.setdefault(key, []).append(len(side))
             side.append((len(side), r["license_id"], r["shingles"]))
         owners.append(own)
+    # Each becomes a constant once: that is most of the time that planning takes.
+    literals = {k: F.lit(k) for k in sorted({k for own in owners for k in own})}
     templates_ = spark.createDataFrame(side, "number int, license_id string, template array<long>")
 
     def held(hashes: Column, own: list[int]) -> Column:
         """The hashes if any of them is among these keys, else none: then no window can agree with a template."""
-        return F.when(F.exists(hashes, lambda h: h.isin(own)), hashes).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.exists(hashes, lambda h: h.isin([literals[k] for k in own])), hashes).otherwise(F.array().cast("array<bigint>"))
 
     def of_tier(hashes: Column, number: int) -> Column:
-        return _let(held(hashes, list(owners[number])), lambda h: _windows(h, found[number], owners[number]))
+        return _let(held(hashes, list(owners[number])), lambda h: _windows(h, found[number], owners[number], literals))
 
     sizes = {size: [n for n, t in enumerate(found) if t.size == size] for size in sorted({t.size for t in found})}
 
