@@ -164,3 +164,29 @@ def test_large_rule_tables_equal_one_by_one(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r["t"] for r in frame.select("i", T.substitute(F.col("t"), T.Lexicon(rules=tuple(rules.items()))).alias("t")).orderBy("i").collect()]
     assert got == wanted and got != texts
+
+
+def tiny_model():
+    """Bytes of an ONNX model that casts token ids to floats: protocol buffer fields by hand."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    number = lambda field, n: varint(field << 3) + varint(n)
+    block = lambda field, content: varint(field << 3 | 2) + varint(len(content)) + content
+    shape = block(2, block(1, block(2, b"n")) + block(1, block(2, b"l")))
+    value = lambda name, kind: block(1, name) + block(2, block(1, number(1, kind) + shape))
+    cast = block(1, b"input_ids") + block(2, b"out") + block(4, b"Cast") + block(5, block(1, b"to") + number(3, 1) + number(20, 2))
+    graph = block(1, cast) + block(2, b"g") + block(11, value(b"input_ids", 7)) + block(12, value(b"out", 1))
+    return number(1, 8) + block(7, graph) + block(8, block(1, b"") + number(2, 13))
+
+
+def test_model_encoder(spark, tmp_path):
+    (tmp_path / "tiny.onnx").write_bytes(tiny_model())
+    encode = encoder.onnx_encoder(str(tmp_path / "tiny.onnx"))
+    rows = spark.createDataFrame([(1, [3, 4]), (2, [0, 0]), (3, [5, 0])], "i int, ids array<int>")
+    got = {r["i"]: r["v"] for r in rows.select("i", encode(F.col("ids")).alias("v")).collect()}
+    assert got == {1: pytest.approx([0.6, 0.8]), 2: [0, 0], 3: [1, 0]}
