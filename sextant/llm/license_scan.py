@@ -29,7 +29,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,10 +119,34 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _longer(hashes: Column, own: Column, size: int) -> Column:
-    """Hashes of the shingles of ``size`` words, from those of one word less and the words' own."""
+def _halves(size: int) -> tuple[int, int]:
+    """A shingle's hash is that of its first half's, which has the word in the middle, and its second half's."""
+    return (size + 1) // 2, size // 2
+
+
+def _shingle(words_: Column, start: int, size: int) -> Column:
+    """Hash of the shingle of ``size`` words from ``start`` on."""
+    first, second = _halves(size)
+    return F.xxhash64(words_[start]) if size == 1 else F.xxhash64(_shingle(words_, start, first), _shingle(words_, start + first, second))
+
+
+def _joined(first: Column, second: Column, size: int) -> Column:
+    """Hashes of the shingles of ``size`` words from those of their halves; none if there are fewer words."""
+    many, few = _halves(size)
     least = lambda n: F.greatest(n, F.lit(0))
-    return F.zip_with(F.slice(hashes, 1, least(F.size(hashes) - 1)), F.slice(own, size, least(F.size(own) - (size - 1))), lambda x, y: F.xxhash64(x, y))
+    return F.zip_with(F.slice(first, 1, least(F.size(first) - few)), F.slice(second, many + 1, least(F.size(second) - many)), lambda x, y: F.xxhash64(x, y))
+
+
+def _steps(sizes: Iterable[int]) -> list[int]:
+    """The sizes and all that they are made of, in order."""
+    found: set[int] = set()
+    todo = list(sizes)
+    while todo:
+        size = todo.pop()
+        if size not in found:
+            found.add(size)
+            todo += [half for half in _halves(size) if size > 1]
+    return sorted(found)
 
 
 def _minima(hashes: Column, bits: int) -> Column:
@@ -134,8 +158,7 @@ def _minima(hashes: Column, bits: int) -> Column:
 def template_table(spark: SparkSession, tier: Tier) -> DataFrame:
     """(license_id, shingles, keys): hashes of a tier's templates and their minima."""
     rows = spark.createDataFrame([(name, list(shingles)) for name, shingles in tier.templates], "license_id string, texts array<string>")
-    shingle = lambda w: F.aggregate(F.slice(w, 2, tier.size), F.xxhash64(w[0]), lambda h, x: F.xxhash64(h, F.xxhash64(x)))
-    hashed = rows.select("license_id", F.transform("texts", lambda t: shingle(F.split(t, " "))).alias("shingles"))
+    hashed = rows.select("license_id", F.transform("texts", lambda t: _let(F.split(t, " "), lambda w: _shingle(w, 0, tier.size))).alias("shingles"))
     return hashed.withColumn("keys", _minima(F.col("shingles"), tier.bits) if tier.bits else F.col("shingles"))
 
 
@@ -196,18 +219,21 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, simila
 
     sizes = {size: [n for n, t in enumerate(found) if t.size == size] for size in sorted({t.size for t in found})}
 
-    def of_hashes(own: Column, hashes: Column, size: int) -> list[Column]:
-        """Matching windows of shingles of ``size`` words and more."""
+    steps = _steps(sizes)
+
+    def of_hashes(known: dict[int, Column], size: int) -> list[Column]:
+        """Matching windows of shingles of ``size`` words and more. ``known``: hashes of the sizes up to it."""
         parts = []
         if numbers := sizes.get(size):
             every = sorted({k for n in numbers for k in owners[n]})
-            parts.append(_let(held(hashes, every), lambda h: F.concat(*[of_tier(h, n) for n in numbers])))
-        if size < max(sizes):
-            parts.append(_let(_longer(hashes, own, size + 1), lambda h: F.concat(*of_hashes(own, h, size + 1))))
+            parts.append(_let(held(known[size], every), lambda h: F.concat(*[of_tier(h, n) for n in numbers])))
+        if later := [n for n in steps if n > size]:
+            halves = [known[n] for n in _halves(later[0])]
+            parts.append(_let(_joined(*halves, later[0]), lambda h: F.concat(*of_hashes({**known, later[0]: h}, later[0]))))
         return parts
 
     def of_text(tokens: Column) -> Column:
-        return _let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda own: F.concat(*of_hashes(own, own, 1)))
+        return _let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda own: F.concat(*of_hashes({1: own}, 1)))
 
     hits = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(_let(words(F.lower(text_col)), of_text)).alias("w"))
     # The templates are in the plan already, as literal keys; their number does not follow the data's.
