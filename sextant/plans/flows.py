@@ -141,7 +141,20 @@ QUERIES = {
     "stream_append": stream_append, "embedding_store": embedding_store, "scan_directory": scan_directory, "token_lookup": token_lookup, "picture_preprocess": picture_preprocess, "face_alignment": face_alignment,
 }
 
+_PARTS_SQL = SEARCH_SQL["ivfpq_search"].split("probes AS", 1)[0]
+_SQUARES = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
 ORACLES = {
+    # Every vector's cell and codes as in the index's own SQL; the probed cells of a query are those of places up to p.
+    "tuning_sweep": f"""{_PARTS_SQL} placed AS (SELECT vec_id AS query_id, cluster_id, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS r, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) AS place FROM celld WHERE vec_id % {STEP} = 0),
+        scored AS (SELECT query_id, place, cells.vec_id, sum({_SQUARES.format(a="r[m * 8 + 1:m * 8 + 8]", b="enc.c")}) AS d FROM placed JOIN cells USING (cluster_id) JOIN enc ON enc.vec_id = cells.vec_id GROUP BY ALL),
+        found AS (SELECT probes, query_id, vec_id FROM (SELECT probes, query_id, vec_id, row_number() OVER (PARTITION BY probes, query_id ORDER BY d, vec_id) AS rank FROM scored, (VALUES (1), (2), (4), (8)) AS p(probes) WHERE place <= probes) WHERE rank <= 10),
+        exact AS (SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SQUARES.format(a="e.embedding::DOUBLE[]", b="q.embedding::DOUBLE[]")}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % {STEP} = 0) WHERE rank <= 10)
+        SELECT probes, round(count(f.vec_id) / (10.0::DOUBLE * count(DISTINCT x.query_id)), 6) AS recall FROM (SELECT * FROM exact, (VALUES (1), (2), (4), (8)) AS p(probes)) x LEFT JOIN found f USING (probes, query_id, vec_id) GROUP BY probes""",
+    "face_alignment": """WITH points AS (SELECT vec_id, i, embedding[2 * i - 1]::DOUBLE AS x, embedding[2 * i]::DOUBLE AS y, [0.0, 1, 0, 1, 0.5][i]::DOUBLE - 0.5 AS u, [0.0, 0, 1, 1, 0.5][i]::DOUBLE - 0.5 AS v FROM embeddings, range(1, 6) r(i)),
+        centred AS (SELECT vec_id, u, v, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM points WINDOW w AS (PARTITION BY vec_id)),
+        sums AS (SELECT vec_id, sum(x * x + y * y) AS s, sum(x * u + y * v) AS c, sum(x * v - y * u) AS d FROM centred GROUP BY vec_id)
+        SELECT vec_id, 6 AS n, round(sqrt(c * c + d * d) / s, 6) AS scale FROM sums""",
     "stream_append": "SELECT vec_id, label FROM embeddings",
     "embedding_store": "SELECT vec_id::VARCHAR AS id, len(embedding)::INT AS dimension FROM embeddings WHERE vec_id::VARCHAR < '3'",
     "index_round_trip": f"SELECT query_id, rank, vec_id FROM ({SEARCH_SQL['ivfpq_search']}) WHERE rank <= 5",

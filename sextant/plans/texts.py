@@ -192,6 +192,7 @@ _STOPS = _list(sorted(lexicon.STOP_WORDS))
 _TOKENS_SQL = f"list_filter(string_split({_squeezed("regexp_replace(text, '([!-/:-@\\[-`{-~])', ' \\1 ', 'g')")}, ' '), lambda t: t <> '')"
 
 ORACLES = {name: f"WITH {_STAGES_SQL} SELECT conv_id, turn, t{i + 1} AS text FROM s{i + 1}" for i, name in enumerate(list(QUERIES)[:7])}
+ORACLES["bpe_round_trip"] = "SELECT item_id, true AS same FROM benchmark"
 ORACLES["normalize_full"] = f"WITH {_STAGES_SQL} SELECT conv_id, turn, t7 AS text FROM s7"
 ORACLES["rule_firing_rates"] = f"WITH {_STAGES_SQL}, fired AS (" + " UNION ALL ".join(f"SELECT '{name}' AS rule, t{i} <> t{i + 1} AS fired FROM s7" for i, name in enumerate(T.STAGES)) + ") SELECT rule, count(*) AS n, count(*) FILTER (fired) AS fired, round(avg(fired::INT), 6) AS rate FROM fired GROUP BY rule"
 ORACLES["token_utils"] = f"WITH tokens AS (SELECT doc_id, {_TOKENS_SQL} AS w FROM documents) SELECT doc_id, len(w)::INT AS n_tokens, len(list_filter(w, lambda t: NOT regexp_full_match(t, '[!-/:-@\\[-`{{-~]+')))::INT AS n_without_punctuation, len(list_filter(w, lambda t: regexp_full_match(t, '[a-zA-Z]+')))::INT AS n_plain_words FROM tokens"
