@@ -16,7 +16,7 @@ from sextant.session import table
 STEP = 100
 #: Share of a trained index's cells that a query probes; components of a sub-vector.
 PROBED = 0.75
-WIDTH = 4
+WIDTH = 2
 CLUSTERS = 8
 SUBQUANTISERS = 8
 CODES = 16
