@@ -9,7 +9,7 @@ value over the level between the clusters, less what the marked elements around
 The content region grows from its centre, the innermost section that holds more than half of the upper cluster's text, to
 that section around it with the largest sum of worths beyond the centre. Inside the region everything is kept, short lines too,
 but marked elements whose worths sum to less than nothing. A title (h1) before the region joins it if it has none of its own.
-Whether an element is an article or main element plays no part.
+That an element is an article or main element does not make it the region; but no section inside one is taken without the rest of it.
 
 Each page is handled alone while Arrow batches stream; no shuffle; memory and time grow with the page's length. Defined
 results: null or empty html, or a page without text, gives the empty string. Unclosed and stray tags are closed at
@@ -64,7 +64,7 @@ PRIOR, NAME_PRIOR = 8.0, 2.7
 #: Lines of more characters a tag than this are text, however much longer others are.
 TEXT_RATIO = 20
 #: Characters of text that a page is taken to have beside its own when an element's share of it is judged.
-OTHER_CHARS = 500
+OTHER_CHARS = 1_500
 #: Elements whose content is text: a comment sign in them opens no comment that runs past their end.
 TEXT_ELEMENTS = frozenset("title textarea iframe noscript xmp noembed noframes".split())
 _COMMENT_END = re.compile(r"--(?:!|\s*)>")
@@ -237,13 +237,13 @@ class LineParser(HTMLParser):
         self.elements[0].end = len(self.elements) - 1
 
 
-def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian smoothing, the kernel renormalised at both ends."""
+def smoothed(values: np.ndarray, known: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian smoothing over the values that are known, the kernel renormalised; a value without a known one in reach stays as it is."""
     reach = math.ceil(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    padded = np.pad(np.column_stack([values, np.ones(len(values))]), ((reach, reach), (0, 0)))
+    padded = np.pad(np.column_stack([values * known, known.astype(float)]), ((reach, reach), (0, 0)))
     total = sum(w * padded[i : i + len(values)] for i, w in enumerate(kernel))
-    return total[:, 0] / total[:, 1]
+    return np.where(total[:, 1] > 0, total[:, 0] / np.where(total[:, 1] > 0, total[:, 1], 1.0), values)
 
 
 def split_level(values: np.ndarray) -> float:
@@ -279,10 +279,20 @@ def worths(lines: Sequence[Line], elements: Sequence[Element]) -> np.ndarray:
         by_kind[n] = by_kind[e.parent] + (PRIOR if e.marked == 2 else 0.0)
     # A name around all lines of the page tells none of them apart.
     cost = by_kind[at] + by_name[at] - by_name[at].min()
-    smooth = smoothed(np.log1p(chars / np.maximum([line.tags for line in lines], 1)))
+    # Headings are short by nature: that tells nothing of them or of the lines beside them.
+    heading = np.array([line.heading for line in lines])
+    smooth = smoothed(np.log1p(chars / np.maximum([line.tags for line in lines], 1)), ~heading)
     over = smooth - min(split_level(smooth), math.log1p(TEXT_RATIO))
-    # Headings are short by nature.
-    return np.where([line.heading for line in lines], np.maximum(over, 0.0), over) - cost
+    return np.where(heading, np.maximum(over, 0.0), over) - cost
+
+
+def _undivided(elements: Sequence[Element]) -> list[bool]:
+    """Whether an element may be a region of its own: a section of an article is a part of it, and one of a main element unless it is an article."""
+    inside = [""] * len(elements)  # the nearest of article and main around it
+    for n, e in enumerate(elements[1:], 1):
+        around = elements[e.parent].tag
+        inside[n] = around if around in ("article", "main") else inside[e.parent]
+    return [i == "" or (i == "main" and e.tag == "article") for i, e in zip(inside, elements, strict=True)]
 
 
 def select(lines: Sequence[Line], elements: Sequence[Element]) -> np.ndarray:
@@ -303,7 +313,8 @@ def select(lines: Sequence[Line], elements: Sequence[Element]) -> np.ndarray:
         out[n] |= out[elements[n].parent]
     upper = _sums(elements, at, np.where((worth >= 0) & ~out[at], chars, 0.0))
     # Every element with more than half of the upper text lies around the next one.
-    path = [n for n, e in enumerate(elements) if n == 0 or (not out[n] and e.tag in REGIONS and 2 * upper[n] > upper[0])]
+    whole = _undivided(elements)
+    path = [n for n, e in enumerate(elements) if n == 0 or (not out[n] and whole[n] and e.tag in REGIONS and 2 * upper[n] > upper[0])]
     root = max(path, key=lambda n: (round(value[n] - value[path[-1]], 9), n))
     return ~out[at] & (at >= root) & (at <= elements[root].end)
 

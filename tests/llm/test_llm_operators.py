@@ -540,13 +540,14 @@ def test_wrappers_of_the_whole_page_are_no_boilerplate(html, expected):
         f"<article><p>one {SENTENCE}</p><section class='related-work'><p>two {SENTENCE * 4}</p></section></article>",
         f"<div class=post><p>one {SENTENCE * 3}</p><div class='banner-text'><p>two {SENTENCE * 9}</p></div></div>",
         f"<article><p>one {SENTENCE * 3}</p></article><article><p>two {SENTENCE * 4}</p></article>",
+        f"<article><section><h2>one</h2><p>one {SENTENCE}</p></section><section><p>two {SENTENCE * 9}</p></section></article>",
         f"<main><p>one {SENTENCE * 3}</p></main><article><p>two {SENTENCE * 2}</p></article>",
     ],
 )
 def test_names_and_tags_do_not_erase_articles(html):
     """Words of an article in class names, and several articles."""
     page = f"<body><nav><ul><li><a>Home</a><li><a>News</a><li><a>Sport</a></ul></nav><div class=ad>Buy it now.</div>{html}<footer>&copy; all of it</footer></body>"
-    assert [line.split()[0] for line in html_extract.extract(page).split("\n")] == ["one", "two"]
+    assert list(dict.fromkeys(line.split()[0] for line in html_extract.extract(page).split("\n"))) == ["one", "two"]
 
 
 def article_of(page):
@@ -571,9 +572,9 @@ def test_all_test_pages(spark, sf, monkeypatch):
     assert right(neutral) >= 0.98 * len(pages)
     as_it_is = right(unnamed)
     monkeypatch.setattr(html_extract, "split_level", lambda v: float(v.min()) - 1)
-    assert right() < 0.1 * len(pages)  # no threshold: the adverts come in
+    assert right() < 0.3 * len(pages)  # no threshold: the adverts come in
     monkeypatch.undo()
-    monkeypatch.setattr(html_extract, "smoothed", lambda v: v)
+    monkeypatch.setattr(html_extract, "smoothed", lambda v, known: v)
     assert right(unnamed) < as_it_is  # no smoothing: fewer of the adverts that nothing marks are told apart
 
 
@@ -592,8 +593,10 @@ def slow_select(lines, elements):
     held = [sum(chars[i] for i in within(n)) for n in range(len(elements))]
     raw = [np.log1p(c / max(1, line.tags)) for c, line in zip(chars, lines, strict=True)]
     weight = lambda i, j: np.exp(-0.5 * (i - j) ** 2) if abs(i - j) <= 3 else 0.0
-    smooth = [sum(weight(i, j) * r for j, r in enumerate(raw)) / sum(weight(i, j) for j in range(len(raw))) for i in range(len(raw))]
-    name = [sum(2.7 * (1 - held[n] / (total + 500)) for n in above[line.element] if elements[n].marked == 1) for line in lines]
+    plain = [j for j, line in enumerate(lines) if not line.heading]
+    near = [sum(weight(i, j) for j in plain) for i in range(len(raw))]
+    smooth = [sum(weight(i, j) * raw[j] for j in plain) / near[i] if near[i] else raw[i] for i in range(len(raw))]
+    name = [sum(2.7 * (1 - held[n] / (total + 1500)) for n in above[line.element] if elements[n].marked == 1) for line in lines]
     kind = [sum(8.0 for n in above[line.element] if elements[n].marked == 2) for line in lines]
     level = min(html_extract.split_level(np.array(smooth)), np.log(21))
     worth = [(max(0.0, s - level) if line.heading else s - level) - a - (b - min(name)) for s, a, b, line in zip(smooth, kind, name, lines, strict=True)]
@@ -605,12 +608,14 @@ def slow_select(lines, elements):
             out.add(n)
     open_ = [i for i, line in enumerate(lines) if not above[line.element] & out]
     upper = lambda n: sum(chars[i] for i in open_ if worth[i] >= 0 and n in above[lines[i].element])
-    path = [n for n in range(len(elements)) if n == 0 or (not above[n] & out and elements[n].tag in html_extract.REGIONS and 2 * upper(n) > upper(0))]
+    own = lambda n: [elements[a].tag for a in sorted(above[n] - {n}) if elements[a].tag in ("article", "main")][-1:]
+    whole = lambda n: not own(n) or (own(n) == ["main"] and elements[n].tag == "article")
+    path = [n for n in range(len(elements)) if n == 0 or (not above[n] & out and whole(n) and elements[n].tag in html_extract.REGIONS and 2 * upper(n) > upper(0))]
     root = max(path, key=lambda n: (round(value[n] - value[path[-1]], 9), n))
     return [i in open_ and root in above[line.element] for i, line in enumerate(lines)]
 
 
-TREE_TAGS = ["div", "section", "article", "nav", "ul", "p", "h2", "form", "div class=ad", "div class=related", "aside", "b", "div class=comments", "span class=share"]
+TREE_TAGS = ["div", "section", "article", "main", "nav", "ul", "p", "h2", "form", "div class=ad", "div class=related", "aside", "b", "div class=comments", "span class=share"]
 
 
 @settings(max_examples=150, deadline=None)
