@@ -34,9 +34,10 @@ MOST_REPEATS = 2
 BROADCAST_SOURCES = 10_000
 
 
-def shuffle_hash(key: Column, seed: int) -> Column:
-    """60 bits of md5(seed:key) as a non-negative long."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def shuffle_hash(key: Column, text: Column, seed: int) -> Column:
+    """60 bits of md5(seed:key) as a non-negative long; rows without a key go by their text, so that many of them do not stay together."""
+    own = F.coalesce(key.cast("string"), text, F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 15), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE, most_repeats: int = MOST_REPEATS) -> DataFrame:
@@ -65,7 +66,7 @@ def _join_sources(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE, most_repeats: int = MOST_REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of ``docs``: (id, source, size, source_size, target, copies, taken, text_hash)."""
-    sized = checkpointed(spread(docs.select(id_col, source_col, text_col)).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_hash(F.col(id_col), seed).alias("hash"), F.xxhash64(text_col).alias("text_hash")))
+    sized = checkpointed(spread(docs.select(id_col, source_col, text_col)).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_hash(F.col(id_col), F.col(text_col), seed).alias("hash"), F.xxhash64(text_col).alias("text_hash")))
     totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
     sources = checkpointed(targets(totals.drop("source_rows"), weights, budget_share, most_repeats))
     n_sources = sources.count()

@@ -250,7 +250,7 @@ def ranked(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
     """Adds each piece's rank among the pieces of its length, from 0."""
     # At most `capacity` rows, so the broadcast is bounded.
     counts = F.broadcast(histogram.withColumnRenamed("length", "own_length"))
-    spread = F.pmod(F.xxhash64("id", "piece"), bucket_count(F.col("n"), ROWS_PER_BUCKET))
+    spread = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), bucket_count(F.col("n"), ROWS_PER_BUCKET))
     bucketed = pieces.join(counts, F.col("length") == F.col("own_length")).drop("own_length").withColumn("bucket", spread).drop("n")
     sums = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

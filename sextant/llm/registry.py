@@ -110,7 +110,7 @@ def _op3_sql() -> str:
 def _op6_sql() -> str:
     return """
         WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-                ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash, row_number() OVER () AS n FROM documents),
+                ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS hash, row_number() OVER () AS n FROM documents),
         sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
         ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM sources),
         weighted AS (SELECT *, [3.0, 1.0, 2.0][(source_rank - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM ranked),

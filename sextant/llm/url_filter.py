@@ -153,7 +153,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_field = pages.schema[id_col]
     id_type, id_ddl = to_arrow_type(id_field.dataType), id_field.dataType.simpleString()
-    urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("salt", F.xxhash64("id"))
+    urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("salt", F.xxhash64("id", "url"))
     cuts = cut_points(urls, ranges)
     ddl = f"range_id int, key string, kind int, host string, path string, verdict string, id {id_ddl}"
     dealt = urls.mapInArrow(_deal_urls(cuts, id_type), ddl).unionByName(rules.select("host", "path", "verdict").dropna().mapInArrow(_deal_rules(cuts, id_type), ddl))

@@ -454,6 +454,16 @@ def test_mixing(spark, docs, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_do_not_stay_together(spark):
+    """Buckets of the shuffle and of ranks: a third of all rows may lack an id."""
+    frame = spark.createDataFrame([(None, prose(i, 30), "en", "a", 1) for i in range(400)], DOCS)
+    hashes = [r[0] for r in frame.select(mixing.shuffle_hash(F.col("doc_id"), F.col("text"), 17)).collect()]
+    assert len(set(hashes)) == 400 and len({h >> 56 for h in hashes}) > 8
+    assert sum(r["taken"] for r in mixing.mix(frame).collect()) == pytest.approx(1.5 * 400 * 30, abs=30)
+    rows = packing.pack(frame).collect()
+    assert len(rows) == 400 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 400
+
+
 # 7 html
 
 
