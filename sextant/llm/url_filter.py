@@ -6,7 +6,7 @@ subtree of hosts is one contiguous interval of keys and two intervals are either
 Urls and rules are dealt to key ranges, sorted there, and one sweep per range keeps a stack of
 the active rule hosts; every url then only looks at the paths of the hosts on the stack.
 
-Ranges are cut at (key, hash of the url id), so one host, or even one url, that holds a third of
+Ranges are cut at (key, hash of the id and url), so one host, or even one url, that holds a third of
 all rows is spread over several ranges. A rule goes to each range that its interval meets: to one
 range, or, if the interval holds cut points, to those ranges as well. Memory of a sweep: the stack,
 that is the rules along one host's labels.
