@@ -90,7 +90,7 @@ def prompt_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", bpe.encode(F.lower("text"), bpe.letters_tokenizer(byte_fallback=True)).alias("ids")).withColumn("n_used", F.aggregate(bpe.attention_mask(F.col("ids")), F.lit(0), lambda s, x: s + x))
+    return spread(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", bpe.encode(F.lower("text"), bpe.letters_tokenizer(byte_fallback=True)).alias("ids")).withColumn("n_used", F.aggregate(bpe.attention_mask(F.col("ids")), F.lit(0), lambda s, x: s + x))
 
 
 def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:

@@ -107,6 +107,42 @@ def test_bpe_round_trip(text):
     assert tokenizer.decode(tokenizer.raw(text)) == text.strip()
 
 
+class _Counted(dict):
+    """Ranks that count how often they are asked."""
+
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+
+@pytest.mark.parametrize("sign", ["", " "])
+def test_bpe_merges_long_texts_in_few_steps(sign):
+    pairs = bpe.letters_tokenizer().ranks | {("ae", "in"): 64, ("or", "st"): 65, ("aein", "orst"): 66}
+    ranks = _Counted(pairs)
+    text = f"aeinorst{sign}" * 250
+    assert bpe.Tokenizer({}, ranks).pieces(text) == ["aeinorst", *"▁"[: len(sign)]] * 250
+    assert ranks.asked < 20 * len(text)
+
+
+@settings(max_examples=200)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=12), st.text("abcd é", max_size=60))
+def test_bpe_merges_by_the_plain_rule(picks, text):
+    tokens, ranks = list("abcd▁"), {}
+    for i, (left, right) in enumerate(picks):
+        pair = (tokens[left % len(tokens)], tokens[right % len(tokens)])
+        ranks[pair] = len(picks) - i if i % 3 else i
+        tokens.append("".join(pair))
+    symbols = list(text.replace(" ", "▁"))
+    while found := [(ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks]:
+        i = min(found)[1]
+        symbols[i : i + 2] = ["".join(symbols[i : i + 2])]
+    tokenizer = bpe.Tokenizer({}, ranks)
+    assert tokenizer.pieces(text) == symbols
+    assert tokenizer.pieces(text) == symbols  # with the stretches that are remembered
+
+
 def test_pictures():
     ramp = np.tile(np.arange(8.0)[None, :, None], (8, 1, 3))
     assert encoder.resize_bilinear(ramp, 8, 8) == pytest.approx(ramp)
