@@ -371,6 +371,14 @@ def test_compressed_search_of_equal_codes_follows_its_sql(spark, near_copies):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in found} == _rows_of_ordered_sql("ivfpq_search", near_copies)
 
 
+def test_index_read_back_answers_equal_codes_as_its_sql(spark, near_copies):
+    from sextant.plans import registry
+
+    found = registry.queries()["index_round_trip"](spark, near_copies).collect()
+    assert len(found) == 150
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == _rows_of_ordered_sql("index_round_trip", near_copies)
+
+
 def test_upsert_settles_ties(spark):
     store, changes = (spark.createDataFrame([(1, v, 0), (2, v, 0)], "vec_id long, v string, version int") for v in ("old", "new"))
     for _ in range(3):
